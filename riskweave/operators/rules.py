@@ -265,8 +265,10 @@ GEO_TRAVEL = Rule("GEO_TRAVEL", fires=_too_fast, evidence=_trip_evidence)
 DEFAULT_RULES = (VELOCITY, AMOUNT_SPIKE, GEO_TRAVEL)
 
 
-def apply_rules(facts: DataFrame, params: RuleParams, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    """One anomaly row per rule that fires, from the facts of ``account_history``."""
+def apply_rules(
+    facts: DataFrame, params: RuleParams, rules: tuple[Rule, ...] = DEFAULT_RULES, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One anomaly row per rule that fires, from the facts of ``account_history``; ``keep`` names facts to add."""
     candidates = [
         F.when(
             rule.fires(params),
@@ -282,7 +284,8 @@ def apply_rules(facts: DataFrame, params: RuleParams, rules: tuple[Rule, ...] =
         "_hit.reason_code",
         "_hit.evidence",
         F.col("event_time_ms").alias("detected_at_ms"),
-    ).select(*ANOMALY.fieldNames())
+        *keep,
+    ).select(*ANOMALY.fieldNames(), *keep)
 
 
 def detect_anomalies(

@@ -16,7 +16,7 @@ from riskweave.operators.rules import detect_anomalies
 from riskweave.operators.spend import spend_union
 from riskweave.params import RuleParams
 from riskweave.plans.batch import score
-from riskweave.session import use_utc
+from riskweave.session import store, use_utc
 from riskweave.sources.cdc import DELETE
 
 # The events are sparse, so the velocity rule looks at half days here.
@@ -105,6 +105,11 @@ class Fixture:
     def anomalies(self) -> DataFrame:
         return detect_anomalies(self.transactions, PARAMS)
 
+    @cached_property
+    def anomaly_table(self) -> DataFrame:
+        """The anomalies as a stored table, which is how the case layer finds them."""
+        return store(self.anomalies, "anomalies")
+
     @cached_property
     def spend(self) -> DataFrame:
         return spend_union(self.scored)
@@ -121,7 +126,7 @@ class Fixture:
             .when(points >= 10, "LEGITIMATE")
             .otherwise("UNKNOWN")
         )
-        return self.anomalies.where(n % 3 != 0).select(
+        return self.anomaly_table.where(n % 3 != 0).select(
             F.col("id").alias("anomaly_event_id"),
             (points >= 70).alias("is_fraud"),
             (points / 100).cast("double").alias("confidence"),
@@ -137,7 +142,7 @@ class Fixture:
     def actions(self) -> DataFrame:
         """Up to three actions per case."""
         n = number("transaction_id")
-        steps = self.anomalies.withColumn("k", F.explode(F.slice(F.array(*map(F.lit, (1, 2, 3))), 1, (n % 4).cast("int"))))
+        steps = self.anomaly_table.withColumn("k", F.explode(F.slice(F.array(*map(F.lit, (1, 2, 3))), 1, (n % 4).cast("int"))))
         names = F.array(*[F.lit(a) for a in ("APPROVE", "DENY", "ESCALATE", "BLOCK_ACCOUNT")])
         return steps.select(
             F.concat_ws("#", "id", F.col("k").cast("string")).alias("id"),

@@ -24,43 +24,79 @@ TRANSACTION_FIELDS = (
 MERCHANT_FIELDS = ("merchant_id", "name", "category", "risk_category", "country")
 ACCOUNT_FIELDS = ("account_id", "owner_name", "tier", "country", "credit_limit", "risk_score")
 
-TRANSACTION = T.StructType.fromDDL(
-    "transaction_id string, account_id string, merchant_id string, amount double, currency string, "
-    "latitude double, longitude double, event_time_ms bigint, op string"
-)
+STRING, DOUBLE, LONG, INT = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType()
 
-MERCHANT = T.StructType.fromDDL(
-    "merchant_id string, name string, category string, risk_category string, country string"
-)
 
-ACCOUNT = T.StructType.fromDDL(
-    "account_id string, owner_name string, tier string, country string, credit_limit double, risk_score double"
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+TRANSACTION = _schema(
+    transaction_id=STRING,
+    account_id=STRING,
+    merchant_id=STRING,
+    amount=DOUBLE,
+    currency=STRING,
+    latitude=DOUBLE,
+    longitude=DOUBLE,
+    event_time_ms=LONG,
+    op=STRING,
 )
 
-SCORED = T.StructType.fromDDL(
-    "transaction_id string, account_id string, merchant_id string, amount double, currency string, "
-    "latitude double, longitude double, event_time_ms bigint, merchant_category string, merchant_risk string, "
-    "account_tier string, account_country string, risk_score double, score_breakdown map<string,double>"
+MERCHANT = _schema(merchant_id=STRING, name=STRING, category=STRING, risk_category=STRING, country=STRING)
+
+ACCOUNT = _schema(
+    account_id=STRING, owner_name=STRING, tier=STRING, country=STRING, credit_limit=DOUBLE, risk_score=DOUBLE
 )
 
-ANOMALY = T.StructType.fromDDL(
-    "id string, transaction_id string, account_id string, reason_code string, "
-    "evidence map<string,string>, detected_at_ms bigint"
+SCORED = _schema(
+    transaction_id=STRING,
+    account_id=STRING,
+    merchant_id=STRING,
+    amount=DOUBLE,
+    currency=STRING,
+    latitude=DOUBLE,
+    longitude=DOUBLE,
+    event_time_ms=LONG,
+    merchant_category=STRING,
+    merchant_risk=STRING,
+    account_tier=STRING,
+    account_country=STRING,
+    risk_score=DOUBLE,
+    score_breakdown=T.MapType(STRING, DOUBLE),
 )
 
-SPEND = T.StructType.fromDDL(
-    "window_start_ms bigint, window_end_ms bigint, dimension string, dimension_value string, "
-    "total_amount double, txn_count bigint"
+ANOMALY = _schema(
+    id=STRING,
+    transaction_id=STRING,
+    account_id=STRING,
+    reason_code=STRING,
+    evidence=T.MapType(STRING, STRING),
+    detected_at_ms=LONG,
 )
 
-VERDICT = T.StructType.fromDDL(
-    "anomaly_event_id string, is_fraud boolean, confidence double, ai_risk_score int, classification string, "
-    "reasoning string, recommended_actions array<string>, model_used string, analyzed_at_ms bigint"
+SPEND = _schema(
+    window_start_ms=LONG,
+    window_end_ms=LONG,
+    dimension=STRING,
+    dimension_value=STRING,
+    total_amount=DOUBLE,
+    txn_count=LONG,
 )
 
-CASE_ACTION = T.StructType.fromDDL(
-    "id string, anomaly_event_id string, action string, notes string, performed_at_ms bigint"
+VERDICT = _schema(
+    anomaly_event_id=STRING,
+    is_fraud=T.BooleanType(),
+    confidence=DOUBLE,
+    ai_risk_score=INT,
+    classification=STRING,
+    reasoning=STRING,
+    recommended_actions=T.ArrayType(STRING),
+    model_used=STRING,
+    analyzed_at_ms=LONG,
 )
 
+CASE_ACTION = _schema(id=STRING, anomaly_event_id=STRING, action=STRING, notes=STRING, performed_at_ms=LONG)
+
 # Storage types: money is double in the jobs and decimal only where it is written.
 STORED_DECIMALS = {"amount": "decimal(12,2)", "credit_limit": "decimal(12,2)", "total_amount": "decimal(14,2)"}

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Broadcasts are chosen by Spark from measured sizes, never forced on tables that grow:
 # below these thresholds a dimension is shipped whole, above them the join shuffles and
@@ -65,3 +65,10 @@ def shared_dir(spark: SparkSession) -> str:
 def working_dir(spark: SparkSession, purpose: str) -> str:
     """A new sub-folder of the shared folder."""
     return os.path.join(shared_dir(spark), "riskweave", f"{purpose}-{uuid.uuid4().hex}")
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several later steps read to the shared folder, and read it back."""
+    path = working_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
