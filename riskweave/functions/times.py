@@ -27,11 +27,23 @@ def window_start(ms: Column, width_ms: int | Column) -> Column:
     return ms - F.pmod(ms, width)
 
 
-def parse_event_time(text: Column) -> Column:
+# Shapes of numbers; 18 digits always fit a long (fixed values).
+WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"
+DECIMAL_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def parse_millis(text: Column) -> Column:
     """Epoch milliseconds or ISO-8601 text to epoch milliseconds, else null.
 
-    Values that are not after 1970 count as unreadable.
+    The shape decides which cast is tried, because a failing numeric cast is costly.
     """
-    number = F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
-    ms = F.coalesce(number, F.unix_millis(text.try_cast("timestamp")))
+    return (
+        F.when(text.rlike(WHOLE_NUMBER), text.try_cast("bigint"))
+        .when(text.rlike(DECIMAL_NUMBER), text.try_cast("double").try_cast("bigint"))
+        .otherwise(F.unix_millis(text.try_cast("timestamp")))
+    )
+
+
+def if_positive(ms: Column) -> Column:
+    """Times that are not after 1970 count as unknown."""
     return F.when(ms > 0, ms)

@@ -4,26 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from riskweave.functions.json import parse_all, readable
 from riskweave.schemas import CLASSIFICATIONS
 
 # Required fields of a verdict (fixed values).
 REQUIRED = ("is_fraud", "confidence", "ai_risk_score", "classification", "reasoning", "recommended_actions")
 
-_RAW = (
-    "is_fraud string, confidence string, ai_risk_score string, classification string, reasoning string, "
-    "recommended_actions string, _broken string"
-)
+_RAW = T.StructType([T.StructField(name, T.StringType()) for name in REQUIRED])
 
 
 def validate_verdicts(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """Split raw JSON verdicts into (accepted typed rows, rejected rows with ``reason``)."""
     carried = [c for c in raw.columns if c != value_col]
-    parsed = raw.withColumn("_v", F.from_json(value_col, _RAW, {"columnNameOfCorruptRecord": "_broken"}))
-    typed = parsed.select(
+    typed = parse_all(raw, value_col, _RAW, "_v").select(
         *carried,
         F.col(value_col).alias("_raw"),
-        F.col("_v._broken").alias("_broken"),
+        readable(value_col, "_v").alias("_readable"),
         *[F.col(f"_v.{name}").alias(f"_{name}") for name in REQUIRED],
         F.col("_v.is_fraud").try_cast("boolean").alias("is_fraud"),
         F.col("_v.confidence").try_cast("double").alias("confidence"),
@@ -32,7 +30,7 @@ def validate_verdicts(raw: DataFrame, value_col: str = "value") -> tuple[DataFra
         F.col("_v.reasoning").alias("reasoning"),
         F.from_json("_v.recommended_actions", "array<string>").alias("recommended_actions"),
     )
-    reason = F.when(F.col("_broken").isNotNull() | F.col("_raw").isNull(), F.lit("not readable"))
+    reason = F.when(~F.col("_readable"), F.lit("not readable"))
     for name in REQUIRED:
         reason = reason.when(F.col(f"_{name}").isNull(), F.lit(f"{name} missing"))
     for name in ("is_fraud", "confidence", "ai_risk_score", "recommended_actions"):

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.functions.times import parse_event_time, to_millis
+from riskweave.functions.json import parse_once
+from riskweave.functions.times import if_positive, parse_millis, to_millis
 from riskweave.schemas import ACCOUNT_FIELDS, MERCHANT_FIELDS, TRANSACTION, TRANSACTION_FIELDS
 
 DELETE = "d"
@@ -27,17 +28,13 @@ def _envelope(fields: tuple[str, ...]) -> T.StructType:
             T.StructField("op", text),
             T.StructField("ts_ms", text),
             T.StructField("source", T.StructType([T.StructField("table", text)])),
-            T.StructField("_broken", text),
         ]
     )
 
 
 def parse_cdc(df: DataFrame, value_col: str = "value", fields: tuple[str, ...] = TRANSACTION_FIELDS) -> DataFrame:
     """Readable envelopes as columns before, after, op, ts_ms, deletes included."""
-    parsed = df.withColumn(
-        "_e", F.from_json(value_col, _envelope(fields), {"columnNameOfCorruptRecord": "_broken"})
-    ).where(F.col("_e").isNotNull() & F.col("_e._broken").isNull())
-    return parsed.select(
+    return parse_once(df, value_col, _envelope(fields), "_e").select(
         *[c for c in df.columns if c != value_col],
         F.col("_e.before").alias("before"),
         F.col("_e.after").alias("after"),
@@ -66,9 +63,7 @@ def to_transactions(unwrapped: DataFrame) -> DataFrame:
     """
     carried = [c for c in unwrapped.columns if c not in ("after", "op", "ts_ms", "ingest_ts")]
     ingested = F.col("ingest_ts") if "ingest_ts" in unwrapped.columns else F.current_timestamp()
-    event_time = F.coalesce(
-        parse_event_time(F.col("after.event_time")), F.when(F.col("ts_ms") > 0, F.col("ts_ms")), to_millis(ingested)
-    )
+    event_time = F.coalesce(if_positive(F.col("_event_ms")), if_positive(F.col("ts_ms")), to_millis(ingested))
     currency = _text("currency")
     typed = {
         "transaction_id": _text("transaction_id"),
@@ -81,7 +76,9 @@ def to_transactions(unwrapped: DataFrame) -> DataFrame:
         "event_time_ms": event_time,
         "op": F.col("op"),
     }
-    return unwrapped.select(*carried, *[typed[name].alias(name) for name in TRANSACTION.fieldNames()])
+    # A projection of its own, so that the time is parsed once and not wherever it is used.
+    timed = unwrapped.withColumn("_event_ms", parse_millis(F.col("after.event_time")))
+    return timed.select(*carried, *[typed[name].alias(name) for name in TRANSACTION.fieldNames()])
 
 
 def keep_first_version(txns: DataFrame, order_col: str) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from riskweave.functions.json import parse_once
 from riskweave.schemas import SCORED
 
 # Topic of each source table (fixed values).
@@ -49,13 +49,7 @@ def read_change_stream(
 
 def parse_scored(records: DataFrame, value_col: str = "value") -> DataFrame:
     """Scored records from JSON text; unreadable ones are skipped."""
-    broken = T.StructType([*SCORED.fields, T.StructField("_broken", T.StringType())])
-    parsed = records.select(F.from_json(value_col, broken, {"columnNameOfCorruptRecord": "_broken"}).alias("_s"))
-    return (
-        parsed.where(F.col("_s").isNotNull() & F.col("_s._broken").isNull())
-        .select("_s.*")
-        .drop("_broken")
-    )
+    return parse_once(records, value_col, SCORED, "_s").select(*[F.col(f"_s.{c}").alias(c) for c in SCORED.fieldNames()])
 
 
 def read_scored_stream(spark: SparkSession, source: Mapping[str, str], topic: str = "transactions.scored") -> DataFrame:
