@@ -15,7 +15,7 @@ def parse_once(df: DataFrame, value_col: str, schema: T.StructType, name: str) -
     The struct comes out of a generator: filters on its fields would otherwise be moved below the
     projection, together with a parse of their own for each.
     """
-    return parse_all(df, value_col, schema, name).where(readable(value_col, name))
+    return parse_all(df, value_col, schema, name).where(readable(name))
 
 
 def parse_all(df: DataFrame, value_col: str, schema: T.StructType, name: str) -> DataFrame:
@@ -25,5 +25,5 @@ def parse_all(df: DataFrame, value_col: str, schema: T.StructType, name: str) ->
     return df.select("*", F.explode(F.array(parsed)).alias(name))
 
 
-def readable(value_col: str, name: str) -> Column:
-    return F.col(value_col).isNotNull() & F.col(f"{name}.{BROKEN}").isNull()
+def readable(name: str) -> Column:
+    return F.col(name).isNotNull() & F.col(f"{name}.{BROKEN}").isNull()

@@ -21,7 +21,7 @@ def validate_verdicts(raw: DataFrame, value_col: str = "value") -> tuple[DataFra
     typed = parse_all(raw, value_col, _RAW, "_v").select(
         *carried,
         F.col(value_col).alias("_raw"),
-        readable(value_col, "_v").alias("_readable"),
+        readable("_v").alias("_readable"),
         *[F.col(f"_v.{name}").alias(f"_{name}") for name in REQUIRED],
         F.col("_v.is_fraud").try_cast("boolean").alias("is_fraud"),
         F.col("_v.confidence").try_cast("double").alias("confidence"),
