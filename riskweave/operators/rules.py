@@ -98,7 +98,7 @@ def account_history(
             "_live": F.sum("_change").over(upto),
             "_n": F.count("_amount").over(before),
             "_mean": F.avg("_amount").over(before),
-            "_var": F.var_pop("_amount").over(before),
+            "_var": F.var_samp("_amount").over(before),
             "_point": F.last("_located", ignorenulls=True).over(before),
         }
     ).where(F.col("_mark") == ENTERS)
@@ -187,16 +187,21 @@ def _combine(df: DataFrame) -> DataFrame:
     gap = F.when((n_local > 0) & (n_carry > 0), F.col("_mean") - F.col("_mean_c")).otherwise(zero)
     mean = F.when(n_carry == 0, F.col("_mean")).otherwise(F.col("_mean_c") + gap * n_local / n)
     squares = (
-        F.coalesce(F.col("_var") * n_local, zero)
+        F.coalesce(F.col("_var") * (n_local - 1), zero)
         + F.coalesce(F.col("_m2_c"), zero)
         + F.when(n > 0, gap * gap * n_local * n_carry / n).otherwise(zero)
     )
+    variance = (
+        F.when(n_carry == 0, F.coalesce(F.col("_var"), zero))
+        .when(n > 1, F.greatest(squares, zero) / (n - 1))
+        .otherwise(zero)
+    )
     return df.select(
         "*",
         (F.col("_live") + F.coalesce("_live_c", F.lit(0))).alias("recent_count"),
         n.alias("prior_count"),
         mean.alias("prior_mean"),
-        F.when(n > 1, F.sqrt(F.greatest(squares, zero) / (n - 1))).otherwise(zero).alias("prior_stddev"),
+        F.sqrt(variance).alias("prior_stddev"),
         F.coalesce("_point", "_point_c").alias("previous"),
     )
 
