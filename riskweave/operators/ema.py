@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators.ordered import SLOT, SplitPolicy, large_keys, mark_large, slot_of, with_carry
+from riskweave.operators.ordered import SLOT, SplitPolicy, large_keys, spread, with_carry
 
 KEYS = ["account_id"]
 ORDER = ["event_time_ms", "transaction_id"]
@@ -27,25 +27,30 @@ def account_ema(txns: DataFrame, alpha: float = 0.1, policy: SplitPolicy = Split
     if not 0.0 < alpha < 1.0:
         raise ValueError("alpha must lie between 0 and 1")
     base = txns.select(*KEYS, *ORDER, F.coalesce("amount", F.lit(0.0)).alias("amount"))
-    large = large_keys(base, KEYS, ORDER[0], policy)
-    rows = mark_large(base, large, KEYS).withColumn(SLOT, slot_of(F.col(ORDER[0])))
-    cut = mark_large(base, large, KEYS, "inner").withColumn(SLOT, slot_of(F.col(ORDER[0])))
-    joined = with_carry(_within_slot(rows, alpha), _slot_starts(cut, alpha), KEYS)
-    # The start of the slot still counts with the weight that the rows since then have left it.
-    start = F.coalesce("_start", F.col("_first"))
+    large = large_keys(base, KEYS, policy)
+    whole = _within(large.others(base) if large else base, KEYS, alpha).withColumn("_start", F.col("_first"))
+    averages = _finish(whole, alpha)
+    if large:
+        rows = _within(spread(large.of(base), KEYS, ORDER, large.slots), [*KEYS, SLOT], alpha)
+        averages = averages.unionByName(_finish(with_carry(rows, _slot_starts(rows, alpha), KEYS), alpha))
+    return averages
+
+
+def _finish(rows: DataFrame, alpha: float) -> DataFrame:
+    """Adds what the start value still weighs after the rows since then."""
     left = F.pow(F.lit(1.0 - alpha), F.col("_row").cast("double"))
-    return joined.select(*KEYS, "transaction_id", "event_time_ms", (F.col("_own") + start * left).alias("ema"))
+    return rows.select(*KEYS, "transaction_id", "event_time_ms", (F.col("_own") + F.col("_start") * left).alias("ema"))
 
 
-def _within_slot(rows: DataFrame, alpha: float) -> DataFrame:
-    """Adds _row (number in the slot), _first (first amount) and _own: the average started at zero."""
+def _within(rows: DataFrame, parts: list[str], alpha: float) -> DataFrame:
+    """Adds _row (number in the partition), _first (first amount) and _own: the average started at zero."""
     keep = 1.0 - alpha
     size = max(1, math.floor(math.log(BLOCK_WEIGHT) / math.log(keep)))
-    slot = Window.partitionBy(*KEYS, SLOT).orderBy(*ORDER)
+    part = Window.partitionBy(*parts).orderBy(*ORDER)
     numbered = rows.withColumns(
         {
-            "_row": F.row_number().over(slot),
-            "_first": F.first("amount").over(slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_row": F.row_number().over(part),
+            "_first": F.first("amount").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         }
     ).withColumns(
         {
@@ -53,12 +58,12 @@ def _within_slot(rows: DataFrame, alpha: float) -> DataFrame:
             "_step": ((F.col("_row") - 1) % size + 1).cast("double"),
         }
     )
-    block = Window.partitionBy(*KEYS, SLOT, "_block").orderBy("_row")
+    block = Window.partitionBy(*parts, "_block").orderBy("_row")
     growth = F.pow(F.lit(keep), -F.col("_step"))
     scaled = F.sum(F.col("amount") * growth).over(block.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     in_block = numbered.withColumn("_in_block", scaled * alpha * F.pow(F.lit(keep), F.col("_step")))
     # Two blocks back is the last one that double precision can see.
-    by_row = Window.partitionBy(*KEYS, SLOT).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    by_row = Window.partitionBy(*parts).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     block_weight = keep**size
     ends = F.col("_step") == float(size)
     one_back = F.coalesce(F.last(F.when(ends, F.col("_in_block")), ignorenulls=True).over(by_row), F.lit(0.0))
@@ -69,19 +74,13 @@ def _within_slot(rows: DataFrame, alpha: float) -> DataFrame:
     )
 
 
-def _slot_starts(cut: DataFrame, alpha: float) -> DataFrame:
+def _slot_starts(rows: DataFrame, alpha: float) -> DataFrame:
     """The average at the start of each slot of the cut accounts.
 
     Only the one summary row per slot goes through pandas; their number is bounded by the split policy.
     """
-    ends = (
-        _within_slot(cut, alpha)
-        .groupBy(*KEYS, SLOT)
-        .agg(
-            F.max("_row").alias("rows"),
-            F.max_by("_own", "_row").alias("own"),
-            F.first("_first").alias("first"),
-        )
+    ends = rows.groupBy(*KEYS, SLOT).agg(
+        F.max("_row").alias("rows"), F.max_by("_own", "_row").alias("own"), F.first("_first").alias("first")
     )
     keep = 1.0 - alpha
 

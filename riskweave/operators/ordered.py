@@ -1,25 +1,27 @@
 """Ordered per-key computations that do not depend on a key fitting into one task.
 
-A window partitioned by key puts all rows of the key into one task. Here a key that holds a large
-share of the rows is cut along its order column into slots; each slot is computed on its own, and
-what happened in the earlier slots is carried in from one small summary row per slot.
-
-The number of cut keys and of slots is bounded by the policy and not by the data, which is what
-allows both to be broadcast. Keys below the threshold stay whole and are not carried.
+A window partitioned by key puts all rows of the key into one task. Keys that hold a large share of the
+rows are therefore taken out, spread evenly over range partitions of (key, order), and stored with the
+number of their partition as slot. Each slot is computed on its own, and what happened in the earlier
+slots of the key is carried in from one small summary row per slot. The spread looks at the whole
+order, so a burst of rows at one moment is cut as well.
+
+The number of such keys and of slots is bounded by the policy and not by the data, which is what allows
+both to be broadcast. All other keys, normally all there are, take the plain window.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.session import store
+
 SLOT = "_slot"
-WIDTH = "_slot_width"
-FIRST = "_slot_first"
-LAST = "_slot_last"
 
 
 @dataclass(frozen=True)
@@ -27,42 +29,58 @@ class SplitPolicy:
     """When a key is cut.
 
     A key is cut if it has more than ``min_rows`` rows and more than one ``max_keys``-th of all rows,
-    so there are fewer than ``max_keys`` such keys. It is cut into ``slots_per_share`` times as many
-    slots as it holds shares of that size, hence fewer than ``2 * max_keys * slots_per_share``
-    slots in total.
+    so there are fewer than ``max_keys`` such keys. Together they get ``slots_per_share`` slots for each
+    such share of rows, hence at most ``max_keys * slots_per_share``.
     """
 
     min_rows: int = 2_000_000
     max_keys: int = 10_000
-    slots_per_share: int = 16
+    slots_per_share: int = 2
 
 
-def large_keys(df: DataFrame, keys: list[str], position: str, policy: SplitPolicy) -> DataFrame:
-    """One row per key to cut, with the range of its positions and the width of its slots."""
-    known = df
-    for key in keys:
-        known = known.where(F.col(key).isNotNull())
-    counts = known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(position).alias(FIRST), F.max(position).alias(LAST)
-    )
-    # The total reads all three columns so that it is the same aggregate as the counts themselves
-    # and Spark runs that one once.
-    total = counts.select(F.struct(F.sum("_rows").alias("n"), F.min(FIRST), F.max(LAST))).scalar()
-    share = F.greatest(F.lit(float(policy.min_rows)), total["n"] / policy.max_keys)
-    slots = F.ceil(F.col("_rows") / share) * policy.slots_per_share
-    width = F.greatest(F.ceil((F.col(LAST) - F.col(FIRST) + 1) / slots), F.lit(1))
-    return counts.where(F.col("_rows") > share).select(*keys, FIRST, LAST, width.cast("bigint").alias(WIDTH))
+@dataclass(frozen=True)
+class LargeKeys:
+    """The keys to cut and into how many slots."""
+
+    keys: DataFrame
+    names: list[str]
+    slots: int
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """The rows of these keys."""
+        return df.join(F.broadcast(self.keys), self._same(df), "left_semi")
 
+    def others(self, df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(self.keys), self._same(df), "left_anti")
 
-def mark_large(df: DataFrame, large: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Attach the cut of the row's key; null where the key stays whole. The broadcast side is bounded by the policy."""
-    return df.join(F.broadcast(large), keys, how)
+    def _same(self, df: DataFrame) -> list[Column]:
+        return [df[name].eqNullSafe(self.keys[f"_large_{name}"]) for name in self.names]
 
 
-def slot_of(position: Column) -> Column:
-    """Slot number of a position; slot 0 for keys that stay whole."""
-    cut = F.floor((position - F.col(FIRST)) / F.col(WIDTH))
-    return F.coalesce(cut, F.lit(0)).cast("bigint")
+def large_keys(df: DataFrame, keys: list[str], policy: SplitPolicy = SplitPolicy()) -> LargeKeys | None:
+    """The keys to cut, or None. Reads the key columns once, and once more if there are any."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total, most = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    share = max(policy.min_rows, (total or 0) / policy.max_keys)
+    if (most or 0) <= share:
+        return None
+    found = counts.where(F.col("_rows") > share).collect()  # fewer than max_keys
+    names = [f"_large_{key}" for key in keys]
+    schema = ", ".join(f"{name} {df.schema[key].dataType.simpleString()}" for name, key in zip(names, keys, strict=True))
+    table = df.sparkSession.createDataFrame([tuple(row)[: len(keys)] for row in found], schema)
+    rows = sum(row["_rows"] for row in found)
+    return LargeKeys(table, keys, max(2, math.ceil(rows / max(share, 1)) * policy.slots_per_share))
+
+
+def spread(rows: DataFrame, keys: list[str], order: list[str], slots: int) -> DataFrame:
+    """Rows stored with a slot each; slots follow the order within every key and are about equally large.
+
+    The slot has to be stored: range bounds come from a sample, and a second evaluation could draw them
+    elsewhere. Copies that agree in the whole order are told apart by a number of their own.
+    """
+    numbered = rows.withColumn("_copy", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(slots, *keys, *order, "_copy")
+    return store(ranged.withColumn(SLOT, F.spark_partition_id().cast("bigint")), "slots").drop("_copy")
 
 
 def earlier_slots(keys: list[str]):
@@ -70,9 +88,12 @@ def earlier_slots(keys: list[str]):
     return Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Join slot carries to the rows of the slot. The broadcast side is bounded by the policy."""
-    return df.join(F.broadcast(carry), [*keys, SLOT], "left")
+def with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Join slot carries to the rows of their slots. The broadcast side is bounded by the policy."""
+    on = [*keys, SLOT]
+    named = carry.select(*[F.col(c).alias(f"_of_{c}") if c in on else F.col(c) for c in carry.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    return rows.join(F.broadcast(named), same, "left").drop(*[f"_of_{c}" for c in on])
 
 
 @dataclass(frozen=True)
@@ -109,26 +130,24 @@ def running(
 ) -> DataFrame:
     """Add ``name``: the running aggregate of ``value`` over the earlier rows of the key.
 
-    ``order[0]`` must be an integer column; it is the one keys are cut along. ``inclusive`` counts
-    the row itself.
+    ``inclusive`` counts the row itself.
     """
-    position = F.col(order[0])
-    large = large_keys(df, keys, order[0], policy)
-    rows = mark_large(df, large, keys).withColumn(SLOT, slot_of(position))
-    cut = mark_large(df, large, keys, "inner").withColumn(SLOT, slot_of(position))
-    slots = cut.groupBy(*keys, SLOT).agg(kind.of_slot(value, F.struct(*order)).alias("_total"))
-    carry = slots.select(*keys, SLOT, kind.over_rows(F.col("_total")).over(earlier_slots(keys)).alias("_carried"))
-    window = (
-        Window.partitionBy(*keys, SLOT)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    )
-    local = rows.withColumn("_local", kind.over_rows(value).over(window))
-    return (
-        with_carry(local, carry, keys)
-        .withColumn(name, kind.join(F.col("_carried"), F.col("_local")))
-        .drop(FIRST, LAST, WIDTH, SLOT, "_carried", "_local")
-    )
+    base = df.withColumn("_value", value)
+    large = large_keys(base, keys, policy)
+
+    def local(rows: DataFrame, parts: list[str], target: str) -> DataFrame:
+        window = Window.partitionBy(*parts).orderBy(*order)
+        frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        return rows.withColumn(target, kind.over_rows(F.col("_value")).over(frame)).drop("_value")
+
+    if large is None:
+        return local(base, keys, name)
+    cut = spread(large.of(base), keys, order, large.slots)
+    totals = cut.groupBy(*keys, SLOT).agg(kind.of_slot(F.col("_value"), F.struct(*order)).alias("_total"))
+    carry = totals.select(*keys, SLOT, kind.over_rows(F.col("_total")).over(earlier_slots(keys)).alias("_carried"))
+    joined = with_carry(local(cut, [*keys, SLOT], "_local"), carry, keys)
+    finished = joined.withColumn(name, kind.join(F.col("_carried"), F.col("_local"))).drop(SLOT, "_carried", "_local")
+    return local(large.others(base), keys, name).unionByName(finished)
 
 
 def merge_ordered(

@@ -18,18 +18,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.geo import elapsed_hours, has_location, haversine_km, speed_kmh
 from riskweave.functions.scores import fixed, z_score
-from riskweave.operators.ordered import (
-    FIRST,
-    LAST,
-    SLOT,
-    WIDTH,
-    SplitPolicy,
-    earlier_slots,
-    large_keys,
-    mark_large,
-    slot_of,
-    with_carry,
-)
+from riskweave.operators.ordered import SLOT, SplitPolicy, earlier_slots, large_keys, spread, with_carry
 from riskweave.params import RuleParams
 from riskweave.schemas import ANOMALY
 
@@ -76,24 +65,33 @@ def account_history(
         F.coalesce("latitude", F.lit(0.0)).alias("latitude"),
         F.coalesce("longitude", F.lit(0.0)).alias("longitude"),
     )
-    large = large_keys(base, KEYS, "event_time_ms", policy)
+    large = large_keys(base, KEYS, policy)
+    # The rows are exchanged before their leaving marks are added, which halves what is shuffled.
+    whole = (large.others(base) if large else base).repartition(*KEYS)
+    columns = ["account_id", *ties, "event_time_ms", "amount", "latitude", "longitude", *FACTS]
+    facts = _local_facts(_marked(whole, params, with_recent), KEYS, ties).withColumns(_facts_alone()).select(*columns)
+    if large:
+        rows = spread(_marked(large.of(base), params, with_recent), KEYS, ["_at", "_mark", *ties], large.slots)
+        carried = with_carry(_local_facts(rows, [*KEYS, SLOT], ties), _carry(rows, ties), KEYS)
+        facts = facts.unionByName(carried.withColumns(_facts_with_carry()).select(*columns))
+    return facts
+
+
+def _marked(rows: DataFrame, params: RuleParams, with_recent: bool) -> DataFrame:
+    """Each row once when it enters the window and, if that is counted, once when it leaves."""
     marks = F.array(F.lit(ENTERS), F.lit(LEAVES)) if with_recent else F.array(F.lit(ENTERS))
-    order = ["_at", "_mark", *ties]
-
-    # Rows of cut accounts leave in another slot than they enter, so both marks are shuffled; for
-    # whole accounts the leaving mark is added behind the exchange.
-    is_cut = F.col(WIDTH).isNotNull()
-    placed = _place(mark_large(base, large, KEYS), F.when(is_cut, marks).otherwise(F.array(F.lit(ENTERS))), params)
-    local_marks = F.when(is_cut, F.array("_mark")).otherwise(marks)
-    rows = _at(
-        placed.repartition(*KEYS, SLOT).withColumn("_mark", F.explode(local_marks)),
-        params,
+    marked = rows.withColumn("_mark", F.explode(marks))
+    return marked.withColumn(
+        "_at", F.col("event_time_ms") + F.col("_mark") * F.lit(params.window_ms).cast("bigint")
     ).withColumns(_only_on_entry())
 
-    window = Window.partitionBy(*KEYS, SLOT).orderBy(*order)
+
+def _local_facts(rows: DataFrame, parts: list[str], ties: list[str]) -> DataFrame:
+    """Facts from the rows of one window partition only."""
+    window = Window.partitionBy(*parts).orderBy("_at", "_mark", *ties)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    facts = rows.withColumns(
+    return rows.withColumns(
         {
             "_live": F.sum("_change").over(upto),
             "_n": F.count("_amount").over(before),
@@ -103,21 +101,6 @@ def account_history(
         }
     ).where(F.col("_mark") == ENTERS)
 
-    carry = _carry(_place(mark_large(base, large, KEYS, "inner"), marks, params), ties)
-    return _combine(with_carry(facts, carry, KEYS)).select(
-        "account_id", *ties, "event_time_ms", "amount", "latitude", "longitude", *FACTS
-    )
-
-
-def _at(df: DataFrame, params: RuleParams) -> DataFrame:
-    return df.withColumn("_at", F.col("event_time_ms") + F.col("_mark") * F.lit(params.window_ms).cast("bigint"))
-
-
-def _place(df: DataFrame, marks: Column, params: RuleParams) -> DataFrame:
-    """Expand the marks and give each its time and slot; marks behind the account's last row change nothing."""
-    placed = _at(df.withColumn("_mark", F.explode(marks)), params).withColumn(SLOT, slot_of(F.col("_at")))
-    return placed.where((F.col("_mark") == ENTERS) | (F.col("_at") <= F.col(LAST)))
-
 
 def _only_on_entry() -> dict[str, Column]:
     enters = F.col("_mark") == ENTERS
@@ -129,19 +112,15 @@ def _only_on_entry() -> dict[str, Column]:
     }
 
 
-def _carry(marks: DataFrame, ties: list[str]) -> DataFrame:
+def _carry(rows: DataFrame, ties: list[str]) -> DataFrame:
     """State of each cut account at the start of each of its slots."""
     rank = F.struct("event_time_ms", *ties)
-    slots = (
-        marks.withColumns(_only_on_entry())
-        .groupBy(*KEYS, SLOT)
-        .agg(
-            F.sum("_change").alias("_change"),
-            F.count("_amount").alias("_n"),
-            F.avg("_amount").alias("_mean"),
-            F.var_pop("_amount").alias("_var"),
-            F.max_by("_located", F.when(F.col("_located").isNotNull(), rank)).alias("_located"),
-        )
+    slots = rows.groupBy(*KEYS, SLOT).agg(
+        F.sum("_change").alias("_change"),
+        F.count("_amount").alias("_n"),
+        F.avg("_amount").alias("_mean"),
+        F.var_pop("_amount").alias("_var"),
+        F.max_by("_located", F.when(F.col("_located").isNotNull(), rank)).alias("_located"),
     )
     # Means are taken relative to the account's first slot so that large amounts with a small
     # spread keep their digits.
@@ -179,31 +158,35 @@ def _carry(marks: DataFrame, ties: list[str]) -> DataFrame:
     )
 
 
-def _combine(df: DataFrame) -> DataFrame:
-    """Facts from the slot's own rows and the carry; the pairwise update of count, mean and squares."""
+def _facts_alone() -> dict[str, Column]:
+    """Facts of rows whose account is in one window partition."""
+    return {
+        "recent_count": F.col("_live"),
+        "prior_count": F.col("_n"),
+        "prior_mean": F.col("_mean"),
+        "prior_stddev": F.sqrt(F.coalesce("_var", F.lit(0.0))),
+        "previous": F.col("_point"),
+    }
+
+
+def _facts_with_carry() -> dict[str, Column]:
+    """Facts of rows in a slot: the pairwise update of count, mean and squares with the carry."""
+    zero = F.lit(0.0)
     n_local, n_carry = F.col("_n"), F.coalesce("_n_c", F.lit(0))
     n = n_local + n_carry
-    zero = F.lit(0.0)
     gap = F.when((n_local > 0) & (n_carry > 0), F.col("_mean") - F.col("_mean_c")).otherwise(zero)
-    mean = F.when(n_carry == 0, F.col("_mean")).otherwise(F.col("_mean_c") + gap * n_local / n)
     squares = (
         F.coalesce(F.col("_var") * (n_local - 1), zero)
-        + F.coalesce(F.col("_m2_c"), zero)
+        + F.coalesce("_m2_c", zero)
         + F.when(n > 0, gap * gap * n_local * n_carry / n).otherwise(zero)
     )
-    variance = (
-        F.when(n_carry == 0, F.coalesce(F.col("_var"), zero))
-        .when(n > 1, F.greatest(squares, zero) / (n - 1))
-        .otherwise(zero)
-    )
-    return df.select(
-        "*",
-        (F.col("_live") + F.coalesce("_live_c", F.lit(0))).alias("recent_count"),
-        n.alias("prior_count"),
-        mean.alias("prior_mean"),
-        F.sqrt(variance).alias("prior_stddev"),
-        F.coalesce("_point", "_point_c").alias("previous"),
-    )
+    return {
+        "recent_count": F.col("_live") + F.coalesce("_live_c", F.lit(0)),
+        "prior_count": n,
+        "prior_mean": F.when(n_carry == 0, F.col("_mean")).otherwise(F.col("_mean_c") + gap * n_local / n),
+        "prior_stddev": F.when(n > 1, F.sqrt(F.greatest(squares, zero) / (n - 1))).otherwise(zero),
+        "previous": F.coalesce("_point", "_point_c"),
+    }
 
 
 def _text(value: Column) -> Column:

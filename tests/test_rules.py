@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import rules
-from riskweave.operators.ordered import SplitPolicy
+from riskweave.operators.ordered import SLOT, SplitPolicy, large_keys, spread
 from riskweave.params import RuleParams
 from tests.builders import frame, random_rows, txn
 from tests.reference_rules import simulate
@@ -12,8 +12,8 @@ from tests.reference_rules import simulate
 POLICIES = {
     "whole": SplitPolicy(),
     "hot account cut": SplitPolicy(min_rows=100, max_keys=10, slots_per_share=4),
-    "all accounts cut": SplitPolicy(min_rows=2, max_keys=1000, slots_per_share=3),
-    "a slot per moment": SplitPolicy(min_rows=0, max_keys=10**9, slots_per_share=16),
+    "all accounts cut": SplitPolicy(min_rows=30, max_keys=60, slots_per_share=2),
+    "many slots": SplitPolicy(min_rows=1, max_keys=60, slots_per_share=1),
 }
 
 
@@ -118,17 +118,36 @@ def test_large_amounts_keep_their_spread_when_cut(spark):
     assert max(abs(whole[k] - cut[k]) for k in whole) < 1e-6
 
 
-def test_hot_account_is_spread_over_slots(spark):
-    from riskweave.operators.ordered import SLOT, large_keys, mark_large, slot_of
-
-    df = frame(spark, random_rows(2000, seed=3, hot_share=0.5))
-    policy = SplitPolicy(min_rows=300, max_keys=10, slots_per_share=8)
-    large = large_keys(df, ["account_id"], "event_time_ms", policy)
-    assert [r.account_id for r in large.collect()] == ["hot"]
-    slots = mark_large(df, large, ["account_id"]).withColumn(SLOT, slot_of(F.col("event_time_ms")))
-    sizes = {(r.account_id, r[SLOT]): r["count"] for r in slots.groupBy("account_id", SLOT).count().collect()}
-    hot = [n for (account, _), n in sizes.items() if account == "hot"]
-    assert len(hot) > 16 and max(hot) < 300
+@pytest.mark.parametrize("moment", [False, True], ids=["over time", "at one moment"])
+def test_hot_account_is_spread_over_slots(spark, moment):
+    rows = random_rows(3000, seed=3, hot_share=0.5)
+    if moment:
+        rows = [r | {"event_time_ms": 1} if r["account_id"] == "hot" else r for r in rows]
+    df = frame(spark, rows)
+    large = large_keys(df, ["account_id"], SplitPolicy(min_rows=300, max_keys=10, slots_per_share=2))
+    assert [r[0] for r in large.keys.collect()] == ["hot"]
+    order = ["event_time_ms", "transaction_id"]
+    cut = spread(large.of(df), ["account_id"], order, large.slots)
+    sizes = [r["count"] for r in cut.groupBy(SLOT).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 400
+    in_order = [r[SLOT] for r in cut.orderBy(*order).collect()]
+    assert in_order == sorted(in_order)
+
+
+def test_burst_of_a_hot_account_is_counted_across_slots(spark):
+    rows = [txn(n, "hot") for n in range(500)]
+    policy = SplitPolicy(min_rows=50, max_keys=10, slots_per_share=2)
+    hits = evidence(rules.velocity_flags(frame(spark, rows), policy=policy))
+    assert {k: int(v["txn_count"]) for k, v in hits.items()} == {f"{n:06d}": n + 1 for n in range(10, 500)}
+
+
+def test_copies_of_one_row_are_spread(spark):
+    df = frame(spark, [txn(7, "hot")] * 1000)
+    large = large_keys(df, ["account_id"], SplitPolicy(min_rows=100, max_keys=5, slots_per_share=2))
+    cut = spread(large.of(df), ["account_id"], ["event_time_ms", "transaction_id"], large.slots)
+    assert max(r["count"] for r in cut.groupBy(SLOT).count().collect()) < 400
+    counts = rules.account_history(df, policy=SplitPolicy(100, 5, 2)).select("recent_count", "prior_count").collect()
+    assert sorted(map(tuple, counts)) == [(n + 1, n) for n in range(1000)]
 
 
 def test_own_rule_and_sequence(spark):
