@@ -94,10 +94,27 @@ def action_history(actions: DataFrame, case_id: str | Column) -> DataFrame:
 
 
 def case_detail(cases: DataFrame, actions: DataFrame, case_id: str | Column) -> DataFrame:
-    """One case with its actions, newest first, as ``case_actions``.
+    """One case with its actions, newest first: a row per action, or one row if there is none.
 
-    ``case_id`` is a value or a scalar subquery.
+    ``case_id`` is a value or a scalar subquery. The history may be long, so it stays a distributed
+    result; ``case_record`` nests it for a single reader.
     """
+    history = actions.where(F.col("anomaly_event_id") == case_id).select(
+        F.col("anomaly_event_id").alias("id"),
+        F.col("id").alias("action_id"),
+        "action",
+        "notes",
+        "performed_at_ms",
+    )
+    return (
+        cases.where(F.col("id") == case_id)
+        .join(history, "id", "left")
+        .orderBy(F.desc("performed_at_ms"), F.desc("action_id"))
+    )
+
+
+def case_record(cases: DataFrame, actions: DataFrame, case_id: str | Column) -> DataFrame:
+    """One case in one row, its actions nested as ``case_actions``; for what one reader can read."""
     entry = F.struct("performed_at_ms", "id", "action", "notes")
     history = (
         actions.where(F.col("anomaly_event_id") == case_id)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.scores import score_band, score_percent
@@ -112,13 +112,9 @@ def reason_share(anomalies: DataFrame, width_ms: int = 30 * MINUTE_MS) -> DataFr
         .groupBy("window_start_ms", "reason_code")
         .agg(F.count(F.lit(1)).alias("anomaly_count"))
     )
-    totals = counts.groupBy("window_start_ms").agg(F.sum("anomaly_count").alias("_total"))
-    return counts.join(totals, "window_start_ms").select(
-        "window_start_ms",
-        "reason_code",
-        "anomaly_count",
-        (F.col("anomaly_count") / F.col("_total")).alias("share"),
-    )
+    # Behind the aggregate a window has one row per rule.
+    total = F.sum("anomaly_count").over(Window.partitionBy("window_start_ms"))
+    return counts.withColumn("share", F.col("anomaly_count") / total)
 
 
 def fraud_rate(scored: DataFrame, anomalies: DataFrame, width_ms: int = 5 * MINUTE_MS) -> DataFrame:

@@ -306,12 +306,13 @@ SELECTS = {
     "case_view": "select * from cases",
     "case_page": "select * from cases order by detected_at_ms desc, id limit 100 offset 20",
     "case_detail": """
-        select c.*, h.action_list
-        from cases c
-        join (select anomaly_event_id, string_agg(action || '@' || performed_at_ms, ',' order by performed_at_ms desc)
-                         as action_list
-              from actions group by all) h on c.id = h.anomaly_event_id
+        select c.*, a.id as action_id, a.action, a.notes, a.performed_at_ms
+        from cases c left join actions a on c.id = a.anomaly_event_id
         where c.id = (select id from anomalies where n % 4 = 3 order by detected_at_ms desc, id desc limit 1)""",
+    "action_history": """
+        select * from actions
+        where anomaly_event_id = (select id from anomalies where n % 4 = 3 order by detected_at_ms desc, id desc
+                                  limit 1)""",
     "case_last_action": "select * from last_action",
     "pending_cases": "select * from cases where classification is null order by detected_at_ms, id limit 10",
     "case_stats": """

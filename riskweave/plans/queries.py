@@ -368,17 +368,21 @@ def case_page(fx: Fixture) -> DataFrame:
     return plain_cases(cases.case_page(case_rows(fx), limit=100, offset=20))
 
 
+def busiest_case(fx: Fixture) -> Column:
+    """Id of the newest case with three actions."""
+    newest = F.max_by("id", F.struct("detected_at_ms", "id")).alias("id")
+    return fx.anomaly_table.where(number("transaction_id") % 4 == 3).agg(newest).scalar()
+
+
 @query
 def case_detail(fx: Fixture) -> DataFrame:
-    """The newest case with three actions."""
-    newest = (
-        fx.anomaly_table.where(number("transaction_id") % 4 == 3)
-        .agg(F.max_by("id", F.struct("detected_at_ms", "id")).alias("id"))
-        .scalar()
-    )
-    detail = cases.case_detail(case_rows(fx), fx.actions, newest)
-    labels = F.array_join(F.transform("case_actions", lambda a: F.concat(a["action"], F.lit("@"), a["performed_at_ms"])), ",")
-    return plain_cases(detail.withColumn("action_list", labels), "action_list")
+    detail = cases.case_detail(case_rows(fx), fx.actions, busiest_case(fx))
+    return plain_cases(detail, "action_id", "action", "notes", "performed_at_ms")
+
+
+@query
+def action_history(fx: Fixture) -> DataFrame:
+    return cases.action_history(fx.actions, busiest_case(fx))
 
 
 @query

@@ -26,16 +26,20 @@ RAW, SCORED = "transactions.raw", "transactions.scored"
 
 
 def slices(fx: Fixture, slice_rows: int) -> Iterator[DataFrame]:
-    """Events in consecutive stretches of time of equal length, about ``slice_rows`` rows each."""
+    """Events in consecutive stretches of time of about ``slice_rows`` rows each."""
     events = fx.table("events")
-    rows, first, last = events.agg(F.count("ts"), F.min("ts"), F.max("ts")).first()
-    if not rows:
+    count = math.ceil(events.count() / slice_rows)
+    if count < 2:
+        yield events
         return
-    count = math.ceil(rows / slice_rows)
-    step = (last - first) / count
-    for i in range(count):
-        start = F.col("ts") >= F.lit(first + i * step)
-        yield events.where(start if i == count - 1 else start & (F.col("ts") < F.lit(first + (i + 1) * step)))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    steps = [i / count for i in range(1, count)]
+    # The rank of each bound is off by a tenth of a slice at most.
+    bounds = events.agg(F.percentile_approx(micros, steps, 10 * count)).first()[0]
+    edges = [F.timestamp_micros(F.lit(b)).cast("timestamp_ntz") for b in sorted(set(bounds))]
+    for start, end in zip([None, *edges], [*edges, None], strict=True):
+        part = events if start is None else events.where(F.col("ts") >= start)
+        yield part if end is None else part.where(F.col("ts") < end)
 
 
 def change_records(txns: DataFrame) -> DataFrame:

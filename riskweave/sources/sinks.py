@@ -75,3 +75,15 @@ def compact(spark: SparkSession, path: str, target: str, keys: list[str], **rule
     """
     append_batch(read_current(spark, path, keys, **rules), target, 0)
     return read_log(spark, target)
+
+
+def append_jdbc(df: DataFrame, options: Mapping[str, str], table: str, batch_size: int = 200, writers: int = 8) -> None:
+    """Append to a database table, ``batch_size`` rows per statement over at most ``writers`` connections.
+
+    For an upsert append to a staging table and let the database merge it (``INSERT ... ON CONFLICT``).
+    """
+    # A shuffle, so that fewer writers do not mean fewer tasks before them.
+    rows = df.repartition(writers)
+    rows.write.format("jdbc").options(**options).option("dbtable", table).option("batchsize", batch_size).mode(
+        "append"
+    ).save()

@@ -252,11 +252,14 @@ def test_case_pages_and_queues(board):
 
 def test_case_detail(board):
     view, _, _, actions = board
-    one = cases.case_detail(view, actions, "c1").first()
-    assert [(a.performed_at_ms, a.id) for a in one.case_actions] == [(170, "3"), (170, "2"), (160, "1")]
-    assert cases.case_detail(view, actions, "c2").first().case_actions == []
+    rows = cases.case_detail(view, actions, "c1").collect()
+    assert [(r.performed_at_ms, r.action_id) for r in rows] == [(170, "3"), (170, "2"), (160, "1")]
+    assert [r.action for r in cases.case_detail(view, actions, "c2").collect()] == [None]
     assert cases.case_detail(view, actions, "nope").count() == 0
     assert [r.id for r in cases.action_history(actions, "c1").collect()] == ["3", "2", "1"]
+    one = cases.case_record(view, actions, "c1").first()
+    assert [(a.performed_at_ms, a.id) for a in one.case_actions] == [(170, "3"), (170, "2"), (160, "1")]
+    assert cases.case_record(view, actions, "c2").first().case_actions == []
 
 
 def test_case_stats(spark, board):
