@@ -335,7 +335,7 @@ SELECTS = {
         from cases""",
     "pct_of_limit": """
         select id, amount, credit_limit,
-               round(case when coalesce(credit_limit, 0) = 0 then 0 else amount / credit_limit * 100 end, 6)
+               round(case when coalesce(credit_limit, 0) = 0 then 0 else amount / credit_limit * 100 end, 8)
                    as pct_of_limit
         from cases""",
     "recent_anomalies": """

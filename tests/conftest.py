@@ -15,7 +15,7 @@ def build_session() -> SparkSession:
     builder = (
         SparkSession.builder.master("local[8]")
         .appName("riskweave-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
