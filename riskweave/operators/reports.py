@@ -13,8 +13,10 @@ MIN_RATE = 0.001  # floor of the event rate in the fraud rate (fixed value)
 
 
 def _recent(spend: DataFrame, dimension: str, as_of_ms: Column | int, lookback_ms: int) -> DataFrame:
-    as_of = F.lit(as_of_ms)
-    return spend.where((F.col("dimension") == dimension) & (F.col("window_start_ms") >= as_of - F.lit(lookback_ms)))
+    since = F.lit(as_of_ms) - F.lit(lookback_ms)
+    recent = spend.where((F.col("dimension") == dimension) & (F.col("window_start_ms") >= since))
+    # On a table stored by day only the days in question are listed and read.
+    return recent.where(F.col("day") >= F.to_date(F.timestamp_millis(since))) if "day" in spend.columns else recent
 
 
 def top_spend(

@@ -33,6 +33,10 @@ STREAM_SETTINGS = {
 }
 
 
+# Scratch folders of local sessions that name no shared folder, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def apply_settings(spark: SparkSession, streaming: bool = False) -> SparkSession:
     """Put the settings above on a running session."""
     for key, value in (SETTINGS | STREAM_SETTINGS if streaming else SETTINGS).items():
@@ -56,9 +60,10 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="riskweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="riskweave-")
+        return _LOCAL_DIRS[app]
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 

@@ -77,6 +77,21 @@ def compact(spark: SparkSession, path: str, target: str, keys: list[str], **rule
     return read_log(spark, target)
 
 
+DAY = "day"
+
+
+def write_by_day(df: DataFrame, path: str, ms_col: str, by: tuple[str, ...] = ()) -> None:
+    """Write a batch table partitioned by ``by`` and day; the partitions that occur in ``df`` are replaced.
+
+    The rebalance hint makes files of even size and splits days or values that are much larger than others.
+    """
+    parts = [*by, DAY]
+    dated = df.withColumn(DAY, F.to_date(F.timestamp_millis(ms_col)))
+    dated.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *parts
+    ).parquet(path)
+
+
 def append_jdbc(df: DataFrame, options: Mapping[str, str], table: str, batch_size: int = 200, writers: int = 8) -> None:
     """Append to a database table, ``batch_size`` rows per statement over at most ``writers`` connections.
 

@@ -28,8 +28,8 @@ PRUNE_DELAY_MS = 1000
 class AnomalyProcessor(StatefulProcessor):
     """Emits each row of an account with the account's facts just before it.
 
-    State per account: the event times inside the velocity window, three numbers about the amounts, and
-    the last location. The rows of a micro-batch are put in event-time order; between micro-batches
+    State per account: the event times inside the velocity window, and one row with three numbers about
+    the amounts and the last location. The rows of a micro-batch are put in event-time order; between micro-batches
     arrival order counts. ``strict_order`` holds rows back until the watermark has passed them, so that
     order between micro-batches is event-time order too, at the price of the watermark delay.
 
@@ -44,8 +44,11 @@ class AnomalyProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.times = handle.getListState("times", "event_time_ms long")
-        self.amounts = handle.getValueState("amounts", "n long, mean double, squares double")
-        self.place = handle.getValueState("place", "latitude double, longitude double, event_time_ms long")
+        # Amounts and place in one value: every state call is a round trip to the JVM.
+        self.summary = handle.getValueState(
+            "summary",
+            "n long, mean double, squares double, latitude double, longitude double, located_ms long",
+        )
         self.waiting = handle.getListState("waiting", ROW_SCHEMA) if self.strict_order else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -73,22 +76,19 @@ class AnomalyProcessor(StatefulProcessor):
                 yield self._facts(key[0], due)
         else:
             oldest = expiredTimerInfo.getExpiryTimeInMs() - self.params.window_ms - PRUNE_DELAY_MS
-            self._keep_times([t for (t,) in self.times.get() if t >= oldest])
+            kept = [(t,) for (t,) in self.times.get() if t >= oldest]
+            if kept:
+                self.times.put(kept)
+            else:
+                self.times.clear()
 
     def close(self) -> None:
         pass
 
-    def _keep_times(self, times: list[int]) -> None:
-        if times:
-            self.times.put([(t,) for t in times])
-        else:
-            self.times.clear()
-
     def _facts(self, account: str, rows: list[tuple]) -> pd.DataFrame:
-        recent = [t for (t,) in self.times.get()] if self.times.exists() else []
+        recent = [t for (t,) in self.times.get()]
         heapq.heapify(recent)
-        n, mean, squares = self.amounts.get() if self.amounts.exists() else (0, 0.0, 0.0)
-        place = tuple(self.place.get()) if self.place.exists() else (None, None, None)
+        n, mean, squares, *place = self.summary.get() or (0, 0.0, 0.0, None, None, None)
         facts, prune_at = [], None
         for txn, now, amount, latitude, longitude in sorted(rows, key=lambda row: (row[1], row[0])):
             heapq.heappush(recent, now)
@@ -106,13 +106,12 @@ class AnomalyProcessor(StatefulProcessor):
             squares += gap * (amount - mean)
             if not (latitude == 0.0 and longitude == 0.0):
                 place = (latitude, longitude, now)
-        self._keep_times(recent)
-        self.amounts.update((n, mean, squares))
-        if place[2] is not None:
-            self.place.update(place)
+        self.times.put([(t,) for t in recent])
+        self.summary.update((n, mean, squares, *place))
         if prune_at is not None:
             self.handle.registerTimer(prune_at)
-        return pd.DataFrame(facts, columns=FACT_COLUMNS).astype({"prev_event_time_ms": "Int64"})
+        # Left as objects: the output schema gives the types, and missing places stay null.
+        return pd.DataFrame(facts, columns=FACT_COLUMNS, dtype=object)
 
 
 def stream_facts(scored: DataFrame, params: RuleParams = RuleParams(), strict_order: bool = False) -> DataFrame:

@@ -165,3 +165,68 @@ def test_stored_form_and_table_scan(spark, tmp_path):
     assert dict(back.dtypes)["amount"] == "decimal(12,2)" and dict(back.dtypes)["event_time"] == "timestamp"
     back.createOrReplaceTempView("stored_transactions")
     assert str(read_table(spark, "stored_transactions").first().amount) == "12.35"
+
+
+def test_day_partitions_are_replaced_and_pruned(spark, tmp_path):
+    from riskweave.operators.reports import top_spend
+    from riskweave.schemas import SPEND
+    from riskweave.sources.sinks import write_by_day
+
+    day = 86_400_000
+    path = str(tmp_path / "spend")
+
+    def sums(*rows):
+        return spark.createDataFrame([(d * day, d * day + 60_000, dim, v, total, 1) for d, dim, v, total in rows], SPEND)
+
+    first = [(1, "MERCHANT", "a", 1.0), (2, "MERCHANT", "a", 2.0), (2, "ACCOUNT", "x", 5.0)]
+    write_by_day(sums(*first), path, "window_start_ms", ("dimension",))
+    write_by_day(sums((2, "MERCHANT", "b", 4.0)), path, "window_start_ms", ("dimension",))
+    table = spark.read.parquet(path)
+    assert sorted((r.dimension, r.dimension_value) for r in table.collect()) == [
+        ("ACCOUNT", "x"),
+        ("MERCHANT", "a"),
+        ("MERCHANT", "b"),
+    ]
+    top = top_spend(table, "MERCHANT", as_of_ms=2 * day, lookback_ms=day // 2, k=5)
+    assert [(r.dimension_value, r.total_spend) for r in top.collect()] == [("b", 4.0)]
+    scan = next(line for line in top._jdf.queryExecution().toString().splitlines() if "PartitionFilters" in line)
+    assert "day" in scan.split("PartitionFilters")[1] and "GreaterThanOrEqual(window_start_ms" in scan
+
+
+def test_profiles_from_topics_and_jobs_from_the_command_line(spark, tmp_path):
+    from riskweave.streaming.submit import start
+
+    merchant = {"merchant_id": "m", "name": "Shop", "category": "FOOD", "risk_category": "LOW", "country": "X"}
+    account = {"account_id": "a", "tier": "VIP", "country": "FR", "risk_score": 0.5}
+    lines = [
+        ("enrichment.merchants", {"after": merchant, "op": "r", "ts_ms": 1}),
+        ("enrichment.merchants", {"after": merchant | {"risk_category": "HIGH"}, "op": "u", "ts_ms": 2}),
+        ("enrichment.accounts", {"after": account, "op": "c", "ts_ms": 1}),
+        ("transactions.raw", {"after": AFTER, "op": "c", "ts_ms": 1}),
+    ]
+    rows = [(json.dumps(body), topic, n) for n, (topic, body) in enumerate(lines)]
+    source = str(tmp_path / "topics")
+    spark.createDataFrame(rows, "value string, topic string, offset long").write.json(source)
+    table = str(tmp_path / "scored")
+    options = ["--source", f"path={source}", "--checkpoint", str(tmp_path / "cp"), "--table", table, "--interval", "once"]
+    start(spark, ["score", *options]).awaitTermination()
+    (row,) = read_log(spark, table).collect()
+    assert (row.merchant_risk, row.account_tier) == ("HIGH", "VIP")
+    assert row.score_breakdown["cross_border"] == 0.1
+
+
+def test_shared_folder_is_the_one_the_cluster_names(spark):
+    from types import SimpleNamespace
+
+    from riskweave.session import shared_dir, working_dir
+
+    def session(named, master):
+        conf = SimpleNamespace(get=lambda key, default=None: named)
+        context = SimpleNamespace(getConf=lambda: conf, master=master, applicationId="other")
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert shared_dir(session("s3://bucket/work/", "yarn")) == "s3://bucket/work"
+    with pytest.raises(ValueError):
+        shared_dir(session(None, "yarn"))
+    assert shared_dir(spark) == shared_dir(spark)
+    assert working_dir(spark, "x") != working_dir(spark, "x")
