@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.scores import fixed, label_or_pending, percent_of, score_band
+from riskweave.session import store
 
 VERDICT_FIELDS = (
     "is_fraud",
@@ -37,7 +38,9 @@ def case_view(
     actions: DataFrame,
 ) -> DataFrame:
     """One row per anomaly with transaction, profiles, verdict and last action; all look-ups may miss."""
-    scores = scored.select("transaction_id", "merchant_id", "amount", F.col("risk_score").alias("rule_risk_score"), "score_breakdown")
+    scores = scored.select(
+        "transaction_id", "merchant_id", "amount", F.col("risk_score").alias("rule_risk_score"), "score_breakdown"
+    )
     trips = txns.select("transaction_id", "currency", "latitude", "longitude", "event_time_ms")
     owners = accounts.select(
         "account_id",
@@ -77,15 +80,63 @@ def case_view(
     )
 
 
+def case_view_of(
+    selected: DataFrame,
+    scored: DataFrame,
+    txns: DataFrame,
+    accounts: DataFrame,
+    merchants: DataFrame,
+    verdicts: DataFrame,
+    actions: DataFrame,
+) -> DataFrame:
+    """``case_view`` of a few anomalies: a page, a queue, one case.
+
+    The other tables are cut to the selected ids while they are scanned, so none of them is shuffled.
+    ``selected`` comes from ``newest_page``, ``oldest_pending`` or ``one_case``; their bound is what
+    allows the ids to be broadcast. It is stored first, as each table needs it.
+    """
+    chosen = store(selected, "cases")
+
+    def cut(table: DataFrame, ids: DataFrame, name: str, key: str) -> DataFrame:
+        few = ids.select(F.col(name).alias(key)).distinct()
+        return table.join(F.broadcast(few), key, "left_semi")
+
+    few_scored = cut(scored, chosen, "transaction_id", "transaction_id")
+    return case_view(
+        chosen,
+        few_scored,
+        cut(txns, chosen, "transaction_id", "transaction_id"),
+        cut(accounts, chosen, "account_id", "account_id"),
+        merchants,
+        cut(verdicts, chosen, "id", "anomaly_event_id"),
+        cut(actions, chosen, "id", "anomaly_event_id"),
+    )
+
+
+def newest_page(anomalies: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Anomalies of a page, newest first."""
+    return anomalies.orderBy(F.desc("detected_at_ms"), "id").offset(offset).limit(limit)
+
+
+def oldest_pending(anomalies: DataFrame, verdicts: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` oldest anomalies without a verdict."""
+    judged = verdicts.select(F.col("anomaly_event_id").alias("id"))
+    return anomalies.join(judged, "id", "left_anti").orderBy("detected_at_ms", "id").limit(n)
+
+
+def one_case(anomalies: DataFrame, case_id: str | Column) -> DataFrame:
+    """The anomaly with this id."""
+    return anomalies.where(F.col("id") == case_id).limit(1)
+
+
 def case_page(cases: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of cases, newest first."""
-    return cases.orderBy(F.desc("detected_at_ms"), "id").offset(offset).limit(limit)
+    """A page of cases, newest first; the same order and bounds as ``newest_page``."""
+    return newest_page(cases, limit, offset)
 
 
 def pending_cases(cases: DataFrame, verdicts: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` oldest cases without a verdict."""
-    judged = verdicts.select(F.col("anomaly_event_id").alias("id"))
-    return cases.join(judged, "id", "left_anti").orderBy("detected_at_ms", "id").limit(n)
+    return oldest_pending(cases, verdicts, n)
 
 
 def action_history(actions: DataFrame, case_id: str | Column) -> DataFrame:
@@ -212,7 +263,14 @@ def case_brief(cases: DataFrame) -> DataFrame:
         line("Owner", text("owner_name"), F.lit(", "), text("tier", "STANDARD"), F.lit(", "), text("account_country")),
         line("Credit limit", fixed(credit, 2)),
         line("Account risk", fixed(F.coalesce("account_risk_score", num), 2)),
-        line("Merchant", text("merchant_name"), F.lit(", "), text("merchant_category"), F.lit(", "), text("merchant_country")),
+        line(
+            "Merchant",
+            text("merchant_name"),
+            F.lit(", "),
+            text("merchant_category"),
+            F.lit(", "),
+            text("merchant_country"),
+        ),
         line("Merchant risk", text("merchant_risk_category", "UNKNOWN")),
         line("Rule score", fixed(F.coalesce("rule_risk_score", num), 4)),
         line("Score terms", pairs("score_breakdown")),

@@ -66,7 +66,8 @@ def large_keys(df: DataFrame, keys: list[str], policy: SplitPolicy = SplitPolicy
         return None
     found = counts.where(F.col("_rows") > share).collect()  # fewer than max_keys
     names = [f"_large_{key}" for key in keys]
-    schema = ", ".join(f"{name} {df.schema[key].dataType.simpleString()}" for name, key in zip(names, keys, strict=True))
+    types = [df.schema[key].dataType.simpleString() for key in keys]
+    schema = ", ".join(f"{name} {kind}" for name, kind in zip(names, types, strict=True))
     table = df.sparkSession.createDataFrame([tuple(row)[: len(keys)] for row in found], schema)
     rows = sum(row["_rows"] for row in found)
     return LargeKeys(table, keys, max(2, math.ceil(rows / max(share, 1)) * policy.slots_per_share))

@@ -121,7 +121,11 @@ def reason_share(anomalies: DataFrame, width_ms: int = 30 * MINUTE_MS) -> DataFr
 
 def fraud_rate(scored: DataFrame, anomalies: DataFrame, width_ms: int = 5 * MINUTE_MS) -> DataFrame:
     """Anomalies per hundred events and window; both inputs are counted before they meet."""
-    events = _windowed(scored, "event_time_ms", width_ms).groupBy("window_start_ms").agg(F.count(F.lit(1)).alias("_events"))
+    events = (
+        _windowed(scored, "event_time_ms", width_ms)
+        .groupBy("window_start_ms")
+        .agg(F.count(F.lit(1)).alias("_events"))
+    )
     flags = (
         _windowed(anomalies, "detected_at_ms", width_ms)
         .groupBy("window_start_ms")

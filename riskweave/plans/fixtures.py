@@ -142,7 +142,8 @@ class Fixture:
     def actions(self) -> DataFrame:
         """Up to three actions per case."""
         n = number("transaction_id")
-        steps = self.anomaly_table.withColumn("k", F.explode(F.slice(F.array(*map(F.lit, (1, 2, 3))), 1, (n % 4).cast("int"))))
+        numbers = F.slice(F.array(*map(F.lit, (1, 2, 3))), 1, (n % 4).cast("int"))
+        steps = self.anomaly_table.withColumn("k", F.explode(numbers))
         names = F.array(*[F.lit(a) for a in ("APPROVE", "DENY", "ESCALATE", "BLOCK_ACCOUNT")])
         return steps.select(
             F.concat_ws("#", "id", F.col("k").cast("string")).alias("id"),
@@ -190,7 +191,8 @@ class Fixture:
         """Change records of a profile table: a snapshot row each, an update for some, a delete for some."""
         n = number(key)
         row = F.struct(*table.columns)
-        update = F.struct(*[(F.concat(F.col(c), F.lit("+")) if c == changed else F.col(c)).alias(c) for c in table.columns])
+        marked = F.concat(F.col(changed), F.lit("+"))
+        update = F.struct(*[(marked if c == changed else F.col(c)).alias(c) for c in table.columns])
         gone = F.struct(F.col(key))
         snapshot = F.to_json(F.struct(row.alias("after"), F.lit("r").alias("op"), F.lit(1000).alias("ts_ms")))
         updated = F.to_json(F.struct(update.alias("after"), F.lit("u").alias("op"), (n + 2000).alias("ts_ms")))

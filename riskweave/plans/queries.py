@@ -352,10 +352,12 @@ def spend_timeseries(fx: Fixture) -> DataFrame:
 # ---- cases -----------------------------------------------------------------------------------
 
 
-def case_rows(fx: Fixture) -> DataFrame:
-    return cases.case_view(
-        fx.anomaly_table, fx.scored, fx.transactions, fx.accounts, fx.merchants, fx.verdicts, fx.actions
-    )
+def case_rows(fx: Fixture, selected: DataFrame | None = None) -> DataFrame:
+    """The case view, of all anomalies or of a few."""
+    tables = (fx.scored, fx.transactions, fx.accounts, fx.merchants, fx.verdicts, fx.actions)
+    if selected is None:
+        return cases.case_view(fx.anomaly_table, *tables)
+    return cases.case_view_of(selected, *tables)
 
 
 @query
@@ -365,7 +367,7 @@ def case_view(fx: Fixture) -> DataFrame:
 
 @query
 def case_page(fx: Fixture) -> DataFrame:
-    return plain_cases(cases.case_page(case_rows(fx), limit=100, offset=20))
+    return plain_cases(case_rows(fx, cases.newest_page(fx.anomaly_table, limit=100, offset=20)))
 
 
 def busiest_case(fx: Fixture) -> Column:
@@ -376,7 +378,8 @@ def busiest_case(fx: Fixture) -> Column:
 
 @query
 def case_detail(fx: Fixture) -> DataFrame:
-    detail = cases.case_detail(case_rows(fx), fx.actions, busiest_case(fx))
+    wanted = busiest_case(fx)
+    detail = cases.case_detail(case_rows(fx, cases.one_case(fx.anomaly_table, wanted)), fx.actions, wanted)
     return plain_cases(detail, "action_id", "action", "notes", "performed_at_ms")
 
 
@@ -392,7 +395,7 @@ def case_last_action(fx: Fixture) -> DataFrame:
 
 @query
 def pending_cases(fx: Fixture) -> DataFrame:
-    return plain_cases(cases.pending_cases(case_rows(fx), fx.verdicts, 10))
+    return plain_cases(case_rows(fx, cases.oldest_pending(fx.anomaly_table, fx.verdicts, 10)))
 
 
 @query

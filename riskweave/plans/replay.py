@@ -44,10 +44,13 @@ def slices(fx: Fixture, slice_rows: int) -> Iterator[DataFrame]:
 
 def change_records(txns: DataFrame) -> DataFrame:
     """Transactions as change records; nothing but the envelope is added."""
-    row = F.struct(*[c for c in txns.columns if c not in ("op", "event_time_ms")], F.col("event_time_ms").alias("event_time"))
+    kept = [c for c in txns.columns if c not in ("op", "event_time_ms")]
+    row = F.struct(*kept, F.col("event_time_ms").alias("event_time"))
     body = F.struct(row.alias("after"), F.col("op"), F.col("event_time_ms").alias("ts_ms"))
     return txns.select(
-        F.to_json(body).alias("value"), F.lit(RAW).alias("topic"), F.col("transaction_id").cast("bigint").alias("offset")
+        F.to_json(body).alias("value"),
+        F.lit(RAW).alias("topic"),
+        F.col("transaction_id").cast("bigint").alias("offset"),
     )
 
 
@@ -68,9 +71,8 @@ def replay_scores(fx: Fixture, slice_rows: int = SLICE_ROWS) -> DataFrame:
     for events in slices(fx, slice_rows):
         change_records(fx.as_transactions(events)).write.mode("append").json(f"{base}/changes")
         start_score_job(fx.spark, cfg, lambda: fx.merchants, lambda: fx.accounts).awaitTermination()
-    return read_current(
-        fx.spark, cfg.table, ["transaction_id"], update_cols=["risk_score", "score_breakdown"], order_col="event_time_ms"
-    )
+    changing = ["risk_score", "score_breakdown"]
+    return read_current(fx.spark, cfg.table, ["transaction_id"], update_cols=changing, order_col="event_time_ms")
 
 
 def _feed_scored(fx: Fixture, events: DataFrame, path: str) -> None:

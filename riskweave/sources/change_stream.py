@@ -49,7 +49,8 @@ def read_change_stream(
 
 def parse_scored(records: DataFrame, value_col: str = "value") -> DataFrame:
     """Scored records from JSON text; unreadable ones are skipped."""
-    return parse_once(records, value_col, SCORED, "_s").select(*[F.col(f"_s.{c}").alias(c) for c in SCORED.fieldNames()])
+    parsed = parse_once(records, value_col, SCORED, "_s")
+    return parsed.select(*[F.col(f"_s.{c}").alias(c) for c in SCORED.fieldNames()])
 
 
 def read_scored_stream(spark: SparkSession, source: Mapping[str, str], topic: str = "transactions.scored") -> DataFrame:
@@ -57,7 +58,9 @@ def read_scored_stream(spark: SparkSession, source: Mapping[str, str], topic: st
     return parse_scored(read_change_stream(spark, source, topic))
 
 
-def route_by_table(changes: DataFrame, tables: Mapping[str, str] = TOPICS, table_col: str = "table") -> dict[str, DataFrame]:
+def route_by_table(
+    changes: DataFrame, tables: Mapping[str, str] = TOPICS, table_col: str = "table"
+) -> dict[str, DataFrame]:
     """Split one change DataFrame by source table; the keys of the result are the topics."""
     return {
         topic: changes.where(F.col(table_col) == table).withColumn("topic", F.lit(topic))

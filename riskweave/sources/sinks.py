@@ -32,7 +32,9 @@ def write_json_batch(df: DataFrame, key_col: str, topic: str, sink: Mapping[str,
         records.write.format("kafka").options(**sink).save()
 
 
-def write_json_stream(df: DataFrame, key_col: str, topic: str, sink: Mapping[str, str], checkpoint: str) -> DataStreamWriter:
+def write_json_stream(
+    df: DataFrame, key_col: str, topic: str, sink: Mapping[str, str], checkpoint: str
+) -> DataStreamWriter:
     """Stream form of ``write_json_batch``; start it with ``.start()``."""
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, batch_id: write_json_batch(batch, key_col, topic, sink, batch_id)

@@ -213,13 +213,26 @@ def test_verdict_checks(spark):
 
 
 @pytest.fixture(scope="module")
-def board(spark):
-    """Three cases: with verdict and actions, without verdict, and with nothing to look up."""
-    from riskweave.schemas import ANOMALY, CASE_ACTION, VERDICT
+def tables(spark):
+    """Scored transactions, transactions, accounts, merchants, verdicts, actions."""
+    from riskweave.schemas import CASE_ACTION, VERDICT
 
     merchants, accounts = profiles(spark)
     txns = frame(spark, [txn(1, "us", 250, 1, 2, merchant="hi"), txn(2, "fr", 10, merchant="low", at=5)])
     scored = score_transactions(enrich(txns, merchants, accounts))
+    verdicts = spark.createDataFrame([("c1", True, 0.9, 85, "CONFIRMED_FRAUD", "r", ["block"], "m", 150)], VERDICT)
+    actions = spark.createDataFrame(
+        [("1", "c1", "ESCALATE", None, 160), ("2", "c1", "DENY", "n", 170), ("3", "c1", "APPROVE", None, 170)],
+        CASE_ACTION,
+    )
+    return scored, txns, accounts, merchants, verdicts, actions
+
+
+@pytest.fixture(scope="module")
+def board(spark, tables):
+    """Three cases: with verdict and actions, without verdict, and with nothing to look up."""
+    from riskweave.schemas import ANOMALY
+
     anomalies = spark.createDataFrame(
         [
             ("c1", "000001", "us", "AMOUNT_SPIKE", {"z_score": "4.00", "amount": "250.00"}, 100),
@@ -228,11 +241,8 @@ def board(spark):
         ],
         ANOMALY,
     )
-    verdicts = spark.createDataFrame([("c1", True, 0.9, 85, "CONFIRMED_FRAUD", "r", ["block"], "m", 150)], VERDICT)
-    actions = spark.createDataFrame(
-        [("1", "c1", "ESCALATE", None, 160), ("2", "c1", "DENY", "n", 170), ("3", "c1", "APPROVE", None, 170)], CASE_ACTION
-    )
-    view = cases.case_view(anomalies, scored, txns, accounts, merchants, verdicts, actions)
+    verdicts, actions = tables[4:]
+    view = cases.case_view(anomalies, *tables)
     return view, anomalies, verdicts, actions
 
 
@@ -250,6 +260,19 @@ def test_case_pages_and_queues(board):
     assert [r.id for r in cases.pending_cases(view, verdicts, 1).collect()] == ["c2"]
 
 
+def test_view_of_a_few_cases_equals_the_whole_view(spark, board, tables):
+    view, anomalies, verdicts, _ = board
+    whole = {r.id: r for r in view.collect()}
+    for selected in (
+        cases.newest_page(anomalies, 2, 1),
+        cases.oldest_pending(anomalies, verdicts, 1),
+        cases.one_case(anomalies, "c3"),
+        cases.one_case(anomalies, "nope"),
+    ):
+        few = cases.case_view_of(selected, *tables)
+        assert {r.id: r for r in few.collect()} == {r.id: whole[r.id] for r in selected.collect()}
+
+
 def test_case_detail(board):
     view, _, _, actions = board
     rows = cases.case_detail(view, actions, "c1").collect()
