@@ -417,10 +417,21 @@ SELECTS["stream_spend"] = """
         from spend where window_end_ms <= (select max(event_time_ms) from txn) - 5000"""
 
 
-def statement(select: str) -> str:
-    views = ",\n".join(f"{name} as ({body})" for name, body in VIEWS.items())
+# Every third account counts as the same one.
+HOT = {
+    "txn": """
+        select * replace (case when cast(account_id as bigint) % 3 = 0 then 'hot' else account_id end as account_id)
+        from fx_all where op <> 'd'"""
+}
+SELECTS["anomalies_hot_account"] = "select id, transaction_id, account_id, reason_code, detected_at_ms from anomalies"
+SELECTS["lateness_in_slots"] = SELECTS["lateness_buckets"]
+VARIANTS = {"anomalies_hot_account": HOT}
+
+
+def statement(select: str, changed: dict[str, str]) -> str:
+    views = ",\n".join(f"{name} as ({body})" for name, body in (VIEWS | changed).items())
     return f"with {views}\n{select}"
 
 
 def statements() -> dict[str, str]:
-    return {name: statement(select) for name, select in SELECTS.items()}
+    return {name: statement(select, VARIANTS.get(name, {})) for name, select in SELECTS.items()}

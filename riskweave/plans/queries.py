@@ -14,6 +14,7 @@ from riskweave.operators import cases, reports, rules, spend
 from riskweave.operators.ema import account_ema
 from riskweave.operators.enrich import enrich, enrich_accounts, enrich_asof, enrich_merchants
 from riskweave.operators.lateness import classify_lateness, late_counts
+from riskweave.operators.ordered import SplitPolicy
 from riskweave.operators.score import COMPONENTS, score_components
 from riskweave.operators.upsert import append_idempotent, insert_if_absent, upsert
 from riskweave.operators.verdicts import validate_verdicts
@@ -29,6 +30,8 @@ Query = Callable[[Fixture], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 DIGITS = 6
+# Cuts keys of more than a thousand rows, or of a ten-thousandth of all rows if that is more.
+SLOTS = SplitPolicy(min_rows=1000)
 CASE_COLUMNS = (
     "id",
     "transaction_id",
@@ -287,6 +290,14 @@ def anomalies_all(fx: Fixture) -> DataFrame:
     return fx.anomalies.withColumn("evidence_keys", F.size("evidence")).drop("evidence")
 
 
+@query
+def anomalies_hot_account(fx: Fixture) -> DataFrame:
+    """The rules where one account holds a third of the rows and is cut into slots."""
+    hot = F.when(number("account_id") % 3 == 0, F.lit("hot")).otherwise(F.col("account_id"))
+    skewed = fx.transactions.withColumn("account_id", hot)
+    return rules.detect_anomalies(skewed, PARAMS, SLOTS).drop("evidence")
+
+
 @query
 def anomalies_by_reason(fx: Fixture) -> DataFrame:
     return reports.anomalies_by_reason(fx.anomalies)
@@ -514,6 +525,12 @@ def lateness_buckets(fx: Fixture) -> DataFrame:
     return classify_lateness(arrivals(fx), "offset")
 
 
+@query
+def lateness_in_slots(fx: Fixture) -> DataFrame:
+    """The same with the log cut into slots, as any large log is."""
+    return classify_lateness(arrivals(fx), "offset", policy=SLOTS)
+
+
 @query
 def lateness_by_account(fx: Fixture) -> DataFrame:
     """Lateness against one watermark per account."""
