@@ -33,6 +33,23 @@ STREAM_SETTINGS = {
 }
 
 
+SHUFFLE_BYTES = 256 * 1024 * 1024
+
+
+def sizes_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Partition settings for a batch over ``input_bytes`` on ``cores`` executor cores.
+
+    Adaptive execution joins partitions that are too small but does not split those of a window, so the
+    count starts from the data. A stateful stream keeps the count of its first start.
+    """
+    partitions = max(3 * cores, input_bytes // SHUFFLE_BYTES)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(SHUFFLE_BYTES),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_BYTES),
+    }
+
+
 # Scratch folders of local sessions that name no shared folder, by application.
 _LOCAL_DIRS: dict[str, str] = {}
 

@@ -230,3 +230,10 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
         shared_dir(session(None, "yarn"))
     assert shared_dir(spark) == shared_dir(spark)
     assert working_dir(spark, "x") != working_dir(spark, "x")
+
+
+def test_partitions_grow_with_the_input():
+    from riskweave.session import sizes_for
+
+    assert sizes_for(0, 8)["spark.sql.shuffle.partitions"] == "24"
+    assert sizes_for(100 * 1024**4, 8000)["spark.sql.shuffle.partitions"] == str(100 * 1024 * 4 * 1024)
