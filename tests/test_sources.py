@@ -232,8 +232,9 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
     assert working_dir(spark, "x") != working_dir(spark, "x")
 
 
-def test_partitions_grow_with_the_input():
+def test_partitions_grow_with_the_input_up_to_a_bound():
     from riskweave.session import sizes_for
 
-    assert sizes_for(0, 8)["spark.sql.shuffle.partitions"] == "24"
-    assert sizes_for(100 * 1024**4, 8000)["spark.sql.shuffle.partitions"] == str(100 * 1024 * 4 * 1024)
+    counts = [sizes_for(n * 1024**4, 8)["spark.sql.shuffle.partitions"] for n in (0, 1, 100)]
+    assert counts == ["24", "4096", "40000"]
+    assert int(sizes_for(100 * 1024**4, 8)["spark.sql.files.maxPartitionBytes"]) > 1024**3
