@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskweave.llm import chunk_recipes, language_codes, line_quality
 from riskweave.llm.common import read_table
 from riskweave.llm.pieces import encode_texts
 from riskweave.llm.token_counts import token_counts
@@ -20,6 +21,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that aren't held out."""
+    return line_quality.document_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return encode_texts(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
@@ -30,9 +36,39 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that aren't held out."""
+    return language_codes.label(read_table(spark, sf_dir, "documents"))
+
+
+def op10_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all documents."""
+    return chunk_recipes.exact_groups(read_table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op8_language": op8_language,
+    "op10_exact_copies": op10_exact_copies,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_copies": r"""
+        with texts as (
+            select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as text from documents
+        ), named as (
+            select doc_id, sha256(text) as text_sha256, cast(strlen(text) as bigint) as n_bytes from texts
+        )
+        select
+            doc_id,
+            min(doc_id) over same as keep_id,
+            count(*) over same as group_size,
+            doc_id = min(doc_id) over same as kept,
+            text_sha256,
+            n_bytes
+        from named
+        window same as (partition by text_sha256)
+    """,
+}
