@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import chunk_recipes, language_codes, line_quality
+from riskweave.llm import chunk_recipes, language_codes, line_quality, mixing, secret_ledger
 from riskweave.llm.common import read_table
 from riskweave.llm.pieces import encode_texts
 from riskweave.llm.token_counts import token_counts
@@ -36,11 +36,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken when the sources are mixed to their weights."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that aren't held out."""
     return language_codes.label(read_table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, from a ledger that starts empty."""
+    return secret_ledger.scan_all(read_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents."""
     return chunk_recipes.exact_groups(read_table(spark, sf_dir, "documents")).drop("n_chunks")
@@ -50,7 +60,9 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op7_mix": op7_mix,
     "op8_language": op8_language,
+    "op9_secrets": op9_secrets,
     "op10_exact_copies": op10_exact_copies,
 }
 
