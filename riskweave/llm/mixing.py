@@ -5,8 +5,11 @@ its source's size. The whole part is certain; the fraction is rounded by the piv
 documents with fractions, one hands words to the other, in a random direction that is fair to both, until
 one of them is decided. Words are kept: what one gives, the other gets, so the source's words stay at
 their target up to the last undecided document. Documents are paired within blocks, the one that is left
-of each block goes up to a block of the next level, and so on: a tree of blocks of bounded size. Long
-documents come first in each block, so the last undecided one is short.
+of each block goes up to a block of the next level, and so on: a tree of blocks of bounded size.
+
+A document that holds much of its source is too long for the others to make up for one at a time. So
+the few longest are decided first, and what they take too much or too little changes the fraction of all
+shorter ones together. Long documents also come first in each block, so the last undecided one is short.
 
 Only DataFrame functions are used, and all draws are hashes, so a rerun takes the same documents.
 """
@@ -24,6 +27,8 @@ from riskweave.llm.common import WORD, store
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Documents that meet in one block on average.
 BLOCK = 100
+#: Documents that hold one part in so many of their source, or more, are decided before shorter ones; they are as many at most.
+LAYERS = (10, 100, 1000)
 
 
 def word_count(text: Column) -> Column:
@@ -108,6 +113,34 @@ def _id_type(items: DataFrame) -> str:
     return items.select("item.doc_id").schema["doc_id"].dataType.simpleString()
 
 
+def _by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Add the columns of a table of sources; null is a source."""
+    named = per_source.withColumnRenamed("source", "_source")
+    return rows.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
+def _items(rows: DataFrame, shares: DataFrame, block: Column, order: Column) -> DataFrame:
+    """The rows as members of blocks, each with its source's fraction."""
+    item = F.struct("doc_id", "size", F.col("whole").cast("long").alias("whole"), "p")
+    placed = _by_source(rows.drop("p"), shares.select("source", "p"))
+    return placed.select(
+        "source", "source_size", "target", block.alias("block"), F.struct(-F.col("size"), order).alias("order"), item.alias("item")
+    )
+
+
+def _decided(done: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The documents that their blocks have decided."""
+    one = done.select("source", "source_size", "target", F.explode("done").alias("d"))
+    return one.select("source", "source_size", "target", "d.*").select(*columns)
+
+
+def _drawn(done: DataFrame, seed: int, columns: tuple[str, ...]) -> DataFrame:
+    """The documents that are left, decided by a draw."""
+    last = _draw(F.lit(seed), F.col("left.doc_id"), F.col("left.size")) < F.col("left.p")
+    copies = F.col("left.whole") + last.cast("long")
+    return done.select("source", "source_size", "target", "left.doc_id", "left.size", copies.alias("copies")).select(*columns)
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, block: int = BLOCK
 ) -> DataFrame:
@@ -119,8 +152,7 @@ def mix(
     sizes = store(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = store(source_targets(sizes, weights, share, most), "targets")
     largest = targets.agg(F.max("documents")).first()[0] or 0
-    named = targets.withColumnRenamed("source", "_source")
-    rows = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = _by_source(sizes, targets)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.floor(ratio + 1e-12), F.lit(0.0)))
     open_ = (F.col("size") > 0) & (F.col("p") > 1e-12)
@@ -128,19 +160,26 @@ def mix(
     parts = [rows.where(~open_).withColumn("copies", F.col("whole")).select(*columns)]
     blocks = F.ceil(F.col("documents") / block)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    items = rows.where(open_).select(
-        "source",
-        "source_size",
-        "target",
-        F.pmod(order, blocks).alias("block"),
-        F.struct(-F.col("size"), order).alias("order"),
-        F.struct("doc_id", "size", F.col("whole").cast("long").alias("whole"), "p").alias("item"),
-    )
+    layer = reduce(lambda other, k: F.when(F.col("size") * LAYERS[k] >= F.col("source_size"), k).otherwise(other), range(len(LAYERS) - 1, -1, -1), F.lit(len(LAYERS)))
+    rows = rows.where(open_).withColumn("layer", layer)
+    # The fraction is one number per source and layer: what is left of it when the longer documents are decided.
+    words = [F.sum(F.when(F.col("layer") > k, F.col("size")).otherwise(0)).alias(f"rest{k}") for k in range(len(LAYERS))]
+    shares = store(rows.groupBy("source").agg(F.max("p").alias("p"), *words), "shares")
+    for k in range(len(LAYERS)):
+        items = _items(rows.where(F.col("layer") == k), shares, F.lit(0), order)
+        done = store(_round_blocks(items, seed - k - 1), "longest")
+        decided = _decided(done, columns).unionByName(_drawn(done, seed, columns))
+        parts.append(decided)
+        got = decided.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"), F.sum("size").alias("words"), F.max(F.floor(F.col("target") / F.col("source_size") + 1e-12)).alias("whole"))
+        over = F.coalesce(F.col("got") - (F.col("whole") + F.col("p")) * F.col("words"), F.lit(0.0))
+        rest = F.when(F.col(f"rest{k}") > 0, over / F.col(f"rest{k}")).otherwise(0.0)
+        shares = _by_source(shares, got).withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") - rest)))
+        shares = store(shares.drop("got", "words", "whole"), "shares")
+    items = _items(rows.where(F.col("layer") == len(LAYERS)), shares, F.pmod(order, blocks), order)
     level, count = 0, math.ceil(largest / block)
     while True:
         done = store(_round_blocks(items, seed + level), "blocks")
-        decided = done.select("source", "source_size", "target", F.explode("done").alias("d"))
-        parts.append(decided.select("d.doc_id", "source", "d.size", "source_size", "target", "d.copies").select(*columns))
+        parts.append(_decided(done, columns))
         if count <= 1:
             break
         items = done.select(
@@ -152,12 +191,7 @@ def mix(
             F.col("left").alias("item"),
         )
         level, count = level + 1, math.ceil(count / block)
-    last = _draw(F.lit(seed), F.col("left.doc_id"), F.col("left.size")) < F.col("left.p")
-    parts.append(
-        done.select(
-            "left.doc_id", "source", "left.size", "source_size", "target", (F.col("left.whole") + last.cast("long")).alias("copies")
-        ).select(*columns)
-    )
+    parts.append(_drawn(done, seed, columns))
     every = reduce(DataFrame.unionByName, parts)
     return every.withColumn("taken", F.col("copies") * F.col("size")).withColumn("source_size", F.col("source_size").cast("long"))
 
