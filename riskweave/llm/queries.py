@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import chunk_recipes, language_codes, line_quality, mixing, secret_ledger
+from riskweave.llm import chunk_recipes, count_tree, language_codes, line_quality, mixing, secret_ledger
 from riskweave.llm.common import read_table
 from riskweave.llm.pieces import encode_texts
 from riskweave.llm.token_counts import token_counts
@@ -31,6 +31,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
 
 
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their word triples."""
+    return count_tree.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -59,6 +64,7 @@ def op10_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_jaccard_components": op4_jaccard_components,
     "op6_token_counts": op6_token_counts,
     "op7_mix": op7_mix,
     "op8_language": op8_language,
