@@ -6,17 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskweave.llm.chunk_recipes import drop_copies
 from riskweave.llm.common import read_table, store
+from riskweave.llm.count_tree import keep_one
+from riskweave.llm.language_codes import keep_identified
+from riskweave.llm.mixing import take
 from riskweave.llm.pieces import encode_texts
 from riskweave.llm.queries import tokenizer
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known."""
+    return keep_identified(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its runs of five words."""
+    return keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return take(docs)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece encoding and decoding of every document that is left."""
+    """Ids of every document that is left, and what they decode to, as digests."""
     return encode_texts(docs, tokenizer("piece_bpe_32k.model"), with_ids=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("exact copies", exact_copies),
+    ("near copies", near_copies),
+    ("mixture", mixture),
     ("sentencepiece", tokenize),
 ]
 
@@ -28,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, each over what the one before it stored."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name)
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ a text on which two codewords come close is flagged.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import flat_bytes, held_out, map_column, sums
+from riskweave.llm.common import flat_bytes, held_out, map_column, small_batches, sums
 
 #: Training sample: documents per language and characters per document; longer documents teach nothing.
 SAMPLE, LONGEST = 400, 20_000
@@ -125,7 +126,18 @@ def sample(docs: DataFrame, languages: int = SAMPLE) -> list[tuple[str, str]]:
     return sorted((r[0], r[1]) for r in found.collect())
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _judge(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and ambiguity per text."""
+    if model.languages:
+        best, chance, close = decode(model, evidence(model, texts))
+    else:
+        best, chance, close = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    worded = np.array([bool(model.languages) and _LETTER.search(t) is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+    named = [model.languages[b] if w else UNDECIDED for b, w in zip(best, worded, strict=True)]
+    return named, np.where(worded, chance, 0.0), close | ~worded
+
+
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of every text in one pass; only the text is looked at.
 
     A text that is null or has no letter is ``und`` with score 0. Without a learned language, so is every text.
@@ -133,19 +145,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(column: pa.Array) -> dict[str, pa.Array]:
-        texts, model = column.to_pylist(), shared.value
-        if model.languages:
-            best, chance, close = decode(model, evidence(model, texts))
-        else:
-            best, chance, close = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        worded = np.array([bool(model.languages) and _LETTER.search(t) is not None and any(c.isalpha() for c in t) for t in texts])
-        return {
-            "lang_pred": pa.array([model.languages[b] if w else UNDECIDED for b, w in zip(best, worded, strict=True)]),
-            "score": pa.array(np.where(worded, chance, 0.0)),
-            "ambiguous": pa.array(close | ~worded),
-        }
+        named, chance, close = _judge(shared.value, column.to_pylist())
+        return {"lang_pred": pa.array(named, pa.string()), "score": pa.array(chance), "ambiguous": pa.array(close)}
 
-    return map_column(docs, rows, "lang_pred string, score double, ambiguous boolean", keep)
+    return map_column(docs, rows, "lang_pred string, score double, ambiguous boolean")
 
 
 def label(docs: DataFrame) -> DataFrame:
@@ -155,7 +158,14 @@ def label(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with all their columns."""
-    names = docs.columns
-    found = identify(docs, train(sample(docs)), keep=tuple(n for n in names if n != "text"))
-    return found
+    """The rows of ``docs`` whose text has a language with a score of ``least`` or more, with all their columns."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(sample(docs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, chance, _ = _judge(shared.value, [t or "" for t in batch.column("text").to_pylist()])
+                yield batch.filter(pa.array(chance >= least))
+
+    return docs.mapInArrow(run, docs.schema)

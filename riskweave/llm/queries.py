@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import chunk_recipes, count_tree, language_codes, line_quality, mixing, secret_ledger
+from riskweave.llm import chunk_recipes, count_tree, language_codes, line_quality, mixing, secret_ledger, shards, vantage
 from riskweave.llm.common import read_table
 from riskweave.llm.pieces import encode_texts
 from riskweave.llm.token_counts import token_counts
@@ -21,6 +21,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the shards in training order hold each sequence of token ids of every document."""
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    return shards.training_order(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end=50_256)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels that aren't held out."""
     return line_quality.document_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -36,6 +44,11 @@ def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tree.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest embeddings of every twentieth one."""
+    return vantage.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -62,9 +75,11 @@ def op10_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_training_order": op1_training_order,
     "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_jaccard_components": op4_jaccard_components,
+    "op5_nearest": op5_nearest,
     "op6_token_counts": op6_token_counts,
     "op7_mix": op7_mix,
     "op8_language": op8_language,
