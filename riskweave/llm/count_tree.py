@@ -31,6 +31,8 @@ from riskweave.llm.components import components
 GROUPS, LEAF, FANOUT = 64, 32, 16
 #: Nodes of a bucket that one task takes at once; larger buckets are cut into pairs of such chunks.
 CHUNK = 20_000
+#: Pairs of queries and points that a search lays out at once.
+PAIRS = 1 << 17
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -65,8 +67,8 @@ class Threshold:
         return -(-self.part * sizes // (self.over + self.part))
 
     def apart(self, sizes: int) -> int:
-        """The most elements that only one of them has."""
-        return sizes - 2 * int(self.shared(np.int64(sizes)))
+        """A bound on the elements that only one of two sets has, if their sizes add up to ``sizes`` or less."""
+        return (self.over - self.part) * sizes // (self.over + self.part)
 
     def bands(self, size: int) -> list[tuple[int, int]]:
         """The size bands of a set, as (smallest size, largest size); the second one if a partner may be in it."""
@@ -164,7 +166,7 @@ def partners(points: np.ndarray, sizes: np.ndarray, group: np.ndarray, rule: Thr
         stay = bound >= rule.shared(sizes[i] + sizes[j])
         return i[stay], j[stay], bound[stay]
     found = []
-    step = max(1, (1 << 17) // max(1, len(points) // LEAF))
+    step = max(1, PAIRS // len(points))
     for at in range(0, len(points), step):
         i, j, bound = tree.search(points[at : at + step], sizes[at : at + step], rule)
         i = i + at
@@ -235,7 +237,7 @@ def candidates(buckets: DataFrame, rule: Threshold, most: int | None) -> DataFra
     def made(rows: pa.Table) -> pa.RecordBatch:
         bucket = rows.column("bucket").to_numpy()
         node, sizes, group = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "component"))
-        points = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        points = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int32)
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         many = np.repeat(np.diff(starts), np.diff(starts))
         small = np.flatnonzero(many <= LEAF)
@@ -354,7 +356,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, part: int = 90, over: int
 
 
 def keep_one(docs: DataFrame, size: int = 5, part: int = 80, over: int = 100) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each component, with all columns; ids are unique."""
+    """The rows of ``docs`` whose id is the smallest of their component, with all columns; rows with a null id stay."""
     found = jaccard_components(docs, size, part, over)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
