@@ -163,7 +163,7 @@ def exact_groups(docs: DataFrame, size: int = 16) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     marked = docs.withColumn("_text_sha", F.sha2(normalised(F.col("text")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_sha") == F.col("_kept_sha"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_sha"]).select(*docs.columns)

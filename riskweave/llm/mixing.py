@@ -197,7 +197,13 @@ def mix(
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix` takes its id, with all their columns; ids are unique."""
-    taken = mix(docs, **options).where(F.col("copies") > 0).select(F.col("doc_id").alias("_id"), "copies")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_id", "copies", "_turn")
+    """The rows of ``docs``, each as often as :func:`mix` takes it, with all their columns.
+
+    Rows are told apart by a hash of id, source and text; rows that repeat all three each come as often as
+    all of them are taken together.
+    """
+    key = F.xxhash64("doc_id", "source", "text")
+    named = docs.select(key.alias("doc_id"), "source", "text")
+    taken = mix(named, **options).groupBy(F.col("doc_id").alias("_taken_key")).agg(F.sum("copies").alias("_taken_copies"))
+    joined = docs.withColumn("_taken_key", key).join(taken.where(F.col("_taken_copies") > 0), "_taken_key")
+    return joined.withColumn("_taken_turn", F.explode(F.sequence(F.lit(1), F.col("_taken_copies")))).select(*docs.columns)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -41,6 +42,7 @@ class Pieces:
         self.bytes = [0] * 256
         plain = {}
         self.surface: dict[str, str] = {}
+        self.spaced: set[str] = set()
         scores: dict[str, float] = {}
         for i in every:
             piece = model.id_to_piece(i)
@@ -55,6 +57,8 @@ class Pieces:
                 self.surface[str(i)] = " ⁇ "
             else:
                 self.surface[str(i)] = piece.replace(SPACE_SIGN, " ")
+                if piece.startswith(SPACE_SIGN):
+                    self.spaced.add(str(i))
                 if not model.is_unused(i):
                     plain[piece] = i
                     scores[piece] = -model.get_score(i)
@@ -84,11 +88,22 @@ class Pieces:
             return ""
         surface = self.surface
         text = "".join([surface[i] for i in ids.split(",")])
-        if text[:1] == " " and surface[ids.partition(",")[0]][:1] == " ":
-            text = text[1:]
+        if text[:1] == " ":  # the sign before the first word stands for no space of the text
+            first = next(i for i in _each(ids) if surface[i])
+            text = text[1:] if first in self.spaced else text
         return text if text.isascii() else _BYTE.sub(_from_bytes, text)
 
 
+def _each(ids: str) -> Iterator[str]:
+    """The ids one by one, without splitting them all."""
+    at = 0
+    while at <= len(ids):
+        end = ids.find(",", at)
+        end = len(ids) if end < 0 else end
+        yield ids[at:end]
+        at = end + 1
+
+
 def _from_bytes(found: re.Match) -> str:
     """The characters of a run of stand-ins; a byte that belongs to none becomes U+FFFD."""
     raw, text, at = bytes(ord(c) - 0xDC00 for c in found[0]), [], 0

@@ -109,7 +109,8 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], base:
     joined = paths.join(per_blob, "blob", "left").withColumn("all", F.coalesce("all", none))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(kinds, s["rule"] + 1), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("all", lambda s, k=k: s["rule"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(rules[:base])]
+    count = lambda k: F.size(F.filter("all", lambda s: s["rule"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(rules[:base])]
     return joined.select(
         "doc_id", *counts, F.sha2(listed(F.filter("all", lambda s: s["rule"] < base)), 256).alias("base_sha256"), listed(F.col("all")).alias("spans")
     )
