@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import map_column, store
+from riskweave.llm.common import map_column, small_batches, store
 from riskweave.llm.components import components
 
 GROUPS, LEAF, FANOUT = 64, 32, 16
 #: Nodes of a bucket that one task takes at once; larger buckets are cut into pairs of such chunks.
 CHUNK = 20_000
+#: Rows of a table of two numbers up to which it is broadcast.
+SMALL = 500_000
 #: Pairs of queries and points that a search lays out at once.
 PAIRS = 1 << 17
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -195,41 +197,50 @@ def _small_buckets(points: np.ndarray, sizes: np.ndarray, group: np.ndarray, buc
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def describe(docs: DataFrame, size: int, rule: Threshold, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, node, proof, counts, signatures) per row; node and proof are hashes of the whole set."""
+def _name(grams: np.ndarray, seed: int) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes(), seed) - (1 << 63)
+
+
+def describe(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """(doc_id, n_shingles, node, proof, counts) per row; node and proof are hashes of the whole set."""
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
-        n, node, proof, counts, marks = [], [], [], [], []
-        for text in texts.to_pylist():
-            grams = ngrams(text, size, seed)
-            raw = grams.tobytes()
-            n.append(len(grams))
-            node.append(xxhash.xxh64_intdigest(raw, seed) - (1 << 63))
-            proof.append(xxhash.xxh64_intdigest(raw, seed + 1) - (1 << 63))
-            counts.append(np.bincount((grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
-            marks.append(rule.signatures(grams).view(np.int64))
-        ends = np.cumsum([0, *map(len, marks)])
+        sets = [ngrams(t, size, seed) for t in texts.to_pylist()]
+        groups = [(grams & np.uint64(GROUPS - 1)).astype(np.int64) for grams in sets]
         return {
-            "n_shingles": pa.array(n, pa.int64()),
-            "node": pa.array(node, pa.int64()),
-            "proof": pa.array(proof, pa.int64()),
-            "counts": pa.array(counts, pa.binary()),
-            "signatures": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks))),
+            "n_shingles": pa.array([len(grams) for grams in sets], pa.int64()),
+            "node": pa.array([_name(grams, seed) for grams in sets], pa.int64()),
+            "proof": pa.array([_name(grams, seed + 1) for grams in sets], pa.int64()),
+            "counts": pa.array([np.bincount(g, minlength=GROUPS).astype(np.uint32).tobytes() for g in groups], pa.binary()),
         }
 
-    return map_column(docs, rows, "n_shingles long, node long, proof long, counts binary, signatures array<long>")
+    return map_column(docs, rows, "n_shingles long, node long, proof long, counts binary")
+
+
+def blocks(docs: DataFrame, size: int, rule: Threshold, seed: int) -> DataFrame:
+    """(signature, node) of every block of every row. Computed anew rather than stored, as it is larger than the texts."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for text in batch.column("text").to_pylist():
+                grams = ngrams(text or "", size, seed)
+                marks.append(rule.signatures(grams))
+                nodes.append(np.full(len(marks[-1]), _name(grams, seed)))
+            yield pa.RecordBatch.from_pydict(
+                {"signature": pa.array(np.concatenate(marks).view(np.int64)), "node": pa.array(np.concatenate(nodes))}
+            )
+
+    return docs.select("text").mapInArrow(run, "signature long, node long")
 
 
 def candidates(buckets: DataFrame, rule: Threshold, most: int | None) -> DataFrame:
-    """(a, b, bound) of the nodes of (signature, node, n_shingles, counts, component) that their bucket's tree brings together."""
-    same = Window.partitionBy("signature")
-    mixed = buckets.withColumns(
-        {"_low": F.min("component").over(same), "_high": F.max("component").over(same), "_many": F.count(F.lit(1)).over(same)}
-    ).where(F.col("_low") != F.col("_high"))
-    chunks = F.ceil(F.col("_many") / CHUNK).cast("int")
+    """(a, b, bound) of the nodes of (signature, many, node, n_shingles, counts, component) that their bucket's tree brings together."""
+    chunks = F.ceil(F.col("many") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(c, own).alias("x"), F.greatest(c, own).alias("y")))
-    keyed = mixed.withColumn("_pair", F.explode(others)).select(
+    keyed = buckets.withColumn("_pair", F.explode(others)).select(
         F.xxhash64("signature", "_pair.x", "_pair.y").alias("bucket"), "node", "n_shingles", "counts", "component"
     )
     dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "node")
@@ -292,7 +303,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, seed: int) -> DataFrame
 
     def rows(column: pa.Array) -> dict[str, pa.Array]:
         grams = [ngrams(t, size, seed).tobytes() for t in column.to_pylist()]
-        return {"grams": pa.array(grams, pa.binary()), "found": pa.array([xxhash.xxh64_intdigest(g, seed) - (1 << 63) for g in grams], pa.int64())}
+        return {"grams": pa.array(grams, pa.binary()), "found": pa.array([_name(np.frombuffer(g, np.uint64), seed) for g in grams], pa.int64())}
 
     made = map_column(texts, rows, "grams binary, found long", keep=("node",))
     # An id that several texts have brings them all; the node tells which one is meant.
@@ -309,7 +320,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, part: int = 90, over: int
     """
     rule, seed = Threshold(part, over), 0
     while True:
-        rows = store(describe(docs, size, rule, seed), "described")
+        rows = store(describe(docs, size, seed), "described")
         nodes = store(
             rows.where(F.col("n_shingles") > 0)
             .groupBy("node")
@@ -319,30 +330,38 @@ def jaccard_components(docs: DataFrame, size: int = 3, part: int = 90, over: int
         if nodes.where(F.col("low") != F.col("high")).isEmpty():
             break
         seed += 2  # two sets had one hash: take another
-    met = rows.select(F.explode("signatures").alias("signature"), "node")
     same = Window.partitionBy("signature")
-    met = met.withColumns({"_low": F.min("node").over(same), "_high": F.max("node").over(same)})
-    buckets = store(met.where(F.col("_low") != F.col("_high")).select("signature", "node").distinct(), "buckets")
+    met = blocks(docs, size, rule, seed).withColumns({"_low": F.min("node").over(same), "_high": F.max("node").over(same)})
+    met = met.where(F.col("_low") != F.col("_high")).select("signature", "node").distinct()
+    buckets = store(met.withColumn("many", F.count(F.lit(1)).over(same)), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    sets = store(_sets(docs, wanted.where(F.col("doc_id").isNotNull()), size, seed), "sets")
+    wanted = store(wanted.where(F.col("doc_id").isNotNull()), "wanted")
+    if wanted.count() <= SMALL:  # 16 bytes a row; else the texts are shuffled
+        wanted = F.broadcast(wanted)
+    sets = store(_sets(docs, wanted, size, seed), "sets")
+    points = nodes.select("node", "n_shingles", "counts")
     labels = nodes.select("node", F.col("node").alias("component"))
-    links = tried = None
+    links = tried = leaves = None
     for most in (0, 4, None):
-        known = buckets.join(nodes.select("node", "n_shingles", "counts").join(labels, "node"), "node")
-        pairs = candidates(known, rule, most)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if leaves is None:  # pairs of one leaf: all that smaller buckets have
+            known = buckets.join(points.withColumn("component", F.col("node")), "node")
+            pairs = leaves = store(candidates(known, rule, most), "candidates")
+        else:
+            known = buckets.where(F.col("many") > LEAF).join(labels, "node")
+            known = known.withColumns({"_low": F.min("component").over(same), "_high": F.max("component").over(same)})
+            known = known.where(F.col("_low") != F.col("_high")).drop("_low", "_high").join(points, "node")
+            pairs = candidates(known, rule, most).union(leaves).distinct().join(tried, ["a", "b"], "left_anti")
+            ends = [labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b")]
+            pairs = pairs.join(ends[0], "a").join(ends[1], "b").where(F.col("_a") != F.col("_b"))
         if most is not None:  # each node's most promising partner
-            ends = pairs.select(F.col("a").alias("node"), "a", "b", "bound").union(pairs.select(F.col("b").alias("node"), "a", "b", "bound"))
-            best = ends.groupBy("node").agg(F.max(F.struct("bound", "a", "b")).alias("best"))
-            pairs = best.select("best.a", "best.b").distinct()
+            sides = [F.struct(F.col(c).alias("node"), F.struct("bound", "a", "b").alias("pair")) for c in ("a", "b")]
+            ranked = pairs.select(F.inline(F.array(*sides)))
+            pairs = ranked.groupBy("node").agg(F.max("pair").alias("best")).select("best.a", "best.b").distinct()
         pairs = store(pairs.select("a", "b"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
         if pairs.isEmpty():
-            if most is None:
-                break
             continue
         new = store(verified(pairs, sets, rule), "verified")
-        tried = pairs if tried is None else tried.union(pairs)
         links = new if links is None else links.union(new)
         found = components(links)
         labels = store(
