@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import small_batches, store
 
 #: Vectors of a shard and queries of a block, on average, and vectors of a page.
-SHARD, BLOCK, PAGE = 20_000, 2_000, 128
-QUERY_STEP, NEAREST, FACTOR = 20, 20, 1.1
+SHARD, BLOCK, PAGE = 20_000, 2_000, 512
+QUERY_STEP, NEAREST, FACTOR = 20, 20, 4.0
 
 
 class VantageTree:
@@ -82,9 +82,11 @@ class VantageTree:
                 got[skip[who][:, None] == there[None]] = -np.inf
                 every = np.hstack([best[who], got])
                 named = np.hstack([rows[who], np.broadcast_to(there, got.shape)])
-                first = np.argsort(-every, axis=1, kind="stable")[:, :held]
-                best[who] = np.take_along_axis(every, first, axis=1)
-                rows[who] = np.take_along_axis(named, first, axis=1)
+                first = np.argpartition(-every, held - 1, axis=1)[:, :held]
+                some = np.take_along_axis(every, first, axis=1)
+                ranked = np.argsort(-some, axis=1, kind="stable")
+                best[who] = np.take_along_axis(some, ranked, axis=1)
+                rows[who] = np.take_along_axis(np.take_along_axis(named, first, axis=1), ranked, axis=1)
         return rows, best
 
 
