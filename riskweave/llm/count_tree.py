@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import map_column, small_batches, store
 from riskweave.llm.components import components
 
-GROUPS, LEAF, FANOUT = 64, 32, 16
+GROUPS, LEAF, FANOUT = 256, 32, 16
 #: Nodes of a bucket that one task takes at once; larger buckets are cut into pairs of such chunks.
 CHUNK = 20_000
 #: Rows of a table of two numbers up to which it is broadcast.
 SMALL = 500_000
 #: Pairs of queries and points that a search lays out at once.
-PAIRS = 1 << 17
+PAIRS = 1 << 15
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -102,6 +102,26 @@ class Threshold:
         return np.concatenate(made) if made else np.zeros(0, np.uint64)
 
 
+def pack(grams: np.ndarray) -> bytes:
+    """Numbers per group, in 16 bits; the largest one stands for any number from it on."""
+    counts = np.bincount((grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
+
+
+def unpack(rows: list[bytes]) -> np.ndarray:
+    counts = np.frombuffer(b"".join(rows), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+    counts[counts == 65_535] = 1 << 22  # a bound on sums of all groups must stay one, and fit
+    return counts
+
+
+def bounds(points: np.ndarray, i: np.ndarray, others: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Most that points i and others j share; a bounded number of pairs is laid out at once."""
+    parts = [np.zeros(0, np.int64)]
+    for at in range(0, len(i), PAIRS):
+        parts.append(np.minimum(points[i[at : at + PAIRS]], others[j[at : at + PAIRS]]).sum(axis=1, dtype=np.int64))
+    return np.concatenate(parts)
+
+
 class CountTree:
     """R-tree over count vectors, packed by splitting at the median of the coordinate that varies most."""
 
@@ -131,7 +151,7 @@ class CountTree:
         query, page = np.arange(len(point)), np.zeros(len(point), dtype=np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             high, small, width = self.levels[level]
-            bound = np.minimum(point[query], high[page]).sum(axis=1)
+            bound = bounds(point, query, high, page)
             stay = bound >= rule.shared(size[query] + small[page])
             query, page = query[stay], page[stay]
             below = len(self.levels[level - 1][0]) if level else len(self.points)
@@ -139,7 +159,7 @@ class CountTree:
             page = (page[:, None] * width + np.arange(width)).ravel()
             real = page < below
             query, page = query[real], page[real]
-        bound = np.minimum(point[query], self.points[page]).sum(axis=1)
+        bound = bounds(point, query, self.points, page)
         stay = bound >= rule.shared(size[query] + self.sizes[page])
         return query[stay], self.order[page[stay]], bound[stay]
 
@@ -164,7 +184,7 @@ def partners(points: np.ndarray, sizes: np.ndarray, group: np.ndarray, rule: Thr
         i, j = tree.leaf_pairs()
         apart = group[i] != group[j]
         i, j = i[apart], j[apart]
-        bound = np.minimum(points[i], points[j]).sum(axis=1)
+        bound = bounds(points, i, points, j)
         stay = bound >= rule.shared(sizes[i] + sizes[j])
         return i[stay], j[stay], bound[stay]
     found = []
@@ -191,7 +211,7 @@ def _small_buckets(points: np.ndarray, sizes: np.ndarray, group: np.ndarray, buc
         if not len(at):
             break
         at = at[group[at] != group[at + shift]]
-        bound = np.minimum(points[at], points[at + shift]).sum(axis=1)
+        bound = bounds(points, at, points, at + shift)
         stay = bound >= rule.shared(sizes[at] + sizes[at + shift])
         found.append((at[stay], at[stay] + shift, bound[stay]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -206,12 +226,11 @@ def describe(docs: DataFrame, size: int, seed: int) -> DataFrame:
 
     def rows(texts: pa.Array) -> dict[str, pa.Array]:
         sets = [ngrams(t, size, seed) for t in texts.to_pylist()]
-        groups = [(grams & np.uint64(GROUPS - 1)).astype(np.int64) for grams in sets]
         return {
             "n_shingles": pa.array([len(grams) for grams in sets], pa.int64()),
             "node": pa.array([_name(grams, seed) for grams in sets], pa.int64()),
             "proof": pa.array([_name(grams, seed + 1) for grams in sets], pa.int64()),
-            "counts": pa.array([np.bincount(g, minlength=GROUPS).astype(np.uint32).tobytes() for g in groups], pa.binary()),
+            "counts": pa.array([pack(grams) for grams in sets], pa.binary()),
         }
 
     return map_column(docs, rows, "n_shingles long, node long, proof long, counts binary")
@@ -248,7 +267,7 @@ def candidates(buckets: DataFrame, rule: Threshold, most: int | None) -> DataFra
     def made(rows: pa.Table) -> pa.RecordBatch:
         bucket = rows.column("bucket").to_numpy()
         node, sizes, group = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "component"))
-        points = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int32)
+        points = unpack(rows.column("counts").to_pylist())
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         many = np.repeat(np.diff(starts), np.diff(starts))
         small = np.flatnonzero(many <= LEAF)
@@ -297,8 +316,13 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int, seed: int) -> DataFrame:
-    """(node, grams) of the wanted (doc_id, node), from the texts."""
+def _sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, seed: int) -> DataFrame:
+    """(node, grams) of the nodes in ``pairs``, from the texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
+    wanted = store(wanted.where(F.col("doc_id").isNotNull()), "wanted")
+    if wanted.count() <= SMALL:  # 16 bytes a row; else the texts are shuffled
+        wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
 
     def rows(column: pa.Array) -> dict[str, pa.Array]:
@@ -334,11 +358,6 @@ def jaccard_components(docs: DataFrame, size: int = 3, part: int = 90, over: int
     met = blocks(docs, size, rule, seed).withColumns({"_low": F.min("node").over(same), "_high": F.max("node").over(same)})
     met = met.where(F.col("_low") != F.col("_high")).select("signature", "node").distinct()
     buckets = store(met.withColumn("many", F.count(F.lit(1)).over(same)), "buckets")
-    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    wanted = store(wanted.where(F.col("doc_id").isNotNull()), "wanted")
-    if wanted.count() <= SMALL:  # 16 bytes a row; else the texts are shuffled
-        wanted = F.broadcast(wanted)
-    sets = store(_sets(docs, wanted, size, seed), "sets")
     points = nodes.select("node", "n_shingles", "counts")
     labels = nodes.select("node", F.col("node").alias("component"))
     links = tried = leaves = None
@@ -361,6 +380,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, part: int = 90, over: int
         tried = pairs if tried is None else tried.union(pairs)
         if pairs.isEmpty():
             continue
+        sets = store(_sets(docs, pairs, nodes, size, seed), "sets")
         new = store(verified(pairs, sets, rule), "verified")
         links = new if links is None else links.union(new)
         found = components(links)
