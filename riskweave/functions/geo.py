@@ -18,7 +18,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
         F.sin(half_lon), F.lit(2.0)
     )
     # Rounding can lift the chord of two opposite points above 1.
-    chord = F.least(chord, F.lit(1.0))
+    # What is no number or unknown stays so; least() would hide it.
+    chord = F.when(F.isnan(chord) | chord.isNull(), chord).otherwise(F.least(chord, F.lit(1.0)))
     return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(chord), F.sqrt(1 - chord))
 
 

@@ -91,15 +91,15 @@ def case_view_of(
 ) -> DataFrame:
     """``case_view`` of a few anomalies: a page, a queue, one case.
 
-    The other tables are cut to the selected ids while they are scanned, so none of them is shuffled.
-    ``selected`` comes from ``newest_page``, ``oldest_pending`` or ``one_case``; their bound is what
-    allows the ids to be broadcast. It is stored first, as each table needs it.
+    The other tables are cut to the selected ids before they are joined. ``selected`` usually comes from
+    ``newest_page``, ``oldest_pending`` or ``one_case``; it is stored first, as each table needs it, and so
+    Spark knows its size: few ids are broadcast and no table is shuffled, more are joined by a shuffle.
     """
     chosen = store(selected, "cases")
 
     def cut(table: DataFrame, ids: DataFrame, name: str, key: str) -> DataFrame:
         few = ids.select(F.col(name).alias(key)).distinct()
-        return table.join(F.broadcast(few), key, "left_semi")
+        return table.join(few, key, "left_semi")
 
     few_scored = cut(scored, chosen, "transaction_id", "transaction_id")
     return case_view(

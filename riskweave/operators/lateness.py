@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,11 @@ def classify_lateness(
 
     The watermark trails the largest event time that arrived before the row by ``tolerance_ms``.
     ``arrival_col`` is an integer that grows with arrival (an offset). ``by`` names the columns with
-    a watermark of their own, such as the source partition; without it there is one for all rows.
+    a watermark of their own, such as the source partition; without it there is one for all rows, which
+    are then cut into slots however few they are.
     """
+    if not by:
+        policy = replace(policy, min_rows=0, slot=policy.slot_rows)
     keys = list(by) or ["_all"]
     keyed = txns if by else txns.withColumn("_all", F.lit(0))
     seen = running(keyed, keys, [arrival_col], F.col("event_time_ms"), "_seen", LARGEST, policy)

@@ -1,13 +1,14 @@
 """Ordered per-key computations that do not depend on a key fitting into one task.
 
-A window partitioned by key puts all rows of the key into one task. Keys that hold a large share of the
-rows are therefore taken out, spread evenly over range partitions of (key, order), and stored with the
+A window partitioned by key puts all rows of the key into one task. Keys that hold many rows are
+therefore taken out, spread evenly over range partitions of (key, order), and stored with the
 number of their partition as slot. Each slot is computed on its own, and what happened in the earlier
 slots of the key is carried in from one small summary row per slot. The spread looks at the whole
 order, so a burst of rows at one moment is cut as well.
 
-The number of such keys and of slots is bounded by the policy and not by the data, which is what allows
-both to be broadcast. All other keys, normally all there are, take the plain window.
+A slot has about the same number of rows whatever the total is. The tables of large keys and of slots are
+joined without a hint: Spark broadcasts them if their measured size allows it. All other keys, normally
+all there are, take the plain window.
 """
 
 from __future__ import annotations
@@ -28,14 +29,17 @@ SLOT = "_slot"
 class SplitPolicy:
     """When a key is cut.
 
-    A key is cut if it has more than ``min_rows`` rows and more than one ``max_keys``-th of all rows,
-    so there are fewer than ``max_keys`` such keys. Together they get ``slots_per_share`` slots for each
-    such share of rows, hence at most ``max_keys * slots_per_share``.
+    A key is cut if it has more than ``min_rows`` rows; its slots hold about ``slot`` rows, by default one
+    ``slots_per_share``-th of that.
     """
 
     min_rows: int = 2_000_000
-    max_keys: int = 10_000
     slots_per_share: int = 2
+    slot: int | None = None
+
+    @property
+    def slot_rows(self) -> int:
+        return self.slot or max(1, self.min_rows // self.slots_per_share)
 
 
 @dataclass(frozen=True)
@@ -48,29 +52,24 @@ class LargeKeys:
 
     def of(self, df: DataFrame) -> DataFrame:
         """The rows of these keys."""
-        return df.join(F.broadcast(self.keys), self._same(df), "left_semi")
+        return df.join(self.keys, self._same(df), "left_semi")
 
     def others(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.keys), self._same(df), "left_anti")
+        return df.join(self.keys, self._same(df), "left_anti")
 
     def _same(self, df: DataFrame) -> list[Column]:
         return [df[name].eqNullSafe(self.keys[f"_large_{name}"]) for name in self.names]
 
 
 def large_keys(df: DataFrame, keys: list[str], policy: SplitPolicy = SplitPolicy()) -> LargeKeys | None:
-    """The keys to cut, or None. Reads the key columns once, and once more if there are any."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, most = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    share = max(policy.min_rows, (total or 0) / policy.max_keys)
-    if (most or 0) <= share:
+    """The keys to cut, or None. Reads the key columns once."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > policy.min_rows)
+    found = store(counts, "large-keys")
+    rows = found.agg(F.sum("_rows")).first()[0]
+    if not rows:
         return None
-    found = counts.where(F.col("_rows") > share).collect()  # fewer than max_keys
-    names = [f"_large_{key}" for key in keys]
-    types = [df.schema[key].dataType.simpleString() for key in keys]
-    schema = ", ".join(f"{name} {kind}" for name, kind in zip(names, types, strict=True))
-    table = df.sparkSession.createDataFrame([tuple(row)[: len(keys)] for row in found], schema)
-    rows = sum(row["_rows"] for row in found)
-    return LargeKeys(table, keys, max(2, math.ceil(rows / max(share, 1)) * policy.slots_per_share))
+    table = found.select(*[F.col(key).alias(f"_large_{key}") for key in keys])
+    return LargeKeys(table, keys, max(2, math.ceil(rows / policy.slot_rows)))
 
 
 def spread(rows: DataFrame, keys: list[str], order: list[str], slots: int) -> DataFrame:
@@ -90,11 +89,11 @@ def earlier_slots(keys: list[str]):
 
 
 def with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Join slot carries to the rows of their slots. The broadcast side is bounded by the policy."""
+    """Join slot carries to the rows of their slots."""
     on = [*keys, SLOT]
     named = carry.select(*[F.col(c).alias(f"_of_{c}") if c in on else F.col(c) for c in carry.columns])
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
-    return rows.join(F.broadcast(named), same, "left").drop(*[f"_of_{c}" for c in on])
+    return rows.join(named, same, "left").drop(*[f"_of_{c}" for c in on])
 
 
 @dataclass(frozen=True)

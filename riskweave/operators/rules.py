@@ -42,6 +42,12 @@ class Rule:
     evidence: Callable[[RuleParams], Column]
 
 
+def history_rows(scored: DataFrame, ties: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """What the rules read of a row, in batch and in streams; a missing amount or place counts as zero."""
+    numbers = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("amount", "latitude", "longitude")]
+    return scored.select("account_id", *ties, "event_time_ms", *numbers, *more)
+
+
 def account_history(
     scored: DataFrame,
     params: RuleParams = RuleParams(),
@@ -57,14 +63,7 @@ def account_history(
     repeated transaction ids. Without ``with_recent`` the count is left out, which halves the rows sorted.
     """
     ties = ["transaction_id"] + ([sequence] if sequence else [])
-    base = scored.select(
-        "account_id",
-        *ties,
-        "event_time_ms",
-        F.coalesce("amount", F.lit(0.0)).alias("amount"),
-        F.coalesce("latitude", F.lit(0.0)).alias("latitude"),
-        F.coalesce("longitude", F.lit(0.0)).alias("longitude"),
-    )
+    base = history_rows(scored, ties)
     large = large_keys(base, KEYS, policy)
     # The rows are exchanged before their leaving marks are added, which halves what is shuffled.
     whole = (large.others(base) if large else base).repartition(*KEYS)
@@ -193,6 +192,11 @@ def _text(value: Column) -> Column:
     return value.cast("string")
 
 
+def _above(value: Column, limit: float) -> Column:
+    """A value that is no number is above nothing; Spark orders it above all numbers."""
+    return ~F.isnan(value) & (value > limit)
+
+
 def _spike_z() -> Column:
     return z_score(F.col("amount"), F.col("prior_mean"), F.col("prior_stddev"))
 
@@ -208,7 +212,7 @@ def _too_fast(params: RuleParams) -> Column:
     return (
         has_location(F.col("latitude"), F.col("longitude"))
         & (F.col("previous.event_time_ms") > 0)
-        & (speed_kmh(km, ms) > params.max_kmh)
+        & _above(speed_kmh(km, ms), params.max_kmh)
     )
 
 
@@ -238,7 +242,7 @@ VELOCITY = Rule(
 
 AMOUNT_SPIKE = Rule(
     "AMOUNT_SPIKE",
-    fires=lambda p: (F.col("prior_count") >= p.min_history) & (_spike_z() > p.z_threshold),
+    fires=lambda p: (F.col("prior_count") >= p.min_history) & _above(_spike_z(), p.z_threshold),
     evidence=lambda p: F.create_map(
         F.lit("amount"), fixed(F.col("amount"), 2),
         F.lit("mean"), fixed(F.col("prior_mean"), 2),

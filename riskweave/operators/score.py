@@ -63,6 +63,7 @@ def total_score() -> Column:
     return F.when(F.isnan(total), total).otherwise(F.least(total, F.lit(1.0)))
 
 
-def score_transactions(enriched: DataFrame, weights: Weights = Weights()) -> DataFrame:
-    """Scored record: the transaction without its change code, the profile labels, score and breakdown."""
-    return score_components(enriched, weights).withColumn("risk_score", total_score()).select(*SCORED.fieldNames())
+def score_transactions(enriched: DataFrame, weights: Weights = Weights(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scored record: the transaction without its change code, the profile labels, score and breakdown; ``keep`` adds columns."""
+    scored = score_components(enriched, weights).withColumn("risk_score", total_score())
+    return scored.select(*SCORED.fieldNames(), *keep)

@@ -411,10 +411,7 @@ SELECTS = {
 
 SELECTS["stream_score"] = SELECTS["score_transactions"]
 SELECTS["stream_anomalies"] = SELECTS["anomalies_all"]
-# The watermark trails the last event by five seconds; later windows are still open.
-SELECTS["stream_spend"] = """
-        select * replace (round(total_amount, 6) as total_amount)
-        from spend where window_end_ms <= (select max(event_time_ms) from txn) - 5000"""
+SELECTS["stream_spend"] = SELECTS["spend_union"]
 
 
 # Every third account counts as the same one.

@@ -1,14 +1,13 @@
 """The stream jobs run over the stored test tables.
 
-History is fed in event order, one bounded slice after the other, as a log with a rate limit would
-deliver it. A slice is one micro-batch, so no account brings more rows into a micro-batch than a slice
-has. Results of windows the watermark has not passed stay in the state, as in any stream that stops.
+History is written once, as a log of files in event order, and one query works it off; how much of it
+comes into one micro-batch is the query's own bound on files. A last record, later than all others, lets
+the watermark pass every window.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -16,30 +15,34 @@ from pyspark.sql import functions as F
 
 from riskweave.plans.batch import score
 from riskweave.plans.fixtures import PARAMS, Fixture
+from riskweave.schemas import SCORED
 from riskweave.session import working_dir
 from riskweave.sources.sinks import as_json_records, read_current, read_log
-from riskweave.streaming.jobs import JobConfig, start_anomaly_job, start_score_job, start_spend_job
+from riskweave.streaming.jobs import OFFSET, PROCESSED, JobConfig, start_anomaly_job, start_score_job, start_spend_job
 
-SLICE_ROWS = 20_000_000
+#: Rows of a file of the log, and files at least: a micro-batch reads one file.
+FILE_ROWS, LEAST_FILES = 1_000_000, 4
 SPEND_KEYS = ["window_start_ms", "window_end_ms", "dimension", "dimension_value"]
-RAW, SCORED = "transactions.raw", "transactions.scored"
-
-
-def slices(fx: Fixture, slice_rows: int) -> Iterator[DataFrame]:
-    """Events in consecutive stretches of time of about ``slice_rows`` rows each."""
-    events = fx.table("events")
-    count = math.ceil(events.count() / slice_rows)
-    if count < 2:
-        yield events
-        return
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    steps = [i / count for i in range(1, count)]
-    # The rank of each bound is off by a tenth of a slice at most.
-    bounds = events.agg(F.percentile_approx(micros, steps, 10 * count)).first()[0]
-    edges = [F.timestamp_micros(F.lit(b)).cast("timestamp_ntz") for b in sorted(set(bounds))]
-    for start, end in zip([None, *edges], [*edges, None], strict=True):
-        part = events if start is None else events.where(F.col("ts") >= start)
-        yield part if end is None else part.where(F.col("ts") < end)
+RAW, SCORED_TOPIC = "transactions.raw", "transactions.scored"
+HEARTBEAT, HEARTBEAT_MS = "heartbeat", 3_600_000
+
+
+def write_log(records: DataFrame, order: str, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Write records as files in the order of ``order``, whatever it holds: rows without a value come first.
+
+    The file source reads older files first, so each file gets a time after the one before it, as if the
+    log had been written in that order.
+    """
+    spark = records.sparkSession
+    files = max(LEAST_FILES, math.ceil(records.count() / file_rows))
+    ranged = records.repartitionByRange(files, order).sortWithinPartitions(order)
+    ranged.drop(order).write.json(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    newest = max((fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(n)).getModificationTime() for n in names), default=0)
+    for k, name in enumerate(names):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(name), newest - 1000 * (len(names) - k), -1)
 
 
 def change_records(txns: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def change_records(txns: DataFrame) -> DataFrame:
 
 def _config(base: str, job: str, source: str) -> JobConfig:
     return JobConfig(
-        source={"path": f"{base}/{source}"},
+        source={"path": f"{base}/{source}", "maxFilesPerTrigger": "1"},
         checkpoint=f"{base}/checkpoints/{job}",
         table=f"{base}/{job}",
         interval=None,
@@ -64,38 +67,45 @@ def _config(base: str, job: str, source: str) -> JobConfig:
     )
 
 
-def replay_scores(fx: Fixture, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def replay_scores(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
     """Change log to scored transactions, upserted by transaction."""
     base = working_dir(fx.spark, "replay-scores")
     cfg = replace(_config(base, "scored", "changes"), sink={"path": f"{base}/published"})
-    for events in slices(fx, slice_rows):
-        change_records(fx.as_transactions(events)).write.mode("append").json(f"{base}/changes")
-        start_score_job(fx.spark, cfg, lambda: fx.merchants, lambda: fx.accounts).awaitTermination()
-    changing = ["risk_score", "score_breakdown"]
-    return read_current(fx.spark, cfg.table, ["transaction_id"], update_cols=changing, order_col="event_time_ms")
+    txns = fx.all_transactions
+    write_log(change_records(txns).withColumn("_at", F.col("offset")), "_at", cfg.source["path"], file_rows)
+    start_score_job(fx.spark, cfg, lambda: fx.merchants, lambda: fx.accounts).awaitTermination()
+    changing = ["risk_score", "score_breakdown", PROCESSED]
+    current = read_current(fx.spark, cfg.table, ["transaction_id"], update_cols=changing, order_col=OFFSET)
+    return current.drop(OFFSET, PROCESSED)
 
 
-def _feed_scored(fx: Fixture, events: DataFrame, path: str) -> None:
-    txns = fx.as_transactions(events).where(F.col("op") != "d")
+def _feed_scored(fx: Fixture, path: str, file_rows: int, heartbeat: bool = False) -> None:
+    txns = fx.all_transactions.where(F.col("op") != "d")
     scored = score(txns, fx.merchants, fx.accounts)
-    as_json_records(scored, "account_id", SCORED).write.mode("append").json(path)
-
-
-def replay_spend(fx: Fixture, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Scored transactions to the spend windows that are closed at the end of the log."""
+    if heartbeat:
+        last = scored.agg(F.max("event_time_ms").alias("_last")).where(F.col("_last").isNotNull())
+        made = {f.name: F.lit(None).cast(f.dataType) for f in SCORED.fields}
+        made |= {c: F.lit(HEARTBEAT) for c in ("transaction_id", "account_id")}
+        made["event_time_ms"] = F.col("_last") + HEARTBEAT_MS
+        scored = scored.unionByName(last.select(*[made[f.name].alias(f.name) for f in SCORED.fields]))
+    records = as_json_records(scored, "account_id", SCORED_TOPIC)
+    at = F.get_json_object("value", "$.event_time_ms").cast("bigint")
+    write_log(records.withColumn("_at", at), "_at", path, file_rows)
+
+
+def replay_spend(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Scored transactions to their spend windows; the window of the last record, a heartbeat, stays open."""
     base = working_dir(fx.spark, "replay-spend")
     cfg = _config(base, "spend", "scored")
-    for events in slices(fx, slice_rows):
-        _feed_scored(fx, events, f"{base}/scored")
-        start_spend_job(fx.spark, cfg).awaitTermination()
+    _feed_scored(fx, cfg.source["path"], file_rows, heartbeat=True)
+    start_spend_job(fx.spark, cfg).awaitTermination()
     return read_current(fx.spark, cfg.table, SPEND_KEYS)
 
 
-def replay_anomalies(fx: Fixture, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def replay_anomalies(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
     """Scored transactions to anomalies, with the account history as keyed state."""
     base = working_dir(fx.spark, "replay-anomalies")
     cfg = _config(base, "anomalies", "scored")
-    for events in slices(fx, slice_rows):
-        _feed_scored(fx, events, f"{base}/scored")
-        start_anomaly_job(fx.spark, cfg).awaitTermination()
+    _feed_scored(fx, cfg.source["path"], file_rows)
+    start_anomaly_job(fx.spark, cfg).awaitTermination()
     return read_log(fx.spark, cfg.table).drop("batch_id")

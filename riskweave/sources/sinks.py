@@ -57,15 +57,18 @@ def read_current(
 ) -> DataFrame:
     """Upsert semantics over the log: the newest batch wins, for ``update_cols`` only if they are given.
 
-    Other columns keep the value they were first inserted with. Within a batch ``order_col`` decides.
+    Other columns keep the value they were first inserted with. Within a batch ``order_col`` decides, such as
+    the offset a row came from; rows that tie in it are ordered by all their values, so that the choice
+    doesn't depend on how files are read.
     """
     rows = read_log(spark, path)
     columns = [c for c in rows.columns if c != BATCH]
     changing = [c for c in (columns if update_cols is None else update_cols) if c not in keys]
     fixed = [c for c in columns if c not in keys and c not in changing]
-    order = F.struct(BATCH, *([order_col] if order_col else []))
+    sortable = [c for c in columns if "map<" not in rows.schema[c].dataType.simpleString() and c != order_col]
+    order = F.struct(BATCH, *([order_col] if order_col else []), *sortable)
     picks = [F.max_by(F.struct(*changing), order).alias("_new")] if changing else []
-    picks += [F.min_by(F.struct(*fixed), F.struct(BATCH)).alias("_first")] if fixed else []
+    picks += [F.min_by(F.struct(*fixed), order).alias("_first")] if fixed else []
     parts = (["_new.*"] if changing else []) + (["_first.*"] if fixed else [])
     return rows.groupBy(*keys).agg(*picks).select(*keys, *parts).select(*columns)
 
@@ -94,13 +97,15 @@ def write_by_day(df: DataFrame, path: str, ms_col: str, by: tuple[str, ...] = ()
     ).parquet(path)
 
 
-def append_jdbc(df: DataFrame, options: Mapping[str, str], table: str, batch_size: int = 200, writers: int = 8) -> None:
-    """Append to a database table, ``batch_size`` rows per statement over at most ``writers`` connections.
+def append_jdbc(
+    df: DataFrame, options: Mapping[str, str], table: str, batch_size: int = 200, writers: int | None = None
+) -> None:
+    """Append to a database table, ``batch_size`` rows per statement, one connection per running task.
 
-    For an upsert append to a staging table and let the database merge it (``INSERT ... ON CONFLICT``).
+    ``writers`` bounds the connections where the database asks for it, at the price of a shuffle. For an
+    upsert append to a staging table and let the database merge it (``INSERT ... ON CONFLICT``).
     """
-    # A shuffle, so that fewer writers do not mean fewer tasks before them.
-    rows = df.repartition(writers)
+    rows = df.repartition(writers) if writers else df
     rows.write.format("jdbc").options(**options).option("dbtable", table).option("batchsize", batch_size).mode(
         "append"
     ).save()

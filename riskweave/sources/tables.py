@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,12 @@ def read_table(spark: SparkSession, name: str, location: str | Mapping[str, str]
     if location is None:
         return spark.table(name)
     if isinstance(location, str):
-        return spark.read.parquet(f"{location.rstrip('/')}/{name}")
+        try:
+            return spark.read.parquet(f"{location.rstrip('/')}/{name}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.read.parquet(f"{location.rstrip('/')}/{name}.parquet")
     return spark.read.format("jdbc").options(**location).option("dbtable", name).load()
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from riskweave.operators.rules import DEFAULT_RULES, Rule, apply_rules
+from riskweave.operators.rules import DEFAULT_RULES, Rule, apply_rules, history_rows
 from riskweave.params import RuleParams
 
 ROW = ("transaction_id", "event_time_ms", "amount", "latitude", "longitude")
@@ -22,16 +21,20 @@ FACT_SCHEMA = (
     "prev_latitude double, prev_longitude double, prev_event_time_ms long"
 )
 FACT_COLUMNS = [part.split()[0] for part in FACT_SCHEMA.split(", ")]
-PRUNE_DELAY_MS = 1000
+PLACE = ("prev_latitude", "prev_longitude", "prev_event_time_ms")
+STATE_SCHEMA = (
+    "n long, mean double, squares double, latitude double, longitude double, located_ms long, times array<long>"
+)
 
 
 class AnomalyProcessor(StatefulProcessor):
     """Emits each row of an account with the account's facts just before it.
 
-    State per account: the event times inside the velocity window, and one row with three numbers about
-    the amounts and the last location. The rows of a micro-batch are put in event-time order; between micro-batches
-    arrival order counts. ``strict_order`` holds rows back until the watermark has passed them, so that
-    order between micro-batches is event-time order too, at the price of the watermark delay.
+    State per account, in one value: three numbers about the amounts, the last location, and the event
+    times inside the velocity window. The rows of a micro-batch are put in event-time order; between
+    micro-batches arrival order counts, and late rows count like all others. ``strict_order`` holds rows back
+    until the watermark has passed them, so that order between micro-batches is event-time order too, at the
+    price of the watermark delay and of the rows behind it.
 
     The rows of one account in one micro-batch are held in memory: bound them with the source's
     ``maxOffsetsPerTrigger`` or ``maxBytesPerTrigger``.
@@ -43,85 +46,105 @@ class AnomalyProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "event_time_ms long")
-        # Amounts and place in one value: every state call is a round trip to the JVM.
-        self.summary = handle.getValueState(
-            "summary",
-            "n long, mean double, squares double, latitude double, longitude double, located_ms long",
-        )
+        # One value: every state call is a round trip to the JVM.
+        self.summary = handle.getValueState("summary", STATE_SCHEMA)
         self.waiting = handle.getListState("waiting", ROW_SCHEMA) if self.strict_order else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = [tuple(r) for batch in rows for r in batch[list(ROW)].itertuples(index=False, name=None)]
+        arrived = pd.concat([batch[list(ROW)] for batch in rows], ignore_index=True)
         if not self.strict_order:
             yield self._facts(key[0], arrived)
             return
-        self.waiting.appendList(arrived)
-        first = min(row[1] for row in arrived)
+        self.waiting.appendList(list(arrived.itertuples(index=False, name=None)))
+        first = int(arrived["event_time_ms"].min())
         if not any(timer <= first for timer in self.handle.listTimers()):
             self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.strict_order:
-            watermark = timerValues.getCurrentWatermarkInMs()
-            held = [tuple(row) for row in self.waiting.get()]
-            due = [row for row in held if row[1] <= watermark]
-            later = [row for row in held if row[1] > watermark]
-            if later:
-                self.waiting.put(later)
-                self.handle.registerTimer(min(row[1] for row in later))
-            else:
-                self.waiting.clear()
-            if due:
-                yield self._facts(key[0], due)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame([tuple(row) for row in self.waiting.get()], columns=list(ROW))
+        due = held["event_time_ms"] <= watermark
+        if due.all():
+            self.waiting.clear()
         else:
-            oldest = expiredTimerInfo.getExpiryTimeInMs() - self.params.window_ms - PRUNE_DELAY_MS
-            kept = [(t,) for (t,) in self.times.get() if t >= oldest]
-            if kept:
-                self.times.put(kept)
-            else:
-                self.times.clear()
+            later = held[~due]
+            self.waiting.put(list(later.itertuples(index=False, name=None)))
+            self.handle.registerTimer(int(later["event_time_ms"].min()))
+        if due.any():
+            yield self._facts(key[0], held[due])
 
     def close(self) -> None:
         pass
 
-    def _facts(self, account: str, rows: list[tuple]) -> pd.DataFrame:
-        recent = [t for (t,) in self.times.get()]
-        heapq.heapify(recent)
-        n, mean, squares, *place = self.summary.get() or (0, 0.0, 0.0, None, None, None)
-        facts, prune_at = [], None
-        for txn, now, amount, latitude, longitude in sorted(rows, key=lambda row: (row[1], row[0])):
-            heapq.heappush(recent, now)
-            while recent[0] < now - self.params.window_ms:
-                heapq.heappop(recent)
-            if len(recent) > self.params.max_txn and not self.strict_order:
-                prune_at = now + self.params.window_ms + PRUNE_DELAY_MS
-            spread = math.sqrt(squares / (n - 1)) if n > 1 else 0.0
-            facts.append(
-                (account, txn, now, amount, latitude, longitude, len(recent), n, mean if n else None, spread, *place)
-            )
-            n += 1
-            gap = amount - mean
-            mean += gap / n
-            squares += gap * (amount - mean)
-            if not (latitude == 0.0 and longitude == 0.0):
-                place = (latitude, longitude, now)
-        self.times.put([(t,) for t in recent])
-        self.summary.update((n, mean, squares, *place))
-        if prune_at is not None:
-            self.handle.registerTimer(prune_at)
-        # Left as objects: the output schema gives the types, and missing places stay null.
-        return pd.DataFrame(facts, columns=FACT_COLUMNS, dtype=object)
+    def _facts(self, account: str, rows: pd.DataFrame) -> pd.DataFrame:
+        n, mean, squares, latitude, longitude, located_ms, times = self.summary.get() or (0, 0.0, 0.0, None, None, None, [])
+        facts, state = account_facts(rows, (n, mean, squares), (latitude, longitude, located_ms), list(times or ()), self.params.window_ms)
+        self.summary.update(state)
+        facts.insert(0, "account_id", account)
+        return facts[FACT_COLUMNS]
+
+
+def account_facts(
+    rows: pd.DataFrame, amounts: tuple[int, float, float], place: tuple, times: list[int], window_ms: int
+) -> tuple[pd.DataFrame, tuple]:
+    """Facts of each of an account's rows, in event-time order, and the state after the last one.
+
+    ``times`` are those kept from earlier rows. A row drops the times that have left its window, and counts
+    the ones that are left with its own, also those that lie ahead of a late row.
+    """
+    rows = rows.sort_values(["event_time_ms", "transaction_id"], kind="stable", ignore_index=True)
+    size, now = len(rows), rows["event_time_ms"].to_numpy(np.int64)
+    kept, every = np.sort(np.array(times, dtype=np.int64)), np.arange(size)
+    limit = now - window_ms  # rises with the rows
+    recent = (len(kept) - np.searchsorted(kept, limit)) + (every + 1 - np.searchsorted(now, limit))
+
+    n, mean, squares = amounts
+    amount = rows["amount"].to_numpy(np.float64)
+    # Sums of distances from a value near the amounts keep their digits.
+    origin = mean if n else amount[0]
+    count = n + np.arange(size + 1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        first = np.concatenate(([0.0], np.cumsum(amount - origin)))
+        second = np.concatenate(([0.0], np.cumsum((amount - origin) ** 2)))
+        some = np.maximum(count, 1)
+        means = origin + first / some
+        around = squares + second - first**2 / some
+        around = np.where(around < 0, 0.0, around)  # rounding; what is no number stays so
+        spread = np.where(count > 1, np.sqrt(around / np.maximum(count - 1, 1)), 0.0)
+
+    latitude, longitude = (rows[c].to_numpy(np.float64) for c in ("latitude", "longitude"))
+    located = ~((latitude == 0.0) & (longitude == 0.0))
+    last = np.concatenate(([-1], np.maximum.accumulate(np.where(located, every, -1))))
+    before = last[:-1]
+    facts = rows.assign(
+        recent_count=recent,
+        prior_count=count[:-1],
+        prior_mean=pd.Series([m if k else None for m, k in zip(means[:-1].tolist(), count[:-1], strict=True)], dtype=object),
+        prior_stddev=spread[:-1],
+    )
+    # Objects, so that missing places stay null and are not taken for numbers.
+    for name, values, old in zip(PLACE, (latitude, longitude, now), place, strict=True):
+        known = values.tolist()
+        facts[name] = pd.Series([known[k] if k >= 0 else old for k in before], dtype=object)
+    end = int(last[-1])
+    if end >= 0:
+        place = (float(latitude[end]), float(longitude[end]), int(now[end]))
+    left = np.concatenate((kept[kept >= limit[-1]], now[now >= limit[-1]]))
+    return facts, (int(count[-1]), float(means[-1]), float(around[-1]), *place, np.sort(left).tolist())
 
 
 def stream_facts(scored: DataFrame, params: RuleParams = RuleParams(), strict_order: bool = False) -> DataFrame:
-    """Stream of rows with account facts; ``scored`` carries a watermark on ``event_time``."""
-    narrow = scored.select("account_id", *ROW, "event_time")
+    """Stream of rows with account facts.
+
+    With ``strict_order`` the rows carry a watermark on ``event_time``; without it they carry none, as rows
+    behind a watermark would not reach the state.
+    """
+    narrow = history_rows(scored, ["transaction_id"], ("event_time",) if strict_order else ())
     facts = narrow.groupBy("account_id").transformWithStateInPandas(
         statefulProcessor=AnomalyProcessor(params, strict_order),
         outputStructType=FACT_SCHEMA,
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="EventTime" if strict_order else "None",
     )
     previous = F.struct(
         F.col("prev_latitude").alias("latitude"),

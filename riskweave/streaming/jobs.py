@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from riskweave.operators.enrich import enrich
@@ -25,13 +26,17 @@ from riskweave.streaming.history import stream_anomalies
 
 ReadTable = Callable[[], DataFrame]
 
+#: Where a stored row came from in its log, which orders the versions of a key, and when it was scored.
+OFFSET, PROCESSED = "source_offset", "processed_at"
+
 
 @dataclass(frozen=True)
 class JobConfig:
     """Where a job reads, writes and keeps its checkpoint.
 
     ``source`` and ``sink`` are Kafka options or hold a ``path``; ``table`` is the folder of the result
-    table. ``interval`` is the time between micro-batches; None works off what is there and stops.
+    table. ``interval`` is the least time between micro-batches, by default none: the next one starts when the
+    last one has ended. None works off what is there and stops.
     """
 
     source: Mapping[str, str]
@@ -42,7 +47,7 @@ class JobConfig:
     scored_topic: str = "transactions.scored"
     anomaly_topic: str = "transactions.anomalies"
     tolerance: str = "5 seconds"
-    interval: str | None = "30 seconds"
+    interval: str | None = "0 seconds"
     params: RuleParams = field(default_factory=RuleParams)
     weights: Weights = field(default_factory=Weights)
 
@@ -67,7 +72,7 @@ def write_results(batch: DataFrame, batch_id: int, key: str, topic: str, cfg: Jo
     rows = batch.persist() if len(targets) > 1 else batch
     try:
         if cfg.sink:
-            write_json_batch(rows, key, topic, cfg.sink, batch_id)
+            write_json_batch(rows.drop(OFFSET), key, topic, cfg.sink, batch_id)
         if cfg.table:
             append_batch(rows, cfg.table, batch_id)
     finally:
@@ -79,8 +84,8 @@ def enrich_batch(
     batch: DataFrame, batch_id: int, read_merchants: ReadTable, read_accounts: ReadTable, cfg: JobConfig
 ) -> None:
     """Score one micro-batch against the profiles of the moment; a changed profile re-emits nothing."""
-    scored = score_transactions(enrich(batch, read_merchants(), read_accounts()), cfg.weights)
-    write_results(scored, batch_id, "account_id", cfg.scored_topic, cfg)
+    scored = score_transactions(enrich(batch, read_merchants(), read_accounts()), cfg.weights, keep=(OFFSET,))
+    write_results(scored.withColumn(PROCESSED, F.current_timestamp()), batch_id, "account_id", cfg.scored_topic, cfg)
 
 
 def start_score_job(
@@ -88,7 +93,7 @@ def start_score_job(
 ) -> StreamingQuery:
     """Change records to scored transactions."""
     changes = read_change_stream(_stream_session(spark), cfg.source, cfg.raw_topic)
-    txns = to_transactions(unwrap_cdc(changes)).drop("topic", "offset")
+    txns = to_transactions(unwrap_cdc(changes)).drop("topic").withColumnRenamed("offset", OFFSET)
     return _start(
         txns, cfg, "score", lambda batch, batch_id: enrich_batch(batch, batch_id, read_merchants, read_accounts, cfg)
     )
@@ -110,7 +115,8 @@ def start_anomaly_job(
 ) -> StreamingQuery:
     """Scored transactions to anomalies."""
     scored = read_scored_stream(_stream_session(spark), cfg.source, cfg.scored_topic)
-    hits = stream_anomalies(with_event_time(scored, tolerance=cfg.tolerance), cfg.params, rules, strict_order)
+    timed = with_event_time(scored, tolerance=cfg.tolerance) if strict_order else scored
+    hits = stream_anomalies(timed, cfg.params, rules, strict_order)
     return _start(
         hits,
         cfg,

@@ -31,7 +31,7 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--sink", action="append", help="option of the publishing sink, key=value")
     parser.add_argument("--checkpoint", required=True)
     parser.add_argument("--table", help="folder of the result table")
-    parser.add_argument("--interval", default="30 seconds", help="between micro-batches; 'once' takes what is there")
+    parser.add_argument("--interval", default="0 seconds", help="between micro-batches; 'once' takes what is there")
     parser.add_argument("--strict-order", action="store_true", help="hold rows until the watermark has passed them")
     return parser
 

@@ -11,9 +11,9 @@ from tests.reference_rules import simulate
 
 POLICIES = {
     "whole": SplitPolicy(),
-    "hot account cut": SplitPolicy(min_rows=100, max_keys=10, slots_per_share=4),
-    "all accounts cut": SplitPolicy(min_rows=30, max_keys=60, slots_per_share=2),
-    "many slots": SplitPolicy(min_rows=1, max_keys=60, slots_per_share=1),
+    "hot account cut": SplitPolicy(min_rows=100, slots_per_share=4),
+    "all accounts cut": SplitPolicy(min_rows=30, slots_per_share=2),
+    "many slots": SplitPolicy(min_rows=13, slots_per_share=1),
 }
 
 
@@ -112,7 +112,7 @@ def test_cutting_changes_no_fact(spark, name):
 
 def test_large_amounts_keep_their_spread_when_cut(spark):
     rows = [txn(n, amount=1e9 + n % 3, at=n * 1000) for n in range(300)]
-    policy = SplitPolicy(min_rows=10, max_keys=100, slots_per_share=2)
+    policy = SplitPolicy(min_rows=10, slots_per_share=2)
     whole = {r.transaction_id: r.prior_stddev for r in rules.account_history(frame(spark, rows)).collect()}
     cut = {r.transaction_id: r.prior_stddev for r in rules.account_history(frame(spark, rows), policy=policy).collect()}
     assert max(abs(whole[k] - cut[k]) for k in whole) < 1e-6
@@ -124,7 +124,7 @@ def test_hot_account_is_spread_over_slots(spark, moment):
     if moment:
         rows = [r | {"event_time_ms": 1} if r["account_id"] == "hot" else r for r in rows]
     df = frame(spark, rows)
-    large = large_keys(df, ["account_id"], SplitPolicy(min_rows=300, max_keys=10, slots_per_share=2))
+    large = large_keys(df, ["account_id"], SplitPolicy(min_rows=300, slots_per_share=2))
     assert [r[0] for r in large.keys.collect()] == ["hot"]
     order = ["event_time_ms", "transaction_id"]
     cut = spread(large.of(df), ["account_id"], order, large.slots)
@@ -136,17 +136,17 @@ def test_hot_account_is_spread_over_slots(spark, moment):
 
 def test_burst_of_a_hot_account_is_counted_across_slots(spark):
     rows = [txn(n, "hot") for n in range(500)]
-    policy = SplitPolicy(min_rows=50, max_keys=10, slots_per_share=2)
+    policy = SplitPolicy(min_rows=50, slots_per_share=2)
     hits = evidence(rules.velocity_flags(frame(spark, rows), policy=policy))
     assert {k: int(v["txn_count"]) for k, v in hits.items()} == {f"{n:06d}": n + 1 for n in range(10, 500)}
 
 
 def test_copies_of_one_row_are_spread(spark):
     df = frame(spark, [txn(7, "hot")] * 1000)
-    large = large_keys(df, ["account_id"], SplitPolicy(min_rows=100, max_keys=5, slots_per_share=2))
+    large = large_keys(df, ["account_id"], SplitPolicy(min_rows=100, slots_per_share=2))
     cut = spread(large.of(df), ["account_id"], ["event_time_ms", "transaction_id"], large.slots)
     assert max(r["count"] for r in cut.groupBy(SLOT).count().collect()) < 400
-    counts = rules.account_history(df, policy=SplitPolicy(100, 5, 2)).select("recent_count", "prior_count").collect()
+    counts = rules.account_history(df, policy=SplitPolicy(100, 2)).select("recent_count", "prior_count").collect()
     assert sorted(map(tuple, counts)) == [(n + 1, n) for n in range(1000)]
 
 

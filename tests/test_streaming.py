@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,10 @@ from riskweave.plans import replay
 from riskweave.schemas import ACCOUNT, MERCHANT, SCORED
 from riskweave.sources.change_stream import parse_scored
 from riskweave.sources.sinks import as_json_records, read_current, read_log, write_json_stream
+from riskweave.streaming.history import ROW, account_facts
 from riskweave.streaming.jobs import (
+    OFFSET,
+    PROCESSED,
     JobConfig,
     late_rows_dropped,
     start_anomaly_job,
@@ -148,19 +153,120 @@ def test_json_stream_sink(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", ["replay_scores", "replay_spend", "replay_anomalies"])
-def test_replay_in_many_slices(spark, name):
+def test_replay_in_many_micro_batches(spark, name):
     fx = Fixture(spark, "/root/testdata/sf0.001")
-    got = getattr(replay, name)(fx, slice_rows=400)
+    got = getattr(replay, name)(fx, file_rows=150)
     if name == "replay_scores":
         expected = fx.scored.select("transaction_id", "risk_score")
         assert set(got.select("transaction_id", "risk_score").collect()) == set(expected.collect())
     elif name == "replay_anomalies":
         assert keys(got) == keys(fx.anomalies)
     else:
-        last = fx.transactions.agg(F.max("event_time_ms")).first()[0]
-        closed = spend_union(fx.scored).where(F.col("window_end_ms") <= last - 5000)
         simple = lambda df: {(*[r[k] for k in replay.SPEND_KEYS], round(r.total_amount, 6), r.txn_count) for r in df.collect()}
-        assert simple(got) == simple(closed)
+        assert simple(got) == simple(spend_union(fx.scored))
+
+
+@pytest.mark.parametrize("file_rows", [40, 10_000])
+def test_log_holds_rows_without_time(spark, tmp_path, file_rows):
+    rows = [(str(n), None if n % 10 == 0 else n) for n in range(200)]
+    path = str(tmp_path / "log")
+    replay.write_log(spark.createDataFrame(rows, "value string, _at long"), "_at", path, file_rows)
+    assert sorted(int(r.value) for r in spark.read.json(path).collect()) == list(range(200))
+    files = sorted(tmp_path.glob("log/part-*"), key=lambda f: f.stat().st_mtime)
+    assert len(files) >= 4 and files == sorted(files)
+
+
+def arrival_facts(batches, params):
+    """The rules row by row: batches as they arrive, rows of a batch by time."""
+    times, n, mean, squares, place, hits = [], 0, 0.0, 0.0, None, set()
+    for batch in batches:
+        for row in sorted(batch, key=lambda r: (r["event_time_ms"], r["transaction_id"])):
+            now = row["event_time_ms"]
+            amount, lat, lon = (row[c] if row[c] is not None else 0.0 for c in ("amount", "latitude", "longitude"))
+            times = [t for t in [*times, now] if t >= now - params.window_ms]
+            if len(times) > params.max_txn:
+                hits.add((row["transaction_id"], "VELOCITY"))
+            spread = math.sqrt(squares / (n - 1)) if n > 1 else 0.0
+            if n >= params.min_history and spread and (amount - mean) / spread > params.z_threshold:
+                hits.add((row["transaction_id"], "AMOUNT_SPIKE"))
+            n += 1
+            gap = amount - mean
+            mean += gap / n
+            squares += gap * (amount - mean)
+            if lat or lon:
+                if place and place[2] > 0:
+                    chord = math.sin(math.radians(lat - place[0]) / 2) ** 2 + math.cos(math.radians(place[0])) * math.cos(
+                        math.radians(lat)
+                    ) * math.sin(math.radians(lon - place[1]) / 2) ** 2
+                    km = 2 * 6371.0 * math.atan2(math.sqrt(chord), math.sqrt(1 - chord))
+                    if km / max((now - place[2]) / 3_600_000, 1e-9) > params.max_kmh:
+                        hits.add((row["transaction_id"], "GEO_TRAVEL"))
+                place = (lat, lon, now)
+    return hits
+
+
+def test_late_rows_and_missing_values_in_arrival_order(spark, tmp_path):
+    """Late rows count, nulls are zeros, and times that have left the window are pruned."""
+    city, far = dict(lat=48.1, lon=11.6), dict(lat=-33.9, lon=151.2)
+    batches = [
+        [txn(1, at=1_000, **city)],
+        [txn(2, at=400_000, **city)],
+        [txn(3, at=3_000, **far)],  # late, elsewhere
+        [txn(4, at=401_000, **city)],
+        [txn(10 + n, amount=11 + n % 2, at=500_000 + n * 500, **city) for n in range(8)],
+        [txn(30, at=505_000, **city) | {"amount": None}, txn(31, at=506_000) | {"latitude": None, "longitude": None}],
+        [txn(32, amount=5_000.0, at=506_500, **city)],
+        [txn(40 + n, at=900_000 + n, **city) for n in range(7)],  # the window starts anew
+    ]
+    cfg = config(tmp_path)
+    for rows in batches:
+        publish(spark, rows, cfg.source["path"])
+        start_anomaly_job(spark, cfg).awaitTermination()
+    got = {(r.transaction_id, r.reason_code) for r in read_log(spark, cfg.table).collect()}
+    wanted = arrival_facts(batches, PARAMS)
+    assert got == wanted
+    assert {("000003", "GEO_TRAVEL"), ("000004", "GEO_TRAVEL"), ("000032", "AMOUNT_SPIKE")} <= got
+    assert ("000031", "GEO_TRAVEL") not in got
+    assert {t for t, code in got if code == "VELOCITY"} >= {"000046"} and ("000045", "VELOCITY") not in got
+
+
+def test_state_keeps_only_the_window():
+    rows = pd.DataFrame([("a", 10, 1.0, 0.0, 0.0), ("b", 500, 2.0, 3.0, 4.0)], columns=list(ROW))
+    facts, state = account_facts(rows, (2, 5.0, 2.0), (1.0, 2.0, 7), [1, 5, 450, 900], window_ms=100)
+    assert list(facts.recent_count) == [5, 3]
+    assert state[-1] == [450, 500, 900] and state[3:6] == (3.0, 4.0, 500)
+    assert list(facts.prior_count) == [2, 3] and facts.prior_mean.iloc[1] == pytest.approx(11 / 3)
+
+
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), float("-inf")])
+def test_values_that_are_no_number_fire_no_rule(spark, tmp_path, value):
+    rows = [txn(n, amount=10 + n % 3, at=n * 200_000, lat=48.1, lon=11.6) for n in range(1, 12)]
+    rows[7]["amount"] = rows[9]["latitude"] = value
+    cfg = config(tmp_path)
+    for piece in pieces(rows, 3):
+        publish(spark, piece, cfg.source["path"])
+        start_anomaly_job(spark, cfg).awaitTermination()
+    batch = keys(detect_anomalies(scored(spark, rows), PARAMS))
+    streamed = keys(read_log(spark, cfg.table)) if list((tmp_path / "table").glob("*/part*")) else set()
+    assert {k[:2] for k in streamed} == {k[:2] for k in batch}
+    assert all(code != "GEO_TRAVEL" for _, code, _ in batch)
+    assert {t for t, code, _ in batch if code == "AMOUNT_SPIKE"} <= ({"000008"} if value == float("inf") else set())
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_update_beside_its_create_is_stored_in_log_order(spark, tmp_path, order):
+    """The amount is that of the create, the score that of the update, however the files are read."""
+    create, update = txn(1, amount=10.0), txn(1, amount=5000.0, op="u")
+    cfg = config(tmp_path)
+    for offset, row in ((0, create), (1, update))[::order]:
+        records = replay.change_records(frame(spark, [row])).withColumn("offset", F.lit(offset).cast("bigint"))
+        records.coalesce(1).write.mode("append").json(cfg.source["path"])
+    nothing = (lambda: spark.createDataFrame([], MERCHANT), lambda: spark.createDataFrame([], ACCOUNT))
+    start_score_job(spark, cfg, *nothing).awaitTermination()
+    changing = ["risk_score", "score_breakdown", PROCESSED]
+    row = read_current(spark, cfg.table, ["transaction_id"], update_cols=changing, order_col=OFFSET).first()
+    scores = {r.amount: r.risk_score for r in scored(spark, [create]).union(scored(spark, [update])).collect()}
+    assert (row.amount, row.risk_score) == (10.0, scores[5000.0]) and row[PROCESSED] is not None
 
 
 def test_schema_of_scored_rows(spark):
