@@ -33,26 +33,6 @@ STREAM_SETTINGS = {
 }
 
 
-SHUFFLE_BYTES = 256 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 40_000
-MAX_SCAN_TASKS = 100_000
-
-
-def sizes_for(input_bytes: int, cores: int) -> dict[str, str]:
-    """Partition settings for a batch over ``input_bytes`` on ``cores`` executor cores.
-
-    Adaptive execution joins partitions that are too small but does not split those of a window, so the
-    count starts from the data. It ends where the blocks between all scan and shuffle tasks become the
-    load; larger partitions spill. A stateful stream keeps the count of its first start.
-    """
-    partitions = min(max(3 * cores, input_bytes // SHUFFLE_BYTES), MAX_SHUFFLE_PARTITIONS)
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(max(SHUFFLE_BYTES, input_bytes // MAX_SCAN_TASKS)),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_BYTES),
-    }
-
-
 # Scratch folders of local sessions that name no shared folder, by application.
 _LOCAL_DIRS: dict[str, str] = {}
 

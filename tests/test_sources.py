@@ -232,9 +232,8 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
     assert working_dir(spark, "x") != working_dir(spark, "x")
 
 
-def test_partitions_grow_with_the_input_up_to_a_bound():
-    from riskweave.session import sizes_for
-
-    counts = [sizes_for(n * 1024**4, 8)["spark.sql.shuffle.partitions"] for n in (0, 1, 100)]
-    assert counts == ["24", "4096", "40000"]
-    assert int(sizes_for(100 * 1024**4, 8)["spark.sql.files.maxPartitionBytes"]) > 1024**3
+def test_table_by_either_name(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "plain"))
+    spark.range(4).write.parquet(str(tmp_path / "named.parquet"))
+    assert read_table(spark, "plain", str(tmp_path)).count() == 3
+    assert read_table(spark, "named", str(tmp_path)).count() == 4
