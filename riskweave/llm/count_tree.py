@@ -103,15 +103,30 @@ class Threshold:
 
 
 def pack(grams: np.ndarray) -> bytes:
-    """Numbers per group, in 16 bits; the largest one stands for any number from it on."""
-    counts = np.bincount((grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    """Numbers per group, in 16 bits; the largest one stands for any number from it on. Long sets get more groups."""
+    groups = GROUPS
+    while len(grams) > 16 * groups:
+        groups *= 4
+    counts = np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
 
 
-def unpack(rows: list[bytes]) -> np.ndarray:
-    counts = np.frombuffer(b"".join(rows), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+def unpack(row: bytes, groups: int = GROUPS) -> np.ndarray:
+    """The numbers, folded to so many groups."""
+    counts = np.frombuffer(row, np.uint16).astype(np.int32)
     counts[counts == 65_535] = 1 << 22  # a bound on sums of all groups must stay one, and fit
-    return counts
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.int64).clip(max=1 << 22).astype(np.int32)
+
+
+def finer(rows: list[bytes], i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """The bounds by as many groups as both sets of a pair have."""
+    bound = bound.copy()
+    for at in range(len(i)):
+        one, other = rows[i[at]], rows[j[at]]
+        groups = min(len(one), len(other)) // 2
+        if groups > GROUPS:
+            bound[at] = np.minimum(unpack(one, groups), unpack(other, groups)).sum(dtype=np.int64)
+    return bound
 
 
 def bounds(points: np.ndarray, i: np.ndarray, others: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -267,7 +282,8 @@ def candidates(buckets: DataFrame, rule: Threshold, most: int | None) -> DataFra
     def made(rows: pa.Table) -> pa.RecordBatch:
         bucket = rows.column("bucket").to_numpy()
         node, sizes, group = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "component"))
-        points = unpack(rows.column("counts").to_pylist())
+        packed = rows.column("counts").to_pylist()
+        points = np.stack([unpack(row) for row in packed])
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         many = np.repeat(np.diff(starts), np.diff(starts))
         small = np.flatnonzero(many <= LEAF)
@@ -278,6 +294,9 @@ def candidates(buckets: DataFrame, rule: Threshold, most: int | None) -> DataFra
                 i, j, bound = partners(points[low:high], sizes[low:high], group[low:high], rule, most)
                 found.append((i + low, j + low, bound))
         i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+        bound = finer(packed, i, j, bound)
+        stay = bound >= rule.shared(sizes[i] + sizes[j])
+        i, j, bound = i[stay], j[stay], bound[stay]
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "bound": pa.array(bound.astype(np.int64))})
 
