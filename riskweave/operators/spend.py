@@ -41,7 +41,8 @@ def _batch(scored: DataFrame, specs: tuple[SpendSpec, ...]) -> DataFrame:
         )
         for spec in specs
     ]
-    expanded = scored.select("amount", F.inline(F.array(*keys)))
+    # A single roll-up needs no generator, which filters can't pass.
+    expanded = scored.select("amount", F.inline(F.array(*keys))) if len(keys) > 1 else scored.select("amount", keys[0].alias("k")).select("amount", "k.*")
     sums = expanded.groupBy("dimension", "dimension_value", "window_start_ms", "width_ms").agg(
         F.sum("amount").alias("total_amount"), F.count(F.lit(1)).alias("txn_count")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,11 @@ from riskweave.operators.ordered import SplitPolicy
 from riskweave.operators.score import COMPONENTS, score_components
 from riskweave.operators.upsert import append_idempotent, insert_if_absent, upsert
 from riskweave.operators.verdicts import validate_verdicts
-from riskweave.params import SPEND_SPECS
+from riskweave.params import SPEND_SPECS, SpendSpec
 from riskweave.plans.fixtures import DAY_MS, PARAMS, Fixture, number
 from riskweave.plans.replay import replay_anomalies, replay_scores, replay_spend
 from riskweave.schemas import ACCOUNT_FIELDS, MERCHANT_FIELDS
-from riskweave.sources.cdc import keep_first_version, parse_cdc, to_accounts, to_merchants, to_transactions, unwrap_cdc
+from riskweave.sources.cdc import DELETE, keep_first_version, parse_cdc, to_accounts, to_merchants, to_transactions, unwrap_cdc
 from riskweave.sources.change_stream import with_topic
 from riskweave.sources.snapshots import latest_per_key, snapshot_plus_changes, versions
 
@@ -331,10 +332,18 @@ def spend_union(fx: Fixture) -> DataFrame:
     return rounded(fx.spend, "total_amount")
 
 
+def recent_spend(fx: Fixture, spec: SpendSpec, lookback_ms: int) -> DataFrame:
+    """Sums of the recent rows only: the bound reaches the scan, and profiles are joined only for their columns."""
+    since = F.expr(f"timestamp_ntz'{fx.last_event - timedelta(milliseconds=lookback_ms)}'")
+    recent = fx.as_transactions(fx.table("events").where(F.col("ts") >= since)).where(F.col("op") != DELETE)
+    rows = recent if spec.column in recent.columns else enrich_merchants(recent, fx.merchants)
+    return spend.spend_by(rows, spec.dimension, spec.column, spec.width_ms)
+
+
 def top_of(fx: Fixture, dimension: str, name: str, k: int) -> DataFrame:
     # Events are sparse, so the panels look back a day instead of an hour here.
     spec = next(s for s in SPEND_SPECS if s.dimension == dimension)
-    sums = spend.spend_by(fx.scored, spec.dimension, spec.column, spec.width_ms)
+    sums = recent_spend(fx, spec, DAY_MS)
     top = reports.top_spend(sums, dimension, fx.as_of_ms, DAY_MS, k)
     return rounded(top.withColumnRenamed("dimension_value", name), "total_spend")
 
@@ -356,7 +365,8 @@ def top_accounts(fx: Fixture) -> DataFrame:
 
 @query
 def spend_timeseries(fx: Fixture) -> DataFrame:
-    sums = spend.spend_by(fx.scored, "CATEGORY", "merchant_category", SPEND_SPECS[0].width_ms)
+    spec = SpendSpec("CATEGORY", "merchant_category", SPEND_SPECS[0].width_ms)
+    sums = recent_spend(fx, spec, 24 * HOUR_MS)
     return rounded(reports.spend_timeseries(sums, "CATEGORY", fx.as_of_ms, 24 * HOUR_MS), "value")
 
 
@@ -566,7 +576,8 @@ def upsert_scored(fx: Fixture) -> DataFrame:
 @query
 def upsert_spend(fx: Fixture) -> DataFrame:
     """Windows that were written before are replaced as a whole."""
-    sums = spend.spend_by(fx.scored, "CATEGORY", "merchant_category", SPEND_SPECS[0].width_ms)
+    spec = SpendSpec("CATEGORY", "merchant_category", SPEND_SPECS[0].width_ms)
+    sums = recent_spend(fx, spec, 24 * HOUR_MS)
     early = sums.where(F.col("txn_count") == 1).withColumn("total_amount", F.lit(0.0))
     keys = ["window_start_ms", "window_end_ms", "dimension", "dimension_value"]
     return rounded(upsert(early, sums, keys, order_col="txn_count"), "total_amount")

@@ -23,7 +23,7 @@ from riskweave.schemas import ACCOUNT, MERCHANT
 from tests.builders import START, frame, random_rows, txn
 from tests.reference_rules import haversine
 
-CUT = SplitPolicy(min_rows=20, max_keys=50, slots_per_share=3)
+CUT = SplitPolicy(min_rows=20, slots_per_share=3)
 BOTH = pytest.mark.parametrize("policy", [SplitPolicy(), CUT], ids=["whole", "cut"])
 MIDNIGHT = START - START % 86_400_000
 
@@ -322,3 +322,15 @@ def test_fraud_rate_counts_windows_without_events(spark):
     anomalies = spark.createDataFrame([(5, "VELOCITY"), (900_000, "VELOCITY")], "detected_at_ms long, reason_code string")
     rates = {r.window_start_ms: r.fraud_rate_pct for r in reports.fraud_rate(scored, anomalies).collect()}
     assert rates == pytest.approx({0: 50.0, 300_000: 0.0, 900_000: 100 / 300 / 0.001})
+
+
+@pytest.mark.parametrize("name", ["top_categories", "top_merchants", "top_accounts", "spend_timeseries"])
+def test_panels_read_recent_rows_only(spark, name):
+    """The time bound reaches the scan of the events; no profile is joined for a column of the row itself."""
+    from riskweave.plans.queries import REGISTRY, runnable
+
+    plan = runnable(REGISTRY[name])(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "events.parquet" in line]
+    assert any("GreaterThanOrEqual(ts," in line for line in scans)
+    assert plan.count("supplier.parquet") <= (3 if name in ("top_categories", "spend_timeseries") else 2)
+    assert "customer.parquet" not in plan
