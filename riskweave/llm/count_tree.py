@@ -5,9 +5,12 @@ most the sum of the smaller numbers per group, so a page of an R-tree that bound
 also bounds what any of them can share with a query, and pages and points below the threshold are passed
 over. Survivors are verified on their sets.
 
-One tree over everything would neither fit nor prune, so documents meet in buckets first. Two sets of
-similar size differ in a known number of n-grams at most; cut into more blocks than that, they agree on
-one block whole. A bucket holds the documents that agree on a block, and each bucket has its tree.
+One tree over everything would neither fit nor prune, so documents meet in buckets first. With all n-grams
+in one order, two sets that link have one of their first n-grams in common: so many as a set can do without,
+and one more. Rare n-grams come first, so a passage that many documents share brings none of them together.
+How often an n-gram occurs is taken from a table of fixed size over hashes: any function of the n-gram gives
+a valid order. A bucket holds the documents that meet in an n-gram, and each set of documents that meet,
+in however many n-grams, has one tree.
 
 Documents with the same set are one node. In the first rounds each node verifies only its most promising
 partner of another component, the last round verifies all partners that are left in other components: no
@@ -29,6 +32,14 @@ from riskweave.llm.common import map_column, small_batches, store
 from riskweave.llm.components import components
 
 GROUPS, LEAF, FANOUT = 256, 32, 16
+#: Counters of n-grams by hash, and the parts that they are added up in.
+COUNTERS, PARTS = 1 << 20, 64
+#: Steps of a weight while a count doubles; a weight is one byte.
+STEPS = 6
+#: Neighbours in a leaf that a node of a larger bucket is first compared with.
+BESIDE = 2
+#: Nodes that a task remembers as done.
+SEEN = 200_000
 #: Nodes of a bucket that one task takes at once; larger buckets are cut into pairs of such chunks.
 CHUNK = 20_000
 #: Rows of a table of two numbers up to which it is broadcast.
@@ -68,53 +79,25 @@ class Threshold:
         """The least intersection of two sets with this sum of sizes."""
         return -(-self.part * sizes // (self.over + self.part))
 
-    def apart(self, sizes: int) -> int:
-        """A bound on the elements that only one of two sets has, if their sizes add up to ``sizes`` or less."""
-        return (self.over - self.part) * sizes // (self.over + self.part)
-
-    def bands(self, size: int) -> list[tuple[int, int]]:
-        """The size bands of a set, as (smallest size, largest size); the second one if a partner may be in it."""
-        low = 1
-        while self.apart(2 * low) == 0 and self.apart(2 * low + 1) == 0:
-            low += 1  # smaller sets link with equal ones only
-        found, high = [], max(low, low * 3 // 2)
-        while low <= size or self.part * low <= self.over * size:
-            if size <= high:
-                found.append((low, high))
-            low, high = high + 1, max(high + 1, (high + 1) * 3 // 2)
-        return found
-
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        """Hashes of the blocks; two sets that link have one in common."""
-        made = []
-        for low, high in self.bands(len(grams)):
-            apart = self.apart(2 * high)
-            spare = min(2, apart // 8)
-            blocks = apart + 1 + spare
-            block = ((grams >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-            starts = np.searchsorted(block, np.arange(blocks + 1))
-            total = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(grams), dtype=np.uint64)))
-            sums = total[starts[1:]] - total[starts[:-1]]
-            empty = starts[1:] == starts[:-1]
-            marks = _mixed(sums + _mixed(np.arange(blocks, dtype=np.uint64) + np.uint64(low << 20)))
-            # Of linking sets, spare + 1 blocks agree; so empty ones matter only where there are more than spare.
-            made.append(marks if empty.sum() > spare else marks[~empty])
-        return np.concatenate(made) if made else np.zeros(0, np.uint64)
+    def first(self, grams: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The n-grams that a set begins with, lightest first; two sets that link have one of them in common."""
+        spare = len(grams) - -(-self.part * len(grams) // self.over)
+        return grams[np.argsort(weight, kind="stable")[: spare + 1]]  # n-grams of one weight stay sorted
 
 
 def pack(grams: np.ndarray) -> bytes:
-    """Numbers per group, in 16 bits; the largest one stands for any number from it on. Long sets get more groups."""
+    """Numbers per group, in 8 bits; the largest one stands for any number from it on. Long sets get more groups."""
     groups = GROUPS
     while len(grams) > 16 * groups:
         groups *= 4
     counts = np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def unpack(row: bytes, groups: int = GROUPS) -> np.ndarray:
     """The numbers, folded to so many groups."""
-    counts = np.frombuffer(row, np.uint16).astype(np.int32)
-    counts[counts == 65_535] = 1 << 22  # a bound on sums of all groups must stay one, and fit
+    counts = np.frombuffer(row, np.uint8).astype(np.int32)
+    counts[counts == 255] = 1 << 22  # a bound on sums of all groups must stay one, and fit
     return counts.reshape(-1, groups).sum(axis=0, dtype=np.int64).clip(max=1 << 22).astype(np.int32)
 
 
@@ -123,7 +106,7 @@ def finer(rows: list[bytes], i: np.ndarray, j: np.ndarray, bound: np.ndarray) ->
     bound = bound.copy()
     for at in range(len(i)):
         one, other = rows[i[at]], rows[j[at]]
-        groups = min(len(one), len(other)) // 2
+        groups = min(len(one), len(other))
         if groups > GROUPS:
             bound[at] = np.minimum(unpack(one, groups), unpack(other, groups)).sum(dtype=np.int64)
     return bound
@@ -178,10 +161,10 @@ class CountTree:
         stay = bound >= rule.shared(size[query] + self.sizes[page])
         return query[stay], self.order[page[stay]], bound[stay]
 
-    def leaf_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of points that share a leaf, each once."""
+    def leaf_pairs(self, reach: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of points of one leaf, each once: all, or those fewer than ``reach`` places apart."""
         first, second = [], []
-        for shift in range(1, min(LEAF, len(self.order))):
+        for shift in range(1, min(reach, LEAF, len(self.order))):
             at = np.arange(len(self.order) - shift)
             at = at[at // LEAF == (at + shift) // LEAF]
             first.append(self.order[at])
@@ -192,21 +175,25 @@ class CountTree:
 def partners(points: np.ndarray, sizes: np.ndarray, group: np.ndarray, rule: Threshold, most: int | None) -> tuple[np.ndarray, ...]:
     """Pairs (i, j, bound) of a bucket's nodes in different groups that may link.
 
-    ``most`` None finds all; else a node gets at most that many, and 0 looks for them in its leaf only.
+    ``most`` None finds all; else a node gets at most that many, and 0 looks for them beside it in its leaf only.
+    A largest group of several nodes does no searching: each pair of different groups has another node.
     """
     tree = CountTree(points, sizes)
     if most == 0 or len(points) <= LEAF:
-        i, j = tree.leaf_pairs()
+        i, j = tree.leaf_pairs(LEAF if len(points) <= LEAF else BESIDE + 1)
         apart = group[i] != group[j]
         i, j = i[apart], j[apart]
         bound = bounds(points, i, points, j)
         stay = bound >= rule.shared(sizes[i] + sizes[j])
         return i[stay], j[stay], bound[stay]
-    found = []
+    names, at, many = np.unique(group, return_inverse=True, return_counts=True)
+    asking = np.flatnonzero(at != many.argmax()) if many.max() > 1 else np.arange(len(points))
+    found = [(np.zeros(0, np.int64),) * 3]
     step = max(1, PAIRS // len(points))
-    for at in range(0, len(points), step):
-        i, j, bound = tree.search(points[at : at + step], sizes[at : at + step], rule)
-        i = i + at
+    for at in range(0, len(asking), step):
+        ask = asking[at : at + step]
+        i, j, bound = tree.search(points[ask], sizes[ask], rule)
+        i = ask[i]
         stay = group[i] != group[j]
         i, j, bound = i[stay], j[stay], bound[stay]
         if most:
@@ -251,22 +238,79 @@ def describe(docs: DataFrame, size: int, seed: int) -> DataFrame:
     return map_column(docs, rows, "n_shingles long, node long, proof long, counts binary")
 
 
-def blocks(docs: DataFrame, size: int, rule: Threshold, seed: int) -> DataFrame:
-    """(signature, node) of every block of every row. Computed anew rather than stored, as it is larger than the texts."""
+def weights(docs: DataFrame, size: int, seed: int) -> bytes:
+    """How often n-grams occur in ``docs``, on a logarithmic scale of a byte for each of the counters."""
     small_batches(docs.sparkSession)
+    each = COUNTERS // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            known = [_counter(ngrams(text or "", size, seed)) for text in batch.column("text").to_pylist()]
+            if known:
+                total += np.bincount(np.concatenate(known), minlength=COUNTERS)
+        parts = [k for k in range(PARTS) if total[k * each : (k + 1) * each].any()]
+        sums = [total[k * each : (k + 1) * each].tobytes() for k in parts]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "sums": pa.array(sums, pa.binary())})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(sums, np.int64)
+        weight = [np.minimum(STEPS * np.log2(1 + x), 255).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "weight": pa.array(weight, pa.binary())})
+
+    parts = docs.select("text").mapInArrow(run, "part int, sums binary")
+    weight = np.zeros((PARTS, each), np.uint8)
+    for row in parts.repartition("part").mapInArrow(added, "part int, weight binary").collect():  # a megabyte in all
+        weight[row.part] = np.frombuffer(row.weight, np.uint8)
+    return weight.tobytes()
+
+
+def _counter(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def first_ngrams(docs: DataFrame, size: int, rule: Threshold, seed: int) -> DataFrame:
+    """(gram, node) of the n-grams that each set begins with; a task gives a node's mostly once."""
+    weight = docs.sparkSession.sparkContext.broadcast(weights(docs, size, seed))  # COUNTERS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale, seen = np.frombuffer(weight.value, np.uint8), set()
         for batch in batches:
             marks, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for text in batch.column("text").to_pylist():
                 grams = ngrams(text or "", size, seed)
-                marks.append(rule.signatures(grams))
-                nodes.append(np.full(len(marks[-1]), _name(grams, seed)))
-            yield pa.RecordBatch.from_pydict(
-                {"signature": pa.array(np.concatenate(marks).view(np.int64)), "node": pa.array(np.concatenate(nodes))}
-            )
+                node = _name(grams, seed)
+                if not len(grams) or node in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                marks.append(rule.first(grams, scale[_counter(grams)]))
+                nodes.append(np.full(len(marks[-1]), node))
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(marks).view(np.int64)), "node": pa.array(np.concatenate(nodes))})
+
+    return docs.select("text").mapInArrow(run, "gram long, node long")
+
 
-    return docs.select("text").mapInArrow(run, "signature long, node long")
+def meetings(docs: DataFrame, size: int, rule: Threshold, seed: int) -> DataFrame:
+    """(signature, node, many): each set of nodes that meet in an n-gram, once.
+
+    Sets with one signature would be one bucket, which loses no pair.
+    """
+    same = Window.partitionBy("gram")
+    met = first_ngrams(docs, size, rule, seed).repartition("gram").distinct()
+    met = met.withColumns(
+        {
+            "many": F.count(F.lit(1)).over(same),
+            "_low": F.min("node").over(same),
+            "_high": F.max("node").over(same),
+            "_all": F.bit_xor(F.xxhash64("node")).over(same),
+        }
+    ).where(F.col("many") > 1)
+    return met.select(F.xxhash64("many", "_low", "_high", "_all").alias("signature"), "node", "many").distinct()
 
 
 def candidates(buckets: DataFrame, rule: Threshold, most: int | None) -> DataFrame:
@@ -374,9 +418,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, part: int = 90, over: int
             break
         seed += 2  # two sets had one hash: take another
     same = Window.partitionBy("signature")
-    met = blocks(docs, size, rule, seed).withColumns({"_low": F.min("node").over(same), "_high": F.max("node").over(same)})
-    met = met.where(F.col("_low") != F.col("_high")).select("signature", "node").distinct()
-    buckets = store(met.withColumn("many", F.count(F.lit(1)).over(same)), "buckets")
+    buckets = store(meetings(docs, size, rule, seed), "buckets")
     points = nodes.select("node", "n_shingles", "counts")
     labels = nodes.select("node", F.col("node").alias("component"))
     links = tried = leaves = None
