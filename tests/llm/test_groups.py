@@ -138,6 +138,34 @@ def test_tree_finds_what_a_scan_finds():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == wanted and wanted
 
 
+@pytest.mark.parametrize("part", [80, 90])
+def test_linked_sets_meet_in_their_first_ngrams(part):
+    """Whatever the weights are, as long as an n-gram has the same one everywhere."""
+    draw, rule = np.random.default_rng(part), count_tree.Threshold(part, 100)
+    linked = 0
+    for _ in range(2_000):
+        size = int(draw.integers(1, 60))
+        own, other = draw.integers(0, max(1, size // 8) + 1, 2)
+        grams = draw.permutation(200)[: size + own + other].astype(np.uint64)
+        sets = [np.sort(grams[: size + own]), np.sort(np.concatenate((grams[:size], grams[size + own :])))]
+        if 100 * size < part * len(grams):
+            continue
+        linked += 1
+        weight = draw.integers(0, 5, 200).astype(np.uint8)
+        x, y = (rule.first(s, weight[s.astype(int)]) for s in sets)
+        assert len(np.intersect1d(x, y))
+    assert linked > 200
+
+
+def test_weights_count_all_rows(spark):
+    texts = ["a b c"] * 40 + ["d e f", None, ""]
+    made = np.frombuffer(count_tree.weights(documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), 3, 0), np.uint8)
+    common, rare = (made[count_tree._counter(count_tree.ngrams(t, 3))][0] for t in ("a b c", "d e f"))
+    assert common == int(count_tree.STEPS * np.log2(41)) and rare == count_tree.STEPS
+    assert np.count_nonzero(made) == 2
+    assert not any(count_tree.weights(documents(spark, []), 3, 0))
+
+
 def test_large_buckets_are_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(count_tree, "CHUNK", 20)
     rows = near_copies()[:120]
