@@ -213,6 +213,25 @@ def search_cases(cases: DataFrame, text: str = "", classification: str | None =
     return found.where(hit)
 
 
+def reviewed(anomalies: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Anomalies with the class and score of their verdict, if any: what lists and filters by verdict need."""
+    found = verdicts.select(F.col("anomaly_event_id").alias("id"), "classification", "ai_risk_score")
+    return anomalies.join(found, "id", "left")
+
+
+def of_class(anomalies: DataFrame, verdicts: DataFrame, classification: str) -> DataFrame:
+    """Anomalies whose verdict has this class, to select cases before anything else is joined."""
+    found = verdicts.where(F.col("classification") == classification).select(F.col("anomaly_event_id").alias("id"))
+    return anomalies.join(found, "id", "left_semi")
+
+
+def limits_of(anomalies: DataFrame, scored: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Anomalies with the amount of their transaction and the limit of their account."""
+    return anomalies.join(scored.select("transaction_id", "amount"), "transaction_id", "left").join(
+        accounts.select("account_id", "credit_limit"), "account_id", "left"
+    )
+
+
 def pct_of_limit(cases: DataFrame) -> DataFrame:
     return cases.withColumn("pct_of_limit", percent_of(F.col("amount"), F.col("credit_limit")))
 

@@ -309,6 +309,12 @@ SELECTS = {
         select c.*, a.id as action_id, a.action, a.notes, a.performed_at_ms
         from cases c left join actions a on c.id = a.anomaly_event_id
         where c.id = (select id from anomalies where n % 4 = 3 order by detected_at_ms desc, id desc limit 1)""",
+    "case_record": """
+        select c.*, coalesce((select string_agg(concat_ws('|', cast(performed_at_ms as varchar), cast(id as varchar),
+                                                          action, notes), ';' order by performed_at_ms desc, id desc)
+                              from actions where anomaly_event_id = c.id), '') as actions_text
+        from cases c
+        where c.id = (select id from anomalies where n % 4 = 3 order by detected_at_ms desc, id desc limit 1)""",
     "action_history": """
         select * from actions
         where anomaly_event_id = (select id from anomalies where n % 4 = 3 order by detected_at_ms desc, id desc

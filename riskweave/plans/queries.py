@@ -404,6 +404,15 @@ def case_detail(fx: Fixture) -> DataFrame:
     return plain_cases(detail, "action_id", "action", "notes", "performed_at_ms")
 
 
+@query
+def case_record(fx: Fixture) -> DataFrame:
+    """One case in one row; its nested actions, newest first, are shown as text."""
+    wanted = busiest_case(fx)
+    record = cases.case_record(case_rows(fx, cases.one_case(fx.anomaly_table, wanted)), fx.actions, wanted)
+    parts = F.transform("case_actions", lambda a: F.concat_ws("|", a["performed_at_ms"].cast("string"), a["id"].cast("string"), a["action"], a["notes"]))
+    return plain_cases(record.withColumn("actions_text", F.array_join(parts, ";")), "actions_text")
+
+
 @query
 def action_history(fx: Fixture) -> DataFrame:
     return cases.action_history(fx.actions, busiest_case(fx))
@@ -426,12 +435,13 @@ def case_stats(fx: Fixture) -> DataFrame:
 
 @query
 def case_search(fx: Fixture) -> DataFrame:
-    return plain_cases(cases.search_cases(case_rows(fx), "SPIKE", "SUSPICIOUS"))
+    wanted = cases.of_class(fx.anomaly_table, fx.verdicts, "SUSPICIOUS")
+    return plain_cases(cases.search_cases(case_rows(fx, wanted), "SPIKE"))
 
 
 @query
 def case_labels(fx: Fixture) -> DataFrame:
-    labelled = cases.label_pending(case_rows(fx))
+    labelled = cases.label_pending(cases.reviewed(fx.anomaly_table, fx.verdicts))
     return labelled.select("id", "verdict_label", "verdict_band")
 
 
@@ -443,7 +453,8 @@ def case_brief(fx: Fixture) -> DataFrame:
 
 @query
 def pct_of_limit(fx: Fixture) -> DataFrame:
-    shares = cases.pct_of_limit(case_rows(fx)).select("id", "amount", "credit_limit", "pct_of_limit")
+    limits = cases.limits_of(fx.anomaly_table, fx.scored, fx.accounts)
+    shares = cases.pct_of_limit(limits).select("id", "amount", "credit_limit", "pct_of_limit")
     # Finite shares have seven decimals at most, so the eighth is never a rounding tie.
     return shares.withColumn("pct_of_limit", F.round("pct_of_limit", 8))
 

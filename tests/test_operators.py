@@ -317,6 +317,24 @@ def test_case_labels_and_brief(board):
     assert "Owner: Unknown, STANDARD, Unknown" in briefs["c3"] and "Location: N/A, N/A" in briefs["c3"]
 
 
+def test_lists_join_only_what_they_show(board, tables):
+    """Labels, shares and classes equal those of the whole view, and join no other table."""
+    view, anomalies, verdicts, _ = board
+    scored, _, accounts, *_ = tables
+
+    def joins(df):
+        return df._jdf.queryExecution().analyzed().toString().count("Join ")
+
+    whole = {r.id: r for r in cases.label_pending(cases.pct_of_limit(view)).collect()}
+    lean = cases.label_pending(cases.reviewed(anomalies, verdicts))
+    assert {r.id: (r.verdict_label, r.verdict_band) for r in lean.collect()} == {i: (r.verdict_label, r.verdict_band) for i, r in whole.items()}
+    shares = cases.pct_of_limit(cases.limits_of(anomalies, scored, accounts))
+    assert {r.id: r.pct_of_limit for r in shares.collect()} == {i: r.pct_of_limit for i, r in whole.items()}
+    fraud = cases.of_class(anomalies, verdicts, "CONFIRMED_FRAUD")
+    assert {r.id for r in fraud.collect()} == {i for i, r in whole.items() if r.classification == "CONFIRMED_FRAUD"}
+    assert (joins(lean), joins(fraud)) == (1, 1) and joins(shares) - joins(scored) - joins(accounts) == 2
+
+
 def test_fraud_rate_counts_windows_without_events(spark):
     scored = spark.createDataFrame([(0,), (1,), (300_000,)], "event_time_ms long")
     anomalies = spark.createDataFrame([(5, "VELOCITY"), (900_000, "VELOCITY")], "detected_at_ms long, reason_code string")
