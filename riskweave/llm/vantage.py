@@ -3,8 +3,8 @@
 The largest inner product is the least distance once every vector gets one more coordinate that brings all
 to the same length. A tree splits its vectors by their distance to a vantage point; by the triangle
 inequality a page can be passed over when its distances from the vantage points on its path are further
-from the query's than the query's k-th best. ``factor`` tightens that test: 1 is exact, more
-passes over pages that would have to be looked at.
+from the query's than the query's k-th best. ``factor`` tightens that test: 1, the default, is exact; more
+passes over pages that would have to be looked at, most of them where lengths vary or dimensions are few.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from riskweave.llm.common import small_batches, store
 
 #: Vectors of a shard and queries of a block, on average, and vectors of a page.
 SHARD, BLOCK, PAGE = 20_000, 2_000, 512
-QUERY_STEP, NEAREST, FACTOR = 20, 20, 4.0
+QUERY_STEP, NEAREST, FACTOR = 20, 20, 1.0
 
 
 class VantageTree:

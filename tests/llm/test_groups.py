@@ -219,3 +219,32 @@ def test_recall_and_empty_tables(spark):
     hits = sum(r.vec_id in {w[1] for w in wanted[r.query_id]} for r in found)
     assert hits >= 0.95 * sum(map(len, wanted.values())) and len(found) == sum(map(len, wanted.values()))
     assert vantage.nearest(frame.limit(0)).count() == 0
+
+
+def uneven_vectors(kind: str) -> list[tuple]:
+    draw = np.random.default_rng(6)
+    points = draw.normal(size=(6_000, 48))
+    if kind == "few dimensions":
+        points = draw.normal(size=(6_000, 6)) @ draw.normal(size=(6, 48))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    if kind == "lengths":
+        points *= draw.lognormal(0, 0.5, (6_000, 1))
+    if kind == "near copies":
+        points[:3_000] = points[0] + 1e-6 * draw.normal(size=(3_000, 48))
+    return [(i, v) for i, v in enumerate(points.astype(np.float32).astype(float).tolist())]
+
+
+@pytest.mark.parametrize("kind", ["lengths", "few dimensions", "near copies"])
+def test_no_neighbour_is_passed_over(spark, kind):
+    """By default, whatever the vectors are like."""
+    rows = uneven_vectors(kind)
+    every, found = np.array([v for _, v in rows]), defaultdict(list)
+    for r in vantage.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        found[r.query_id].append(r)
+    assert len(found) == 300
+    for query, got in found.items():
+        scores = (every * every[query]).sum(axis=1)
+        scores[query] = -np.inf
+        got = sorted(got, key=lambda r: r["rank"])
+        assert len(got) == 20 and np.allclose([r.score for r in got], np.sort(scores)[::-1][:20], rtol=1e-14, atol=0)
+        assert all(scores[r.vec_id] == pytest.approx(r.score, rel=1e-14) for r in got)
