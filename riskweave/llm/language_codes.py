@@ -115,13 +115,15 @@ def decode(model: LanguageModel, margins: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sample(docs: DataFrame, languages: int = SAMPLE) -> list[tuple[str, str]]:
-    """The bounded training sample, chosen by a hash of the text: (language, text)."""
+    """The bounded training sample of different texts, chosen by a hash of the text: (language, text)."""
     usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     usable = usable.where(F.length("text").between(1, LONGEST)).select("doc_id", "lang", F.xxhash64("text").alias("_draw"), "text")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))
-    chosen = usable.select("doc_id", "lang", "_draw").withColumn("_turn", turn).where(F.col("_turn") <= languages)
-    # Bounded: SAMPLE rows of four values per language.
-    chosen = F.broadcast(chosen.select("doc_id", "lang", "_draw").distinct())
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))
+    # Copies of a text share its hash and count as one.
+    texts = usable.groupBy("lang", "_draw").agg(F.min("doc_id").alias("doc_id"))
+    chosen = texts.withColumn("_turn", turn).where(F.col("_turn") <= languages)
+    # Bounded: SAMPLE rows of three values per language.
+    chosen = F.broadcast(chosen.select("doc_id", "lang", "_draw"))
     found = usable.join(chosen, ["doc_id", "lang", "_draw"], "left_semi").select("lang", "text").distinct()
     return sorted((r[0], r[1]) for r in found.collect())
 

@@ -51,6 +51,14 @@ def test_languages_of_odd_documents(spark):
     assert {r.lang_pred for r in language_codes.label(documents(spark, [(1, "a b", None, "s", 3)])).collect()} == {"und"}
 
 
+def test_copies_take_one_place_of_the_sample(spark):
+    """Whichever text it is that has the copies."""
+    texts = [f"text number {i}" for i in range(40)]
+    rows = [(1000 * i + k, t, "en", "s", 0) for i, t in enumerate(texts) for k in range(30)]
+    found = language_codes.sample(documents(spark, rows), 25)
+    assert len(found) == len(set(found)) == 25
+
+
 def test_marginals_against_enumeration():
     draw = np.random.default_rng(1)
     per = np.array([3, 0, 1, 5, 2])
