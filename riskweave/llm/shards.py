@@ -116,6 +116,8 @@ def read_index(spark: SparkSession, folder: str, length: int = LENGTH) -> DataFr
     small_batches(spark)
     stride = HEADER + 2 * length + 1
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    if "shard" not in files.columns:  # no folder of a shard: the table was empty
+        return spark.createDataFrame([], "slot long, shard int, offset long, doc_id long, sequence int, n_tokens int, ids_sha256 string")
     before = F.sum("records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     firsts = files.select("shard", F.expr(f"length div {stride}").alias("records"))  # a row per shard
     firsts = firsts.select("shard", F.coalesce(before, F.lit(0)).alias("first"))

@@ -125,3 +125,9 @@ def test_shards_hold_every_sequence(spark, tmp_path):
     shards.write_shards(docs, RANKS, PATTERN, str(tmp_path / "c"), end=50_256, length=64, shard_bytes=300_000, key=9)
     other = shards.read_index(spark, str(tmp_path / "c"), 64).orderBy("slot").collect()
     assert [r.doc_id for r in other] != [r.doc_id for r in index] and len(other) == len(index)
+
+
+def test_order_of_an_empty_table(spark):
+    docs = documents(spark)
+    some, none = (shards.training_order(d, RANKS, PATTERN, end=50_256) for d in (docs, docs.limit(0)))
+    assert none.count() == 0 and none.dtypes == some.dtypes
