@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,3 +132,31 @@ def test_order_of_an_empty_table(spark):
     docs = documents(spark)
     some, none = (shards.training_order(d, RANKS, PATTERN, end=50_256) for d in (docs, docs.limit(0)))
     assert none.count() == 0 and none.dtypes == some.dtypes
+
+
+def test_rows_without_an_id_of_their_own_fill_all_shards(spark, tmp_path, monkeypatch):
+    """Null and repeated ids, different and equal texts: all of them, evenly, in an order that the rows alone decide."""
+    monkeypatch.setattr(shards, "COPIES", 100)
+    monkeypatch.setattr(shards, "RECORDS", 150)
+    rows = [(None, f"text {i}", "en", "s", 0) for i in range(900)] + [(7, f"some {i}", "en", "s", 0) for i in range(900)]
+    rows += [(None, None, "en", "s", 0)] * 900 + [(8, "copy " * 200, "en", "s", 0)] * 900 + [(100 + i, "own", "en", "s", 0) for i in range(50)]
+    docs = documents(spark, rows)
+    write = dict(end=50_256, length=64, shard_bytes=60_000)
+    count = shards.write_shards(docs, RANKS, PATTERN, str(tmp_path / "a"), **write)
+    index = shards.read_index(spark, str(tmp_path / "a"), 64).orderBy("slot").collect()
+    assert [r.slot for r in index] == list(range(len(index)))
+    per_doc = -(-(len(shards.encoding(RANKS, PATTERN).encode_ordinary("copy " * 200)) + 1) // 64)
+    assert Counter(r.doc_id for r in index) == {None: 1800, 7: 900, 8: 900 * per_doc} | {100 + i: 1 for i in range(50)}
+    for doc_id in (None, 7, 8):
+        per_shard = Counter(r.shard for r in index if r.doc_id == doc_id)
+        assert len(per_shard) == count > 10 and max(per_shard.values()) <= 2 * sum(per_shard.values()) / count + 10
+    shards.write_shards(docs.repartition(3), RANKS, PATTERN, str(tmp_path / "b"), **write)
+    assert shards.read_index(spark, str(tmp_path / "b"), 64).orderBy("slot").collect() == index
+
+
+def test_order_of_ids_spread_wide(spark, tmp_path):
+    ids = [-(1 << 63), -5, 0, 3, (1 << 63) - 1]
+    docs = documents(spark, [(i, f"text {i}", "en", "s", 0) for i in ids])
+    shards.write_shards(docs, RANKS, PATTERN, str(tmp_path / "a"), end=50_256)
+    index = shards.read_index(spark, str(tmp_path / "a")).collect()
+    assert sorted(r.doc_id for r in index) == ids and sorted(r.slot for r in index) == list(range(5))
