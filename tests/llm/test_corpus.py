@@ -77,6 +77,32 @@ def test_mixture_of_odd_tables(spark):
     assert took.columns == docs.columns and took.count() > 0
 
 
+def test_equal_rows_share_their_copies(spark, monkeypatch):
+    """They are one item of a block, and are taken as often as other rows of their source."""
+    monkeypatch.setattr(mixing, "ALIKE", 100)
+    blocks, rounded = [], mixing._round_blocks
+    monkeypatch.setattr(mixing, "_round_blocks", lambda items, seed: blocks.append(items) or rounded(items, seed))
+    rows = [(7, "w " * 9, "en", "a", 0)] * 700 + [(None, "v " * 9, "en", "a", 1)] * 500 + [(i, "x " * (1 + i % 17), "en", "ab"[i % 2], 0) for i in range(100, 1300)]
+    docs = documents(spark, rows)
+    found = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in found) == Counter((r[0], len(r[1].split())) for r in rows)
+    assert all(items.groupBy("source", "block", "item.doc_id", "item.size").count().where("count > 1").isEmpty() for items in blocks)
+    ratio = {r.source: r.target / r.source_size for r in found}
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert Counter((r.doc_id, r.size, r.copies) for r in again) == Counter((r.doc_id, r.size, r.copies) for r in found)
+    taken, words, took = Counter(), Counter(), Counter((r.doc_id, r.text) for r in mixing.take(docs).collect())
+    for r in found:
+        taken[r.doc_id, r.size] += r.copies
+        words[r.source] += r.taken
+        assert r.copies - ratio[r.source] < 1 and ratio[r.source] - r.copies < 1
+    for source, size in {(r.source, r.source_size) for r in found}:
+        assert abs(words[source] - ratio[source] * size) <= 20
+    for doc_id, many, text in ((7, 700, "w " * 9), (None, 500, "v " * 9)):
+        assert abs(taken[doc_id, 9] - ratio["a"] * many) <= 5 and abs(took[doc_id, text] - ratio["a"] * many) <= 5  # longer ones are decided first
+    size = sum(len(text.split()) * n for (_, text), n in took.items())
+    assert abs(size - sum(ratio[r.source] * r.size for r in found)) <= 40
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 SECRETS = [
     "token: key: abcdefgh password = 'hunter22' PASSWD:short1 api_key=x=y=z123",
