@@ -206,7 +206,10 @@ def train(docs: DataFrame, labels: DataFrame) -> LineModel:
     known = known.select("doc_id", "quality").dropDuplicates(["doc_id"])
     chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE)
     text = docs.where(F.octet_length("text").between(1, LONGEST)).select("doc_id", "text")
-    rows = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()  # SAMPLE rows
+    # An id that repeats stands for one row: that of the smallest hash of its text.
+    known = text.join(F.broadcast(chosen), "doc_id").withColumn("_draw", F.xxhash64("text"))
+    least = known.groupBy("doc_id").agg(F.min("_draw").alias("_draw"))
+    rows = known.join(F.broadcast(least), ["doc_id", "_draw"]).select("doc_id", "text", "quality").distinct().collect()  # SAMPLE rows
     rows.sort(key=lambda r: (r[0], r[1]))
     raw, starts = flat_bytes(pa.array([r[1] for r in rows], pa.large_string()))
     return fit(*line_features(raw, starts), np.array([int(r[2]) for r in rows]))

@@ -110,3 +110,15 @@ def test_quality_of_odd_documents(spark):
     assert len(found) == len(EDGES) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
     assert line_quality.document_quality(documents(spark, []), labels).count() == 0
     assert line_quality.document_quality(documents(spark), labels.limit(0)).count() == len(EDGES)
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
+    """However many rows and texts it has, only one of them reaches the driver."""
+    reached = []
+    monkeypatch.setattr(line_quality, "fit", lambda features, size, per, label: reached.append((len(per), label.tolist())))
+    rows = [(1, f"text {i % 50}", "en", "s", 0) for i in range(300)] + [(7, "another text", "en", "s", 0)]
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    for some in (docs, docs.repartition(3)):
+        line_quality.train(some, labels)
+    assert reached == [(2, [1, 0])] * 2
