@@ -4,7 +4,8 @@
 
 A closed form over a whole account overflows, because it divides by powers of ``1 - alpha``. The rows
 are therefore numbered and grouped into blocks that are short enough for double precision; a block
-starts from the end of the block before it.
+starts from the end of the block before it. The ends of blocks are chained by doubling: each takes up the end of the
+block before it, then that of two blocks before, of four and so on, until double precision holds nothing older.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from riskweave.operators.ordered import SLOT, SplitPolicy, large_keys, spread, w
 KEYS = ["account_id"]
 ORDER = ["event_time_ms", "transaction_id"]
 BLOCK_WEIGHT = 1e-12  # weight of a block's start at its end
+DECADES = 640  # between the largest and the least number of double precision
 
 
 def account_ema(txns: DataFrame, alpha: float = 0.1, policy: SplitPolicy = SplitPolicy()) -> DataFrame:
@@ -38,8 +40,8 @@ def account_ema(txns: DataFrame, alpha: float = 0.1, policy: SplitPolicy = Split
 
 def _finish(rows: DataFrame, alpha: float) -> DataFrame:
     """Adds what the start value still weighs after the rows since then."""
-    left = F.pow(F.lit(1.0 - alpha), F.col("_row").cast("double"))
-    return rows.select(*KEYS, "transaction_id", "event_time_ms", (F.col("_own") + F.col("_start") * left).alias("ema"))
+    half = F.pow(F.lit(1.0 - alpha), F.col("_row") / 2)  # no zero where the product isn't
+    return rows.select(*KEYS, "transaction_id", "event_time_ms", (F.col("_own") + F.col("_start") * half * half).alias("ema"))
 
 
 def _within(rows: DataFrame, parts: list[str], alpha: float) -> DataFrame:
@@ -62,14 +64,17 @@ def _within(rows: DataFrame, parts: list[str], alpha: float) -> DataFrame:
     growth = F.pow(F.lit(keep), -F.col("_step"))
     scaled = F.sum(F.col("amount") * growth).over(block.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     in_block = numbered.withColumn("_in_block", scaled * alpha * F.pow(F.lit(keep), F.col("_step")))
-    # Two blocks back is the last one that double precision can see.
-    by_row = Window.partitionBy(*parts).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    block_weight = keep**size
+    by_row = Window.partitionBy(*parts).orderBy("_row")
     ends = F.col("_step") == float(size)
-    one_back = F.coalesce(F.last(F.when(ends, F.col("_in_block")), ignorenulls=True).over(by_row), F.lit(0.0))
-    chained = in_block.withColumn("_end", F.when(ends, F.col("_in_block") + one_back * block_weight))
-    two_back = F.coalesce(F.last("_end", ignorenulls=True).over(by_row), F.lit(0.0))
-    return chained.withColumn("_own", F.col("_in_block") + two_back * F.pow(F.lit(keep), F.col("_step"))).drop(
+    chained = in_block.withColumn("_end", F.when(ends, F.col("_in_block")))
+    blocks = math.ceil(DECADES / -(size * math.log10(keep)))  # so many blocks back, nothing is left of any amount
+    for level in range(math.ceil(math.log2(max(2, blocks)))):
+        # The weight is applied in halves, which are no zero where the product isn't.
+        half = keep ** (size * 2**level / 2)
+        older = F.coalesce(F.lag("_end", size * 2**level).over(by_row), F.lit(0.0))
+        chained = chained.withColumn("_end", F.col("_end") + older * half * half)
+    before = F.coalesce(F.last("_end", ignorenulls=True).over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return chained.withColumn("_own", F.col("_in_block") + before * F.pow(F.lit(keep), F.col("_step"))).drop(
         "_block", "_step", "_in_block", "_end"
     )
 

@@ -126,6 +126,22 @@ def test_average_row_by_row(spark, policy):
     assert got == pytest.approx(expected, rel=1e-12)
 
 
+@BOTH
+@pytest.mark.parametrize("alpha", [0.1, 0.6])
+def test_ema_of_amounts_far_apart(spark, alpha, policy):
+    """Large amounts weigh many blocks later, and nothing but zeros leaves an average above zero."""
+    amounts = [3.0, 1e30, *[0.0] * 1500, 1e-20, 1e40, *[0.0] * 400, 7.0]
+    rows = [txn(n, "a", amount=amount) for n, amount in enumerate(amounts)]
+    expected, value = {}, amounts[0]
+    for row, amount in zip(rows, amounts, strict=True):
+        value = (1 - alpha) * value + alpha * amount
+        if value > 1e-290:  # with fewer digits below
+            expected[row["transaction_id"]] = value
+    got = {r.transaction_id: r.ema for r in account_ema(frame(spark, rows), alpha, policy).collect()}
+    assert len(got) == len(amounts)
+    assert {t: got[t] for t in expected} == pytest.approx(expected, rel=1e-10, abs=0)
+
+
 @BOTH
 def test_version_in_force(spark, policy):
     rng = random.Random(4)
