@@ -300,17 +300,13 @@ def meetings(docs: DataFrame, size: int, rule: Threshold, seed: int) -> DataFram
 
     Sets with one signature would be one bucket, which loses no pair.
     """
-    same = Window.partitionBy("gram")
-    met = first_ngrams(docs, size, rule, seed).repartition("gram").distinct()
-    met = met.withColumns(
-        {
-            "many": F.count(F.lit(1)).over(same),
-            "_low": F.min("node").over(same),
-            "_high": F.max("node").over(same),
-            "_all": F.bit_xor(F.xxhash64("node")).over(same),
-        }
-    ).where(F.col("many") > 1)
-    return met.select(F.xxhash64("many", "_low", "_high", "_all").alias("signature"), "node", "many").distinct()
+    met = store(first_ngrams(docs, size, rule, seed).distinct(), "met")
+    # Summed before they move: an n-gram that very many sets begin with is one small row, and its nodes can be split in the join.
+    known = met.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("many"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("all")
+    )
+    known = known.where(F.col("many") > 1).select("gram", F.xxhash64("many", "low", "high", "all").alias("signature"), "many")
+    return met.join(known, "gram").select("signature", "node", "many").distinct()
 
 
 def candidates(buckets: DataFrame, rule: Threshold, most: int | None) -> DataFrame:

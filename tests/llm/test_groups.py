@@ -166,6 +166,22 @@ def test_weights_count_all_rows(spark):
     assert not any(count_tree.weights(documents(spark, []), 3, 0))
 
 
+def test_meetings_need_no_window_over_an_ngram(spark):
+    """However many sets begin with it, they are summed before they move and may be split."""
+    rule = count_tree.Threshold(90, 100)
+    docs = documents(spark, [r for r in near_copies() if r[0] < 300])
+    met = count_tree.meetings(docs, 3, rule, 0)
+    assert "Window" not in met._jdf.queryExecution().toString()
+    nodes = defaultdict(set)
+    for r in count_tree.first_ngrams(docs, 3, rule, 0).collect():
+        nodes[r.gram].add(r.node)
+    wanted, found = {frozenset(n) for n in nodes.values() if len(n) > 1}, defaultdict(set)
+    for r in met.collect():
+        found[r.signature, r.many].add(r.node)
+    assert {frozenset(n) for n in found.values()} == wanted and len(found) == len(wanted)
+    assert all(many == len(n) for (_, many), n in found.items())
+
+
 def test_large_buckets_are_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(count_tree, "CHUNK", 20)
     rows = near_copies()[:120]
