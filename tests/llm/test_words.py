@@ -126,22 +126,24 @@ def test_search_of_empty_tables(spark):
 
 
 def test_blocks_are_ruled_out_by_their_maximum():
-    rng = np.random.default_rng(1)
-    norms = np.sort(rng.integers(20, 40_000, 20_000))  # blocks further back are worth less
+    rng, norms = np.random.default_rng(1), np.full(20_000, 100)
+    # The common list is worth much in its first and its last blocks, and less between them.
+    common = np.where(np.arange(20_000) < 2048, 3, np.where(np.arange(20_000) > 19_900, 40, 1))
     lists = []
-    for share, weight in ((0.6, 50), (0.5, 90), (0.02, 9000)):
+    for share, weight, counts in ((0.6, 100, common), (0.05, 9000, np.ones(20_000, np.int64))):
         docs = np.flatnonzero(rng.random(len(norms)) < share)
-        packed = block_max.pack(docs, rng.geometric(0.5, len(docs)), norms)
+        packed = block_max.pack(docs, counts[docs], norms)
         lists.append((weight, block_max.Postings(*(np.array(packed[c]) for c in ("lasts", "maxima", "starts")), packed["data"], norms)))
     best, seen = block_max.Best(10), {"ruled out": 0}
     block_max.search_shard(lists, list(range(len(norms))), best, seen)
+    unpacked = [len(postings.unpacked) for _, postings in lists]
     total = np.zeros(len(norms), np.int64)
     for weight, postings in lists:
         docs, worth = postings.between(0, len(norms))
         total[docs] += weight * worth
     order = np.lexsort((np.arange(len(norms)), -total))[:10]
     assert [(-s, d) for s, _, d in best.found] == [(int(total[d]), int(d)) for d in order]
-    assert seen["ruled out"] > 0
+    assert seen["ruled out"] > 50 and unpacked[0] < len(lists[0][1].lasts) // 2
 
 
 # ---- phrases ---------------------------------------------------------------------------------
