@@ -19,6 +19,8 @@ from riskweave.llm.common import small_batches, store
 #: Vectors of a shard and queries of a block, on average, and vectors of a page.
 SHARD, BLOCK, PAGE = 20_000, 2_000, 512
 QUERY_STEP, NEAREST, FACTOR = 20, 20, 1.0
+#: Pairs of query and vector that are scored or held at a time.
+_PAIRS = 1 << 17
 
 
 class VantageTree:
@@ -49,11 +51,9 @@ class VantageTree:
             for part in (order[:half], order[half:]):
                 todo.append((rows[part], [*path, (at, away[part[0]], away[part[-1]])]))
 
-    def search(self, queries: np.ndarray, skip: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and inner products of the best ``k`` and some more per query, best first; ``skip`` is a row per query or -1."""
-        length = np.sqrt((queries**2).sum(axis=1) + self.top)
-        lifted = np.column_stack([queries, np.zeros(len(queries))])
-        least = np.zeros((len(queries), len(self.pages)))
+    def _least(self, lifted: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """A lower bound of the distance of each query (row) from each page (column)."""
+        least = np.zeros((len(lifted), len(self.pages)))
         if self.points:
             square = (lifted**2).sum(axis=1)[:, None] + (self.lifted[self.points] ** 2).sum(axis=1) - 2 * lifted @ self.lifted[self.points].T
             away = np.sqrt(np.maximum(square, 0.0))
@@ -61,33 +61,58 @@ class VantageTree:
                 for at, low, high in path:
                     least[:, p] = np.maximum(least[:, p], np.maximum(low - away[:, at], away[:, at] - high))
         # Rounding may make a bound a little too large.
-        least = np.maximum(least - 1e-9 * (1 + length[:, None]), 0.0)
+        return np.maximum(least - 1e-9 * (1 + length[:, None]), 0.0)
+
+    def search(self, queries: np.ndarray, names: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and inner product of the best ``k`` rows per query, equal products by ascending ``names``.
+
+        A first pass over the pages finds the k-th best product. A second one takes every row that reaches it, so that
+        of rows that tie, however many, the right ones stay.
+        """
+        length = np.sqrt((queries**2).sum(axis=1) + self.top)
+        least = self._least(np.column_stack([queries, np.zeros(len(queries))]), length)
         order = np.argsort(least, axis=1, kind="stable")
-        held = k + 4
-        best, rows = np.full((len(queries), held), -np.inf), np.full((len(queries), held), -1)
+        best = np.full((len(queries), k), -np.inf)
         vectors = self.lifted[:, :-1]
         alive = np.arange(len(queries))
+        far = lambda who: np.sqrt(np.maximum(length[who] ** 2 - 2 * np.where(np.isfinite(best[who, -1]), best[who, -1], 0.0), 0.0))
         for turn in range(len(self.pages)):
             page = order[alive, turn]
-            kth = best[alive, k - 1]
-            far = np.sqrt(np.maximum(length[alive] ** 2 - 2 * np.where(np.isfinite(kth), kth, 0.0), 0.0))
-            stay = ~np.isfinite(kth) | (least[alive, page] * factor <= far)
+            stay = ~np.isfinite(best[alive, -1]) | (least[alive, page] * factor <= far(alive))
             alive, page = alive[stay], page[stay]
             if not len(alive):
                 break
             for p in np.unique(page):
                 who = alive[page == p]
-                there = self.pages[p]
-                got = queries[who] @ vectors[there].T
-                got[skip[who][:, None] == there[None]] = -np.inf
-                every = np.hstack([best[who], got])
-                named = np.hstack([rows[who], np.broadcast_to(there, got.shape)])
-                first = np.argpartition(-every, held - 1, axis=1)[:, :held]
-                some = np.take_along_axis(every, first, axis=1)
-                ranked = np.argsort(-some, axis=1, kind="stable")
-                best[who] = np.take_along_axis(some, ranked, axis=1)
-                rows[who] = np.take_along_axis(np.take_along_axis(named, first, axis=1), ranked, axis=1)
-        return rows, best
+                every = np.hstack([best[who], queries[who] @ vectors[self.pages[p]].T])
+                best[who] = -np.sort(np.partition(-every, k - 1, axis=1)[:, :k], axis=1)
+        # A product may differ in its last digits from pass to pass.
+        floor = best[:, -1] - 1e-9 * (1 + length * np.sqrt(self.top))
+        reach = np.where(np.isfinite(best[:, -1]), far(np.arange(len(queries))) * (1 + 1e-9) + 1e-9, np.inf)
+        none = np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, np.zeros(0))]
+        size = 0
+        for p, there in enumerate(self.pages):
+            who = np.flatnonzero(least[:, p] * factor <= reach)
+            q, r = np.nonzero(queries[who] @ vectors[there].T >= floor[who, None])
+            q, r = who[q], there[r]
+            # The same way for every pair, so that ties are ties; a bounded number at a time.
+            scores = np.concatenate([np.zeros(0), *((vectors[r[a : a + _PAIRS]] * queries[q[a : a + _PAIRS]]).sum(axis=1) for a in range(0, len(q), _PAIRS))])
+            held.append((q, r, scores))
+            size += len(q)
+            if size > _PAIRS:
+                held = [_first(*(np.concatenate(x) for x in zip(*held, strict=True)), names, k)]
+                size = 0
+        return _first(*(np.concatenate(x) for x in zip(*held, strict=True)), names, k)
+
+
+def _first(query: np.ndarray, row: np.ndarray, score: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` rows of each query by score, then name."""
+    order = np.lexsort((names[row], -score, query))
+    query, row, score = query[order], row[order], score[order]
+    begin = np.concatenate(([True], query[1:] != query[:-1])) if len(query) else np.zeros(0, bool)
+    place = np.arange(len(query)) - np.flatnonzero(begin)[np.cumsum(begin) - 1] if len(query) else query
+    return query[place < k], row[place < k], score[place < k]
 
 
 def _usable(embeddings: DataFrame) -> DataFrame:
@@ -132,16 +157,17 @@ def nearest(
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(ids))
         tree = VantageTree(vectors[first])
-        found, _ = tree.search(points, np.full(len(points), -1), k + 1, factor)
+        # A row among the best is of one of the first k + 1 points: at most one of those before it has the query's own row only.
+        asking_, reached, scores = tree.search(points, ids[first], k + 1, factor)
         out: list[tuple[int, int, float]] = []
-        for q in range(len(points)):
-            reached = found[q][found[q] >= 0]
-            # Scored anew, the same way for every vector, so that ties are ties.
-            scores = (vectors[first[reached]] * points[q]).sum(axis=1)
-            held = []
-            for point, score in zip(reached, scores, strict=True):
-                some = ids[first[point] : last[point]][: k + 1 + int((ids[first[point] : last[point]] == names[q]).sum())]
-                held.extend((-score, int(i)) for i in some[some != names[q]][:k])
+        borders = np.searchsorted(asking_, np.arange(len(points) + 1))
+        for q, (a, b) in enumerate(zip(borders[:-1], borders[1:], strict=True)):
+            held: list[tuple[float, int]] = []
+            for point, score in zip(reached[a:b], scores[a:b], strict=True):
+                own = ids[first[point] : last[point]]
+                low, high = np.searchsorted(own, (names[q], names[q] + 1))
+                held.extend((-score, int(i)) for i in own[: min(low, k)])
+                held.extend((-score, int(i)) for i in own[high : high + k])
             out.extend((int(names[q]), i, -s) for s, i in sorted(held)[:k])
         if not out:
             return empty
