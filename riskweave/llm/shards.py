@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ LENGTH, SHARD_BYTES = 512, 16 << 20
 #: A shard is read as one value, so it is never asked to be larger.
 MOST_BYTES = 256 << 20
 HEADER, ROUNDS = 16, 6
+#: Signs of white space in a row that are encoded as one.
+RUN = 500_000
 #: Copies of one row that are written at a time, records of a batch, and places where some rows are placed by hashes.
 COPIES, RECORDS, PLACES = 1000, 8192, 1 << 62
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -71,6 +74,28 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_ids(model, text: str, limit: int = RUN) -> np.ndarray:
+    """Ids of ``text`` as 16-bit numbers.
+
+    The encoder fails on longer rows of white space than ``limit``; they are cut after each ``limit`` signs, and what
+    is left of a row stays with what follows it.
+    """
+    if len(text) <= limit:
+        ids = model.encode_to_numpy(text, disallowed_special=())
+    else:
+        parts, at = [], 0
+        for run in re.finditer(rf"\s{{{limit + 1},}}", text):
+            parts.append(text[at : run.start() + limit])
+            at = run.start() + limit
+            while run.end() - at > limit:
+                parts.append(text[at : at + limit])
+                at += limit
+        ids = np.concatenate([model.encode_to_numpy(p, disallowed_special=()) for p in [*parts, text[at:]]])
+    if ids.max(initial=0) >= 1 << 16:
+        raise ValueError("token ids beyond 65,535 don't fit the records")
+    return ids
+
+
 def _own_ids(rows: DataFrame) -> tuple[DataFrame, bool]:
     """(doc_id, text, first, many) and whether there are rows without an id of their own.
 
@@ -111,7 +136,7 @@ def sequences(rows: DataFrame, path: str, pattern: str, end: int, length: int, l
         for batch in batches:
             model, records, numbers = encoding(path, pattern), [], []
             for doc_id, text, first, many in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "first", "many")), strict=True):
-                ids = np.append(model.encode_to_numpy(text, disallowed_special=()), end).astype("<u2")
+                ids = np.append(token_ids(model, text), end).astype("<u2")
                 named = (doc_id if doc_id is not None else -1).to_bytes(8, "big", signed=True)
                 own = []
                 for seq, at in enumerate(range(0, len(ids), length)):
@@ -137,7 +162,7 @@ def sequences(rows: DataFrame, path: str, pattern: str, end: int, length: int, l
 def write_shards(docs: DataFrame, path: str, pattern: str, folder: str, end: int, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = 0) -> int:
     """Write all sequences of ``docs`` to ``folder``/shard=N, one file per shard; returns the number of shards.
 
-    Token ids must be below 65,536. A null text counts as empty; an empty text is one sequence, of the end
+    Token ids must be below 65,536, or writing fails. A null text counts as empty; an empty text is one sequence, of the end
     id. Rows with a null doc_id carry -1; they and rows that repeat an id are spread over all shards. Where two
     sequences have one place, the records themselves break the tie, so equal input gives equal shards. An id
     of -1 reads as null. Shards of more than ``MOST_BYTES`` are made smaller. Nothing is written of an empty table.
