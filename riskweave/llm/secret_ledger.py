@@ -35,8 +35,9 @@ BASE = (
     Rule("hex", 1, r"[0-9a-f]{24,}"),
 )
 MORE = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    # Nothing is tried twice, and a run of token signs only from its start, so long texts take time in proportion.
+    Rule("pem", 2, r"-----BEGIN (?:(?!PRIVATE KEY-----)[A-Z]++ ){0,8}+PRIVATE KEY-----"),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"),
 )
 LEDGER = "blob string, rule string, version int, spans array<struct<start: int, end: int>>"
 
