@@ -24,20 +24,33 @@ BLOCK_WEIGHT = 1e-12  # weight of a block's start at its end
 DECADES = 640  # between the largest and the least number of double precision
 
 
-def account_ema(txns: DataFrame, alpha: float = 0.1, policy: SplitPolicy = SplitPolicy()) -> DataFrame:
-    """``ema`` after each transaction: account_id, transaction_id, event_time_ms, ema."""
+def account_ema(
+    txns: DataFrame, alpha: float = 0.1, policy: SplitPolicy = SplitPolicy(), before: DataFrame | None = None
+) -> DataFrame:
+    """``ema`` after each transaction: account_id, transaction_id, event_time_ms, ema.
+
+    ``before`` (account_id, start) has the averages that accounts had before all of ``txns``.
+    """
     if not 0.0 < alpha < 1.0:
         raise ValueError("alpha must lie between 0 and 1")
     base = txns.select(*KEYS, *ORDER, F.coalesce("amount", F.lit(0.0)).alias("amount"))
     large = large_keys(base, KEYS, policy)
-    whole = _within(large.others(base) if large else base, KEYS, alpha).withColumn("_start", F.col("_first"))
+    whole = _started(_within(large.others(base) if large else base, KEYS, alpha), before)
     averages = _finish(whole, alpha)
     if large:
         rows = _within(spread(large.of(base), KEYS, ORDER, large.slots), [*KEYS, SLOT], alpha)
-        averages = averages.unionByName(_finish(with_carry(rows, _slot_starts(rows, alpha), KEYS), alpha))
+        averages = averages.unionByName(_finish(with_carry(rows, _slot_starts(rows, alpha, before), KEYS), alpha))
     return averages
 
 
+def _started(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Adds _start: the average before the rows, or the first amount of an account that has none."""
+    if before is None:
+        return rows.withColumn("_start", F.col("_first"))
+    known = before.select(*KEYS, F.col("start").alias("_before"))
+    return rows.join(known, KEYS, "left").withColumn("_start", F.coalesce("_before", "_first")).drop("_before")
+
+
 def _finish(rows: DataFrame, alpha: float) -> DataFrame:
     """Adds what the start value still weighs after the rows since then."""
     half = F.pow(F.lit(1.0 - alpha), F.col("_row") / 2)  # no zero where the product isn't
@@ -79,19 +92,20 @@ def _within(rows: DataFrame, parts: list[str], alpha: float) -> DataFrame:
     )
 
 
-def _slot_starts(rows: DataFrame, alpha: float) -> DataFrame:
+def _slot_starts(rows: DataFrame, alpha: float, before: DataFrame | None = None) -> DataFrame:
     """The average at the start of each slot of the cut accounts.
 
     Only the one summary row per slot goes through pandas; their number is bounded by the split policy.
     """
     ends = rows.groupBy(*KEYS, SLOT).agg(
-        F.max("_row").alias("rows"), F.max_by("_own", "_row").alias("own"), F.first("_first").alias("first")
+        F.max("_row").alias("rows"), F.max_by("_own", "_row").alias("own"), F.first("_first").alias("_first")
     )
+    ends = _started(ends, before)
     keep = 1.0 - alpha
 
     def chain(slots: pd.DataFrame) -> pd.DataFrame:
         slots = slots.sort_values(SLOT)
-        starts, value = [], slots["first"].iloc[0]
+        starts, value = [], slots["_start"].iloc[0]
         for rows, own in zip(slots["rows"], slots["own"], strict=True):
             starts.append(value)
             value = own + value * keep**rows

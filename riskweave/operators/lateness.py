@@ -21,20 +21,21 @@ def classify_lateness(
     drop_ms: int = LATE_DROP_MS,
     by: tuple[str, ...] = (),
     policy: SplitPolicy = SplitPolicy(),
+    seen_ms: int | None = None,
 ) -> DataFrame:
     """Add watermark_ms, lag_ms and lateness (on_time, late, dropped).
 
     The watermark trails the largest event time that arrived before the row by ``tolerance_ms``.
     ``arrival_col`` is an integer that grows with arrival (an offset). ``by`` names the columns with
     a watermark of their own, such as the source partition; without it there is one for all rows, which
-    are then cut into slots however few they are.
+    are then cut into slots however few they are. ``seen_ms`` is the largest event time before all rows.
     """
     if not by:
         policy = replace(policy, min_rows=0, slot=policy.slot_rows)
     keys = list(by) or ["_all"]
     keyed = txns if by else txns.withColumn("_all", F.lit(0))
     seen = running(keyed, keys, [arrival_col], F.col("event_time_ms"), "_seen", LARGEST, policy)
-    watermark = F.col("_seen") - F.lit(tolerance_ms)
+    watermark = F.greatest("_seen", F.lit(seen_ms).cast("bigint")) - F.lit(tolerance_ms)
     lag = F.greatest(watermark - F.col("event_time_ms"), F.lit(0))
     return (
         seen.withColumn("watermark_ms", watermark)

@@ -418,6 +418,12 @@ SELECTS = {
 SELECTS["stream_score"] = SELECTS["score_transactions"]
 SELECTS["stream_anomalies"] = SELECTS["anomalies_all"]
 SELECTS["stream_spend"] = SELECTS["spend_union"]
+SELECTS["stream_score_profiles"] = SELECTS["score_transactions"]
+SELECTS["stream_lateness"] = SELECTS["lateness_buckets"]
+SELECTS["stream_ema"] = SELECTS["account_ema_feature"]
+SELECTS["keyed_scored"] = SELECTS["upsert_scored"]
+SELECTS["keyed_spend"] = SELECTS["upsert_spend"]
+SELECTS["keyed_verdicts"] = SELECTS["upsert_verdicts"]
 
 
 # Every third account counts as the same one.
@@ -428,7 +434,16 @@ HOT = {
 }
 SELECTS["anomalies_hot_account"] = "select id, transaction_id, account_id, reason_code, detected_at_ms from anomalies"
 SELECTS["lateness_in_slots"] = SELECTS["lateness_buckets"]
-VARIANTS = {"anomalies_hot_account": HOT}
+# Some profiles have changed and others are deleted.
+CHANGED = {
+    "fx_merchants": f"""
+        select * replace (category || case when cast(merchant_id as bigint) % 4 = 0 then '+' else '' end as category)
+        from ({VIEWS["fx_merchants"]}) where cast(merchant_id as bigint) % 13 <> 6""",
+    "fx_accounts": f"""
+        select * replace (tier || case when cast(account_id as bigint) % 4 = 0 then '+' else '' end as tier)
+        from ({VIEWS["fx_accounts"]}) where cast(account_id as bigint) % 13 <> 6""",
+}
+VARIANTS = {"anomalies_hot_account": HOT, "stream_score_profiles": CHANGED}
 
 
 def statement(select: str, changed: dict[str, str]) -> str:

@@ -21,11 +21,13 @@ from riskweave.operators.upsert import append_idempotent, insert_if_absent, upse
 from riskweave.operators.verdicts import validate_verdicts
 from riskweave.params import SPEND_SPECS, SpendSpec
 from riskweave.plans.fixtures import DAY_MS, PARAMS, Fixture, number
-from riskweave.plans.replay import replay_anomalies, replay_scores, replay_spend
+from riskweave.plans.replay import replay_anomalies, replay_ema, replay_lateness, replay_scores, replay_scores_with_profiles, replay_spend
 from riskweave.schemas import ACCOUNT_FIELDS, MERCHANT_FIELDS
 from riskweave.sources.cdc import DELETE, keep_first_version, parse_cdc, to_accounts, to_merchants, to_transactions, unwrap_cdc
 from riskweave.sources.change_stream import with_topic
+from riskweave.sources.keyed_table import KeyedTable
 from riskweave.sources.snapshots import latest_per_key, snapshot_plus_changes, versions
+from riskweave.session import working_dir
 
 Query = Callable[[Fixture], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -649,3 +651,74 @@ def stream_spend(fx: Fixture) -> DataFrame:
 @query
 def stream_anomalies(fx: Fixture) -> DataFrame:
     return replay_anomalies(fx).withColumn("evidence_keys", F.size("evidence")).drop("evidence")
+
+
+@query
+def stream_score_profiles(fx: Fixture) -> DataFrame:
+    """Scores against profiles that other streams keep current."""
+    return rounded(replay_scores_with_profiles(fx).drop("score_breakdown"), "risk_score")
+
+
+@query
+def stream_lateness(fx: Fixture) -> DataFrame:
+    """On-time, late and dropped rows of a running job."""
+    return replay_lateness(fx, arrivals(fx))
+
+
+@query
+def stream_ema(fx: Fixture) -> DataFrame:
+    """The moving average, continued from micro-batch to micro-batch."""
+    return replay_ema(fx).select("account_id", "transaction_id", "event_time_ms", r6(F.log1p("ema")).alias("log_ema"))
+
+
+# ---- keyed tables ----------------------------------------------------------------------------
+
+
+def keyed_table(fx: Fixture, name: str, like: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], **rules) -> KeyedTable:
+    columns = ", ".join(f"{c} {t}" for c, t in like.dtypes)
+    return KeyedTable(fx.spark, working_dir(fx.spark, name), columns, keys, order, **rules)
+
+
+def written_twice(table: KeyedTable, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two writes, the second of which is repeated."""
+    for write_id, rows in ((0, first), (1, second), (1, second)):
+        table.write(rows, write_id)
+    return table.read()
+
+
+@query
+def keyed_scored(fx: Fixture) -> DataFrame:
+    """Rescoring as a write to the buckets it touches."""
+    n = number("transaction_id")
+    scores = fx.scored.select("transaction_id", "amount", "risk_score", "event_time_ms", F.lit(0).alias("attempt"))
+    again = scores.where(n % 2 == 0).withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns(
+        {"amount": F.col("amount") + 1000, "risk_score": F.col("risk_score") / 4 * F.col("attempt")}
+    )
+    table = keyed_table(fx, "keyed-scored", scores, ("transaction_id",), ("attempt",), update_cols=("risk_score", "attempt"))
+    return rounded(written_twice(table, scores.where(n % 3 != 0), again).drop("attempt"), "amount", "risk_score")
+
+
+@query
+def keyed_spend(fx: Fixture) -> DataFrame:
+    """Windows that were written before are replaced as a whole."""
+    sums = spend.spend_by(fx.scored, "CATEGORY", "merchant_category", SPEND_SPECS[0].width_ms)
+    early = sums.where(F.col("txn_count") == 1).withColumn("total_amount", F.lit(0.0))
+    keys = ("window_start_ms", "window_end_ms", "dimension", "dimension_value")
+    table = keyed_table(fx, "keyed-spend", sums, keys, ("txn_count",))
+    return rounded(written_twice(table, early, sums), "total_amount")
+
+
+@query
+def keyed_verdicts(fx: Fixture) -> DataFrame:
+    """A second verdict on a case replaces the first; an older one that comes later doesn't."""
+    first = fx.verdicts.select("anomaly_event_id", "ai_risk_score", "classification", "analyzed_at_ms")
+    changed = first.where(F.col("ai_risk_score") % 2 == 0).withColumns(
+        {
+            "ai_risk_score": F.lit(100) - F.col("ai_risk_score"),
+            "classification": F.lit("UNKNOWN"),
+            "analyzed_at_ms": F.col("analyzed_at_ms") + 60_000,
+        }
+    )
+    stale = first.withColumns({"classification": F.lit("STALE"), "analyzed_at_ms": F.col("analyzed_at_ms") - 1})
+    table = keyed_table(fx, "keyed-verdicts", first, ("anomaly_event_id",), ("analyzed_at_ms",))
+    return written_twice(table, first, changed.unionByName(stale))

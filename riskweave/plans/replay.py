@@ -17,8 +17,13 @@ from riskweave.plans.batch import score
 from riskweave.plans.fixtures import PARAMS, Fixture
 from riskweave.schemas import SCORED
 from riskweave.session import working_dir
+from riskweave.operators.lateness import DROPPED, LATE, ON_TIME
 from riskweave.sources.sinks import as_json_records, read_current, read_log
+from riskweave.sources.change_stream import TOPICS
+from riskweave.sources.snapshots import union_all
+from riskweave.streaming.carried import start_ema_job, start_lateness_job
 from riskweave.streaming.jobs import OFFSET, PROCESSED, JobConfig, start_anomaly_job, start_score_job, start_spend_job
+from riskweave.streaming.profiles import current_profiles, profile_table, start_profile_job
 
 #: Rows of a file of the log, and files at least: a micro-batch reads one file.
 FILE_ROWS, LEAST_FILES = 1_000_000, 4
@@ -79,6 +84,45 @@ def replay_scores(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
     return current.drop(OFFSET, PROCESSED)
 
 
+def replay_scores_with_profiles(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Profile changes to tables, change log to scored transactions against them; no topic is read twice."""
+    base = working_dir(fx.spark, "replay-profiles")
+    tables = {}
+    for kind, table, key, changed in (("merchants", fx.merchants, "merchant_id", "category"), ("accounts", fx.accounts, "account_id", "tier")):
+        log = fx.profile_changes(table, key, changed).withColumns({"topic": F.lit(TOPICS[kind]), "_at": F.col("offset")})
+        cfg = _config(base, kind, f"{kind}-changes")
+        write_log(log, "_at", cfg.source["path"], file_rows)
+        start_profile_job(fx.spark, cfg, kind).awaitTermination()
+        tables[kind] = profile_table(fx.spark, cfg.table, kind)
+    cfg = _config(base, "scored", "changes")
+    write_log(change_records(fx.all_transactions).withColumn("_at", F.col("offset")), "_at", cfg.source["path"], file_rows)
+    read = {kind: (lambda t=t: current_profiles(t)) for kind, t in tables.items()}
+    start_score_job(fx.spark, cfg, read["merchants"], read["accounts"]).awaitTermination()
+    changing = ["risk_score", "score_breakdown", PROCESSED]
+    current = read_current(fx.spark, cfg.table, ["transaction_id"], update_cols=changing, order_col=OFFSET)
+    return current.drop(OFFSET, PROCESSED)
+
+
+def replay_lateness(fx: Fixture, arrivals: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Rows in order of arrival to tables by lateness, put together again with the name of their table."""
+    base = working_dir(fx.spark, "replay-lateness")
+    cfg = _config(base, "lateness", "changes")
+    rows = fx.transactions.drop("event_time_ms").join(arrivals.select("transaction_id", "event_time_ms"), "transaction_id")
+    write_log(change_records(rows).withColumn("_at", F.col("offset")), "_at", cfg.source["path"], file_rows)
+    start_lateness_job(fx.spark, cfg).awaitTermination()
+    parts = [read_log(fx.spark, f"{cfg.table}/{kind}").withColumn("lateness", F.lit(kind)) for kind in (ON_TIME, LATE, DROPPED)]
+    return union_all(parts).drop("batch_id")
+
+
+def replay_ema(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Scored transactions to the moving average after each."""
+    base = working_dir(fx.spark, "replay-ema")
+    cfg = _config(base, "ema", "scored")
+    _feed_scored(fx, cfg.source["path"], file_rows)
+    start_ema_job(fx.spark, cfg).awaitTermination()
+    return read_log(fx.spark, cfg.table).drop("batch_id")
+
+
 def _feed_scored(fx: Fixture, path: str, file_rows: int, heartbeat: bool = False) -> None:
     txns = fx.all_transactions.where(F.col("op") != "d")
     scored = score(txns, fx.merchants, fx.accounts)

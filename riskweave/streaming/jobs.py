@@ -52,7 +52,8 @@ class JobConfig:
     weights: Weights = field(default_factory=Weights)
 
 
-def _start(df: DataFrame, cfg: JobConfig, name: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def start_batches(df: DataFrame, cfg: JobConfig, name: str, write: Callable[[DataFrame, int], object]) -> StreamingQuery:
+    """Start a query that hands each micro-batch to ``write``; one that repeats has the same number."""
     writer: DataStreamWriter = (
         df.writeStream.queryName(name).outputMode("append").option("checkpointLocation", cfg.checkpoint)
     )
@@ -94,7 +95,7 @@ def start_score_job(
     """Change records to scored transactions."""
     changes = read_change_stream(_stream_session(spark), cfg.source, cfg.raw_topic)
     txns = to_transactions(unwrap_cdc(changes)).drop("topic").withColumnRenamed("offset", OFFSET)
-    return _start(
+    return start_batches(
         txns, cfg, "score", lambda batch, batch_id: enrich_batch(batch, batch_id, read_merchants, read_accounts, cfg)
     )
 
@@ -105,7 +106,7 @@ def start_spend_job(
     """Scored transactions to spend windows; a window is written once, when the watermark has passed its end."""
     scored = read_scored_stream(_stream_session(spark), cfg.source, cfg.scored_topic)
     sums = spend_union(with_event_time(scored, tolerance=cfg.tolerance), specs)
-    return _start(
+    return start_batches(
         sums, cfg, "spend", lambda batch, batch_id: write_results(batch, batch_id, "dimension_value", "spend", cfg)
     )
 
@@ -117,7 +118,7 @@ def start_anomaly_job(
     scored = read_scored_stream(_stream_session(spark), cfg.source, cfg.scored_topic)
     timed = with_event_time(scored, tolerance=cfg.tolerance) if strict_order else scored
     hits = stream_anomalies(timed, cfg.params, rules, strict_order)
-    return _start(
+    return start_batches(
         hits,
         cfg,
         "anomalies",
