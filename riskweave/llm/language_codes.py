@@ -28,7 +28,8 @@ EVIDENCE = 30.0
 MARGIN = 2.0
 UNDECIDED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_PIECE = 1 << 20
+#: Weights that lie side by side at a time, and letters of a text that are looked at together.
+_CELLS, _FEWEST = 1 << 20, 1 << 12
 
 # ASCII letters are lower-cased, other ASCII signs count as a space; bytes of other letters stay.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -60,16 +61,20 @@ def codewords(count: int) -> np.ndarray:
     return best
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slot of the trigram at each byte of the joined texts, whether it counts, and where each text starts."""
+def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The folded bytes of the joined texts, and where each text starts and the last one ends."""
     raw, starts = flat_bytes(pa.array([f" {t.lower()}  " for t in texts], pa.large_string()))
-    folded = _FOLD[raw]
-    wide = folded.astype(np.uint32)
+    return _FOLD[raw], starts
+
+
+def trigrams(signs: np.ndarray, at: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot of the trigram at each of ``step`` places from ``at`` on, and whether it counts."""
+    some = signs[at : at + step + 2]
+    wide = some.astype(np.uint32)
     code = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
-    slots = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS_BITS)
-    counts = folded[1:-1] != 32  # each letter counts once, in the trigram around it
-    # The last two positions of a text hold spaces, so no trigram that counts reaches into the next one.
-    return np.append(slots, [0, 0]), np.append(counts, [False, False]), starts
+    # Each letter counts once, in the trigram around it. The last two places of a text hold spaces, so no trigram
+    # that counts reaches into the next one.
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS_BITS), some[1:-1] != 32
 
 
 def train(rows: list[tuple[str, str]]) -> LanguageModel:
@@ -78,8 +83,10 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
     codes = codewords(len(languages))
     seen = np.zeros((len(languages), 1 << SLOTS_BITS))
     for k, language in enumerate(languages):
-        slots, counts, _ = trigrams([t for name, t in rows if name == language])
-        seen[k] = np.bincount(slots[counts], minlength=1 << SLOTS_BITS)
+        signs, _ = folded([t for name, t in rows if name == language])
+        for at in range(0, len(signs) - 2, _CELLS):
+            slots, counts = trigrams(signs, at, _CELLS)
+            seen[k] += np.bincount(slots[counts], minlength=1 << SLOTS_BITS)
     share = (seen + 0.05) / (seen + 0.05).sum(axis=1, keepdims=True)  # languages count alike
     weights = np.zeros((1 << SLOTS_BITS, codes.shape[1]), dtype=np.float32)
     for bit in range(codes.shape[1]):
@@ -89,14 +96,20 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
 
 
 def evidence(model: LanguageModel, texts: list[str]) -> np.ndarray:
-    """Margin of each binary classifier per text."""
-    slots, counts, starts = trigrams(texts)
-    total = np.zeros((len(texts), model.codes.shape[1]))
-    number = sums(counts, starts)
-    # The joined texts are worked off in pieces, so that the weights of a long text never lie side by side.
-    for at in range(0, len(slots), _PIECE):
-        part = model.weights[slots[at : at + _PIECE]] * counts[at : at + _PIECE, None]
-        total += sums(part, np.clip(starts - at, 0, len(part)))
+    """Margin of each binary classifier per text, worked off in pieces of one size whatever the number of bits."""
+    bits = model.codes.shape[1]
+    signs, starts = folded(texts)
+    total, number = np.zeros((len(texts), bits)), np.zeros(len(texts))
+    step = max(_FEWEST, _CELLS // max(1, bits))
+    for at in range(0, len(signs) - 2, step):
+        slots, counts = trigrams(signs, at, step)
+        # Only texts that reach into this piece.
+        low, high = np.searchsorted(starts, (at, at + len(slots)), side="right")
+        low = max(0, low - 1)
+        borders = np.clip(starts[low : high + 1] - at, 0, len(slots))
+        own = slice(low, low + len(borders) - 1)
+        number[own] += sums(counts, borders)
+        total[own] += sums(model.weights[slots] * counts[:, None], borders)
     return total / np.maximum(number, 1)[:, None] * np.minimum(number, EVIDENCE)[:, None]
 
 

@@ -79,7 +79,6 @@ class Pieces:
         """The ids of a text, in decimal, joined by commas."""
         if not text:
             return ""
-        self.cache.trim()
         return ",".join(map(self.cache.__getitem__, self.cuts(SPACE_SIGN + text.replace(" ", SPACE_SIGN))))
 
     def decode(self, ids: str) -> str:

@@ -19,29 +19,34 @@ import ahocorasick
 UNKNOWN, START = -1, -2
 
 
-#: Entries of each half of what a worker remembers, and pairs of tokens whose compatibility it remembers.
-REMEMBERED, PAIRS = 200_000, 1_000_000
+#: Bytes of each half of what a worker remembers, with what Python needs for an entry, the longest word that is
+#: remembered, and pairs of tokens whose compatibility is.
+REMEMBERED, ENTRY, LONGEST, PAIRS = 24 << 20, 200, 1000, 200_000
 
 
 class Recent(dict):
-    """Results of ``make`` by argument. ``trim`` bounds it: what wasn't asked for since the last trims is made anew."""
+    """Results of ``make`` by argument. It is bounded: what wasn't asked for since it was last emptied is made anew."""
 
     def __init__(self, make: Callable[[str], object]):
         super().__init__()
         self.make = make
         self.older: dict = {}
+        self.size = 0
 
     def __missing__(self, key: str):
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
-        return value
-
-    def trim(self) -> None:
-        if len(self) > REMEMBERED:
+        # Up to four bytes a character, here and in what is made of it.
+        self.size += ENTRY + 4 * (len(key) + (len(value) if isinstance(value, str) else 0))
+        if self.size > REMEMBERED:
             self.older = dict(self)
             self.clear()
+            self.size = 0
+        return value
 
 
 class PrefixTable:

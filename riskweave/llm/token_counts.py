@@ -58,8 +58,6 @@ class ByteCounts:
 
     def _counts(self, text: str) -> tuple[list[str], list[int]]:
         """The cuts of a text without special strings, and the tokens of each."""
-        self.cache.trim()
-        self.word_cache.trim()
         cuts = self.cuts(text)
         return cuts, list(map(self.cache.__getitem__, cuts))
 
