@@ -13,19 +13,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import small_batches, store
-from riskweave.llm.frequent import SCHEMA, Filter, added, filter_of, frequent, local_rows, part_of
+from riskweave.llm.frequent import SCHEMA, Filter, filter_of, frequent, local_rows, part_of
 from riskweave.llm.word_bytes import byte_kinds, words_of
 
 LONGEST, THRESHOLD, FIRST = 5, 100, 2000
+#: Counters of a summary, as a multiple of the least that keeps all that is frequent: counts then miss a small part of the threshold.
+SPARE = 16
 #: Bytes of text for each hash partition, and bounds of their number.
 PART_BYTES, FEWEST_PARTS, MOST_PARTS = 64 << 20, 16, 1 << 16
-#: Phrases that a task counts before it hands them on, and lots that the phrases of a language are ranked in first.
-COUNTED, LOTS = 200_000, 64
+#: Lots that the phrases of a language are ranked in first.
+LOTS = 64
 UNDECIDED = "und"
 
 #: The signs between words, and those that no phrase reaches across.
@@ -39,14 +42,14 @@ class Grams:
     def __init__(self, batch: pa.RecordBatch):
         found = words_of(batch.column("text"), KINDS)
         words = found.words.dictionary_encode()
-        self.words, self.codes = words.dictionary, words.indices.to_numpy()
+        self.dictionary, self.codes = words.dictionary, words.indices.to_numpy()
         langs = batch.column("lang").dictionary_encode()
-        self.langs = langs.dictionary.to_pylist()
+        self.langs = langs.dictionary
         self.lang = langs.indices.to_numpy()[found.row]
         self.piece = found.piece
-        hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()], dtype=np.uint64)
+        hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in self.dictionary.to_pylist()], dtype=np.uint64)
         self.hashes = hashed[self.codes]
-        self.seeds = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs], dtype=np.uint64)
+        self.seeds = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()], dtype=np.uint64)
 
     def of_lengths(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Length, where the phrases of this length start, and their hashes."""
@@ -77,9 +80,9 @@ class Grams:
                     whole &= follows[starts + step]
                 yield length, starts[whole], hashes[whole]
 
-    def counted(self, length: int, starts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[str, str, int]]:
-        """(lang, phrase, count) of the phrases that start at ``starts``; phrases of one hash are told apart by their words."""
-        order = np.argsort(hashes, kind="stable")
+    def counted(self, length: int, starts: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        """(lang, phrase, words, n) of the phrases that start at ``starts``; phrases of one hash are told apart by their words."""
+        order = np.argsort(hashes)
         starts, hashes = starts[order], hashes[order]
         new = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(starts) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
@@ -91,9 +94,16 @@ class Grams:
             rows = np.column_stack([self.lang[starts], *(self.codes[starts + s] for s in range(length))])
             _, at, group = np.unique(rows, axis=0, return_index=True, return_inverse=True)
             first = starts[at]
-        for start, n in zip(first, np.bincount(group, minlength=len(first)), strict=True):
-            words = [self.words[int(c)].as_py().decode() for c in self.codes[start : start + length]]
-            yield self.langs[self.lang[start]], " ".join(words), int(n)
+        parts = [self.dictionary.take(pa.array(self.codes[first + step])) for step in range(length)]
+        phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", parts[0].type)) if length > 1 else parts[0]
+        return pa.RecordBatch.from_pydict(
+            {
+                "lang": self.langs.take(pa.array(self.lang[first])).cast(pa.string()),
+                "phrase": phrase.cast(pa.binary()).cast(pa.string()),
+                "words": pa.array(np.full(len(first), length, np.int32)),
+                "n": pa.array(np.bincount(group, minlength=len(first)).astype(np.int64)),
+            }
+        )
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -112,7 +122,7 @@ def _weigh(texts: DataFrame, parts: int, longest: int) -> tuple[DataFrame, list[
         words: Counter[str] = Counter()
         mass = np.zeros((2, parts), dtype=np.int64)
         for grams in _each(batches):
-            for lang, n in zip(grams.langs, np.bincount(grams.lang, minlength=len(grams.langs)), strict=True):
+            for lang, n in zip(grams.langs.to_pylist(), np.bincount(grams.lang, minlength=len(grams.langs)), strict=True):
                 words[lang] += int(n)
             for length, _, hashes in grams.of_lengths(longest):
                 mass[int(length > 2)] += np.bincount(part_of(hashes, parts), minlength=parts)
@@ -135,7 +145,7 @@ def _weigh(texts: DataFrame, parts: int, longest: int) -> tuple[DataFrame, list[
 
 def _survivors(texts: DataFrame, mass: np.ndarray, threshold: int, longest: int, pairs: Filter | None) -> Filter:
     """A filter that every frequent phrase passes: words and pairs, or those longer phrases whose ``pairs`` pass."""
-    capacities = mass // threshold + 1
+    capacities = SPARE * (mass // threshold + 1)
     shared = texts.sparkSession.sparkContext.broadcast(pairs) if pairs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,30 +169,14 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LO
     filters = texts.sparkSession.sparkContext.broadcast((pairs, longer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, str, int]] = Counter()
-
-        def handed_on() -> pa.RecordBatch:
-            lang, phrase, length = zip(*seen, strict=True) if seen else ((), (), ())
-            return pa.RecordBatch.from_pydict(
-                {
-                    "lang": pa.array(lang, pa.string()),
-                    "phrase": pa.array(phrase, pa.string()),
-                    "words": pa.array(length, pa.int32()),
-                    "n": pa.array(seen.values(), pa.int64()),
-                }
-            )
-
+        # Handed on batch by batch, so that rows grow with the texts and not with tasks times phrases.
         for grams in _each(batches):
             short, long = filters.value
             found = [(k, s[p], h[p]) for k, s, h in grams.of_lengths(min(2, longest)) for p in [short(h)]]
             found += [(k, s[p], h[p]) for k, s, h in grams.linked(longest, short) for p in [long(h)]]
             for length, starts, hashes in found:
-                for lang, phrase, n in grams.counted(length, starts, hashes):
-                    seen[lang, phrase, length] += n
-            if len(seen) >= COUNTED:
-                yield handed_on()
-                seen.clear()
-        yield handed_on()
+                if len(starts):
+                    yield grams.counted(length, starts, hashes)
 
     counts = texts.mapInArrow(run, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
     return store(counts.where(F.col("f") >= threshold), "phrases"), words
