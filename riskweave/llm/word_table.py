@@ -13,7 +13,7 @@ import json
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,13 +53,15 @@ class WordTokenizer:
         self.exact = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         # Among plain characters, after folding, the letters are the Latin ones and those listed.
         letters = f"{LATIN}ªµº"
-        self.plain = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}0-9²³¹¼½¾]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", "[0-9²³¹¼½¾]"))
+        # A word of letters can't start where another one does, so it may be tried first.
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}0-9²³¹¼½¾]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", "[0-9²³¹¼½¾]")
+        self.plain = re.compile(f"[{letters}]+|{plain}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("|".join(map(re.escape, marks))) if marks else None
         self.signs = {b: s for s, b in byte_signs().items()}
         size = self.library.get_vocab_size(with_added_tokens=True)
-        self.pieces = pa.array([self.library.id_to_token(i) for i in range(size)], pa.string())
+        self.pieces = [self.library.id_to_token(i) for i in range(size)]
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; a special string is a word of its own."""
@@ -90,9 +92,9 @@ class WordTokenizer:
             return [self.special[word]]
         return [t.id for t in self.library.model.tokenize("".join(self.signs[b] for b in word.encode()))]
 
-    def shown(self, ids: pa.Array) -> list[str]:
-        """Pieces of each list of ids, joined by spaces."""
-        return [" ".join(self.pieces.take(row.values).to_pylist()) if row.is_valid and len(row.values) else "" for row in ids]
+    def shown(self, ids: list[int]) -> str:
+        """Pieces of ids, joined by spaces."""
+        return " ".join(map(self.pieces.__getitem__, ids))
 
 
 @lru_cache(maxsize=4)
@@ -147,14 +149,39 @@ def _frequent(table: DataFrame, held_bytes: int) -> list[tuple[str, list[int]]]:
     return [(r[1], list(r[2])) for r in sorted(rows, key=lambda r: (-r[0], r[1]))]
 
 
+class _Numbers(dict):
+    """Number of each broadcast word, -1 for all others."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 class _Held:
     """The broadcast words by number, with their ids and pieces as texts."""
 
     def __init__(self, model: WordTokenizer, words: list[tuple[str, list[int]]]):
-        self.number = {w: i for i, (w, _) in enumerate(words)}
+        self.model = model
+        self.number = _Numbers({w: i for i, (w, _) in enumerate(words)})
         self.ids = [" ".join(map(str, ids)) for _, ids in words]
-        self.pieces = model.shown(pa.array([ids for _, ids in words], pa.list_(pa.int32())))
-        self.many = [len(ids) for _, ids in words]
+        self.pieces = [model.shown(ids) for _, ids in words]
+        self.many = np.array([len(ids) for _, ids in words], dtype=np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+
+    def finish(self, numbers: np.ndarray, own: dict[int, list[int]]) -> tuple[int, str, str]:
+        """Number of ids and digests of a row; ``own`` has the ids of the words that aren't held, by position."""
+        if not own:
+            at = numbers.tolist()
+            return int(self.many[numbers].sum()), _digest(map(self.ids.__getitem__, at)), _digest(map(self.pieces.__getitem__, at))
+        at = np.maximum(numbers, 0).tolist() if len(self.ids) else []
+        ids = list(map(self.ids.__getitem__, at)) or [""] * len(numbers)
+        pieces = list(map(self.pieces.__getitem__, at)) or [""] * len(numbers)
+        total = int(self.many[numbers[numbers >= 0]].sum())
+        for place, some in own.items():
+            ids[place], pieces[place] = " ".join(map(str, some)), self.model.shown(some)
+            total += len(some)
+        return total, _digest(ids), _digest(pieces)
 
 
 _HELD: dict[str, _Held] = {}
@@ -183,9 +210,9 @@ class _Shared:
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digest(parts: list[str]) -> str:
-    """Digest of texts joined by spaces; words without ids leave nothing."""
-    return hashlib.sha256(" ".join(filter(None, parts)).encode()).hexdigest()
+def _digest(parts: Iterable[str]) -> str:
+    """Digest of texts joined by spaces."""
+    return hashlib.sha256(" ".join(parts).encode()).hexdigest()
 
 
 def encode_words(docs: DataFrame, path: str, held_bytes: int = HELD_BYTES) -> DataFrame:
@@ -205,25 +232,23 @@ def encode_words(docs: DataFrame, path: str, held_bytes: int = HELD_BYTES) -> Da
         model, held = word_tokenizer(path), _held(path, shared)
         for batch in batches:
             out = {"row": batch.column("row"), "doc_id": batch.column("doc_id")}
-            done, packed, sizes, digests = [], [], [], []
+            done, packed, sizes = [], [], []
             for text in batch.column("text").to_pylist():
-                at = [held.number.get(w, -1) for w in model.words(text)]
-                if -1 in at:
-                    done.append(None)
-                    digests.append((None, None))
+                at = held.numbers(model.words(text))
+                if len(at) and at.min() < 0:
+                    done.append((None, None, None))
                     sizes.append(len(at))
-                    packed.append(pa.compress(np.array(at, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True))
+                    packed.append(pa.compress(at.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True))
                 else:
-                    done.append(sum(map(held.many.__getitem__, at)))
-                    digests.append((_digest([held.ids[i] for i in at]), _digest([held.pieces[i] for i in at])))
+                    done.append(held.finish(at, {}))
                     sizes.append(None)
                     packed.append(None)
             yield pa.RecordBatch.from_pydict(
                 out
                 | {
-                    "n_tokens": pa.array(done, pa.int64()),
-                    "ids_sha256": pa.array([d[0] for d in digests], pa.string()),
-                    "decoded_sha256": pa.array([d[1] for d in digests], pa.string()),
+                    "n_tokens": pa.array([d[0] for d in done], pa.int64()),
+                    "ids_sha256": pa.array([d[1] for d in done], pa.string()),
+                    "decoded_sha256": pa.array([d[2] for d in done], pa.string()),
                     "packed": pa.array(packed, pa.binary()),
                     "words": pa.array(sizes, pa.int32()),
                 }
@@ -235,15 +260,15 @@ def encode_words(docs: DataFrame, path: str, held_bytes: int = HELD_BYTES) -> Da
         for batch in batches:
             row, at, word = [], [], []
             for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for i, w in enumerate(model.words(text)):
-                    if w not in held.number:
-                        row.append(r)
-                        at.append(i)
-                        word.append(w)
+                words = model.words(text)
+                own = np.flatnonzero(held.numbers(words) < 0).tolist()
+                row += [r] * len(own)
+                at += own
+                word += map(words.__getitem__, own)
             yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "at": pa.array(at, pa.int32()), "word": pa.array(word, pa.string())})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held = word_tokenizer(path), _held(path, shared)
+        held = _held(path, shared)
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() for c in ("n_tokens", "ids_sha256", "decoded_sha256", "packed", "words", "found")}
             for i, packed in enumerate(columns["packed"]):
@@ -255,12 +280,7 @@ def encode_words(docs: DataFrame, path: str, held_bytes: int = HELD_BYTES) -> Da
                 found = {f["at"]: f["ids"] for f in columns["found"][i] or ()}
                 if len(found) != len(gaps) or any(int(g) not in found for g in gaps):
                     raise ValueError("the rows came in another order when they were read again; store the table first")
-                ids, pieces, many = ([column[n] if n >= 0 else None for n in numbers] for column in (held.ids, held.pieces, held.many))
-                shown = model.shown(pa.array([found[int(g)] for g in gaps], pa.list_(pa.int32())))
-                for g, text in zip(gaps, shown, strict=True):
-                    own = found[int(g)]
-                    ids[g], pieces[g], many[g] = " ".join(map(str, own)), text, len(own)
-                columns["n_tokens"][i], columns["ids_sha256"][i], columns["decoded_sha256"][i] = sum(many), _digest(ids), _digest(pieces)
+                columns["n_tokens"][i], columns["ids_sha256"][i], columns["decoded_sha256"][i] = held.finish(numbers, found)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
