@@ -49,7 +49,8 @@ class Grams:
         self.piece = found.piece
         hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in self.dictionary.to_pylist()], dtype=np.uint64)
         self.hashes = hashed[self.codes]
-        self.seeds = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()], dtype=np.uint64)
+        # Hashed another way than words, as some languages are named like words of others.
+        self.seeds = np.array([xxhash.xxh3_64_intdigest(x, 1) for x in self.langs.to_pylist()], dtype=np.uint64)
 
     def of_lengths(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Length, where the phrases of this length start, and their hashes."""
