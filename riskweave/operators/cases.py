@@ -19,6 +19,7 @@ VERDICT_FIELDS = (
     "analyzed_at_ms",
 )
 HIGH_RISK_FROM = 70  # verdict score that counts as high risk (fixed value)
+SEARCHED = ("transaction_id", "owner_name", "merchant_name", "reason_code")
 
 
 def last_action(actions: DataFrame) -> DataFrame:
@@ -37,11 +38,19 @@ def case_view(
     verdicts: DataFrame,
     actions: DataFrame,
 ) -> DataFrame:
-    """One row per anomaly with transaction, profiles, verdict and last action; all look-ups may miss."""
+    """One row per anomaly with transaction, profiles, verdict and last action; all look-ups may miss.
+
+    Anomalies are few among transactions, so both large tables are first cut to the ids in question: Spark
+    broadcasts the ids if they are few, and then nothing else of those tables is shuffled. Verdicts without an ``id``
+    go by that of their case, of which each has one at most.
+    """
+    wanted = anomalies.select("transaction_id").distinct()
     scores = scored.select(
         "transaction_id", "merchant_id", "amount", F.col("risk_score").alias("rule_risk_score"), "score_breakdown"
+    ).join(wanted, "transaction_id", "left_semi")
+    trips = txns.select("transaction_id", "currency", "latitude", "longitude", "event_time_ms").join(
+        wanted, "transaction_id", "left_semi"
     )
-    trips = txns.select("transaction_id", "currency", "latitude", "longitude", "event_time_ms")
     owners = accounts.select(
         "account_id",
         "owner_name",
@@ -57,8 +66,12 @@ def case_view(
         F.col("risk_category").alias("merchant_risk_category"),
         F.col("country").alias("merchant_country"),
     )
+    verdict_id = F.col("id" if "id" in verdicts.columns else "anomaly_event_id")
     reviews = verdicts.select(
-        F.col("anomaly_event_id").alias("id"), *VERDICT_FIELDS, F.struct(*VERDICT_FIELDS).alias("ai_analysis")
+        F.col("anomaly_event_id").alias("id"),
+        verdict_id.alias("ai_analysis_id"),
+        *VERDICT_FIELDS,
+        F.struct(*VERDICT_FIELDS).alias("ai_analysis"),
     )
     latest = last_action(actions).withColumnRenamed("anomaly_event_id", "id")
     return (
@@ -101,11 +114,10 @@ def case_view_of(
         few = ids.select(F.col(name).alias(key)).distinct()
         return table.join(few, key, "left_semi")
 
-    few_scored = cut(scored, chosen, "transaction_id", "transaction_id")
     return case_view(
         chosen,
-        few_scored,
-        cut(txns, chosen, "transaction_id", "transaction_id"),
+        scored,
+        txns,
         cut(accounts, chosen, "account_id", "account_id"),
         merchants,
         cut(verdicts, chosen, "id", "anomaly_event_id"),
@@ -208,7 +220,7 @@ def search_cases(cases: DataFrame, text: str = "", classification: str | None =
         return found
     needle = text.lower()
     hit = F.lit(False)
-    for name in ("transaction_id", "owner_name", "merchant_name", "reason_code"):
+    for name in SEARCHED:
         hit = hit | F.lower(F.coalesce(name, F.lit(""))).contains(needle)
     return found.where(hit)
 

@@ -128,6 +128,7 @@ class Fixture:
             .otherwise("UNKNOWN")
         )
         return self.anomaly_table.where(n % 3 != 0).select(
+            F.concat(F.lit("verdict-"), "id").alias("id"),
             F.col("id").alias("anomaly_event_id"),
             (points >= 70).alias("is_fraud"),
             (points / 100).cast("double").alias("confidence"),

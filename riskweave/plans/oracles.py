@@ -111,7 +111,7 @@ VIEWS = {
               select n, transaction_id, account_id, 'GEO_TRAVEL', event_time_ms from trips
               where distance_km / hours > 900)""",
     "verdicts": """
-        select id as anomaly_event_id, n, points >= 70 as is_fraud, points / 100.0 as confidence,
+        select 'verdict-' || id as id, id as anomaly_event_id, n, points >= 70 as is_fraud, points / 100.0 as confidence,
                points as ai_risk_score,
                case when points >= 85 then 'CONFIRMED_FRAUD' when points >= 70 then 'LIKELY_FRAUD'
                     when points >= 40 then 'SUSPICIOUS' when points >= 10 then 'LEGITIMATE' else 'UNKNOWN' end
@@ -135,7 +135,7 @@ VIEWS = {
                round(s.risk_score, 6) as rule_risk_score, t.currency, t.latitude, t.longitude, t.event_time_ms,
                a.owner_name, a.tier, a.country as account_country, a.credit_limit, a.risk_score as account_risk_score,
                m.name as merchant_name, m.category as merchant_category, m.risk_category as merchant_risk_category,
-               m.country as merchant_country, v.is_fraud, v.confidence, v.ai_risk_score, v.classification,
+               m.country as merchant_country, v.id as ai_analysis_id, v.is_fraud, v.confidence, v.ai_risk_score, v.classification,
                v.reasoning, v.analyzed_at_ms, l.last_action
         from anomalies e
         left join scored s on e.transaction_id = s.transaction_id
@@ -157,6 +157,12 @@ VIEWS = {
 }
 
 
+def _steps(time: str) -> str:
+    """The half minutes at which a row lies in the last five minutes."""
+    first = f"({time} // 30000 + 1) * 30000"
+    return f"unnest(range({first}, {first} + 300000, 30000))"
+
+
 def _late(partition: str) -> str:
     return f"""
         select *, case when lag_ms = 0 then 'on_time' when lag_ms <= 10000 then 'late' else 'dropped' end as lateness
@@ -334,6 +340,14 @@ SELECTS = {
         where classification = 'SUSPICIOUS'
           and (lower(transaction_id) like '%spike%' or lower(owner_name) like '%spike%'
                or lower(merchant_name) like '%spike%' or lower(reason_code) like '%spike%')""",
+    "case_search_index": """
+        select * from cases
+        where contains(lower(transaction_id), 'geo_tra') or contains(lower(owner_name), 'geo_tra')
+           or contains(lower(merchant_name), 'geo_tra') or contains(lower(reason_code), 'geo_tra')""",
+    "case_deep_page": """
+        select * exclude (place)
+        from (select *, row_number() over (order by detected_at_ms desc, id) as place from cases)
+        where place > (select count(*) // 3 from anomalies) and place <= (select count(*) // 3 from anomalies) + 100""",
     "case_labels": """
         select id, coalesce(classification, 'pending') as verdict_label,
                case when ai_risk_score >= 80 then 'critical' when ai_risk_score >= 60 then 'high'
@@ -378,6 +392,15 @@ SELECTS = {
                     from txn group by 1)
               full join (select detected_at_ms - detected_at_ms % 300000 as window_start_ms, count(*) as k
                          from anomalies group by 1) using (window_start_ms))""",
+    "anomaly_rate_stepped": f"""
+        select reason_code, at_ms, count(*) as row_count, round(count(*) / 300.0, 6) as per_second
+        from (select reason_code, {_steps('detected_at_ms')} as at_ms from anomalies) group by all""",
+    "fraud_rate_stepped": f"""
+        select at_ms, coalesce(m, 0) as event_count, coalesce(k, 0) as anomaly_count,
+               round(coalesce(k, 0) / 300.0 * 100 / greatest(coalesce(m, 0) / 300.0, 0.001), 6) as fraud_rate_pct
+        from (select at_ms, count(*) as m from (select {_steps('event_time_ms')} as at_ms from txn) group by 1)
+        full join (select at_ms, count(*) as k from (select {_steps('detected_at_ms')} as at_ms from anomalies) group by 1)
+        using (at_ms)""",
     "miss_rate_1m": """
         select event_time_ms - event_time_ms % 60000 as window_start_ms, count(*) as event_count,
                count(*) filter (where merchant_miss) as merchant_misses,

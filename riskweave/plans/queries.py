@@ -12,10 +12,13 @@ from riskweave.functions.geo import elapsed_hours, haversine_km, speed_kmh
 from riskweave.functions.scores import z_score
 from riskweave.functions.times import HOUR_MS
 from riskweave.operators import cases, reports, rules, spend
+from riskweave.operators.case_index import CaseIndex
 from riskweave.operators.ema import account_ema
 from riskweave.operators.enrich import enrich, enrich_accounts, enrich_asof, enrich_merchants
 from riskweave.operators.lateness import classify_lateness, late_counts
 from riskweave.operators.ordered import SplitPolicy
+from riskweave.operators.pages import deep_page, time_counts
+from riskweave.operators.panes import stepped_fraud_rate, stepped_rate
 from riskweave.operators.score import COMPONENTS, score_components
 from riskweave.operators.upsert import append_idempotent, insert_if_absent, upsert
 from riskweave.operators.verdicts import validate_verdicts
@@ -57,6 +60,7 @@ CASE_COLUMNS = (
     "merchant_category",
     "merchant_risk_category",
     "merchant_country",
+    "ai_analysis_id",
     "is_fraud",
     "confidence",
     "ai_risk_score",
@@ -441,6 +445,24 @@ def case_search(fx: Fixture) -> DataFrame:
     return plain_cases(cases.search_cases(case_rows(fx, wanted), "SPIKE"))
 
 
+@query
+def case_search_index(fx: Fixture) -> DataFrame:
+    """Search of all cases through stored trigrams."""
+    rows = plain_cases(case_rows(fx))
+    index = CaseIndex(fx.spark, working_dir(fx.spark, "case-index"), rows.schema)
+    index.write(rows)
+    return index.search("Geo_TRA")
+
+
+@query
+def case_deep_page(fx: Fixture) -> DataFrame:
+    """A page behind a third of all cases; what lies before it is counted, not sorted."""
+    table = fx.anomaly_table
+    counts = time_counts(table)
+    behind = table.count() // 3
+    return plain_cases(case_rows(fx, deep_page(table, counts, limit=100, offset=behind)))
+
+
 @query
 def case_labels(fx: Fixture) -> DataFrame:
     labelled = cases.label_pending(cases.reviewed(fx.anomaly_table, fx.verdicts))
@@ -519,6 +541,18 @@ def fraud_rate_5m(fx: Fixture) -> DataFrame:
     return rounded(reports.fraud_rate(fx.transactions, fx.anomalies), "fraud_rate_pct")
 
 
+@query
+def anomaly_rate_stepped(fx: Fixture) -> DataFrame:
+    """Anomalies per second of the last five minutes by rule, every 30 seconds."""
+    rates = stepped_rate(fx.anomalies, "detected_at_ms", 300_000, 30_000, ("reason_code",))
+    return rounded(rates, "per_second")
+
+
+@query
+def fraud_rate_stepped(fx: Fixture) -> DataFrame:
+    return rounded(stepped_fraud_rate(fx.transactions, fx.anomalies), "fraud_rate_pct")
+
+
 @query
 def miss_rate_1m(fx: Fixture) -> DataFrame:
     return rounded(reports.miss_rate(enriched(fx)), "misses_per_event")
