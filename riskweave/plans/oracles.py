@@ -415,6 +415,16 @@ SELECTS = {
         union all
         select detected_at_ms - detected_at_ms % 60000, count(*), round(count(*) / 60.0, 6), 'anomaly'
         from anomalies group by 1""",
+    "stream_account_state": f"""
+        select account_id, count(*) as amount_count, round(sum(amount), 2) as amount_sum,
+               round(coalesce(stddev_samp(amount), 0), 6) as amount_stddev,
+               arg_max(latitude, (event_time_ms, transaction_id)) filter (where located) as latitude,
+               arg_max(longitude, (event_time_ms, transaction_id)) filter (where located) as longitude,
+               max(event_time_ms) filter (where located) as located_ms,
+               count(*) filter (where event_time_ms >= last_ms - {WINDOW_MS}) as recent_count
+        from (select *, latitude <> 0 or longitude <> 0 as located,
+                     max(event_time_ms) over (partition by account_id) as last_ms from txn)
+        group by account_id""",
     "lateness_buckets": _late(""),
     "lateness_by_account": _late("partition by account_id"),
     "late_counts_1h": f"""

@@ -24,7 +24,7 @@ from riskweave.operators.upsert import append_idempotent, insert_if_absent, upse
 from riskweave.operators.verdicts import validate_verdicts
 from riskweave.params import SPEND_SPECS, SpendSpec
 from riskweave.plans.fixtures import DAY_MS, PARAMS, Fixture, number
-from riskweave.plans.replay import replay_anomalies, replay_ema, replay_lateness, replay_scores, replay_scores_with_profiles, replay_spend
+from riskweave.plans.replay import replay_account_state, replay_anomalies, replay_ema, replay_lateness, replay_scores, replay_scores_with_profiles, replay_spend
 from riskweave.schemas import ACCOUNT_FIELDS, MERCHANT_FIELDS
 from riskweave.sources.cdc import DELETE, keep_first_version, parse_cdc, to_accounts, to_merchants, to_transactions, unwrap_cdc
 from riskweave.sources.change_stream import with_topic
@@ -705,6 +705,13 @@ def stream_ema(fx: Fixture) -> DataFrame:
     return replay_ema(fx).select("account_id", "transaction_id", "event_time_ms", r6(F.log1p("ema")).alias("log_ema"))
 
 
+@query
+def stream_account_state(fx: Fixture) -> DataFrame:
+    """The state of every account after the last micro-batch of the anomaly job."""
+    total = F.round(F.col("amount_mean") * F.col("amount_count"), 2)  # amounts have two digits, so sums have no ties
+    return rounded(replay_account_state(fx).withColumn("amount_sum", total).drop("amount_mean"), "amount_stddev")
+
+
 # ---- keyed tables ----------------------------------------------------------------------------
 
 

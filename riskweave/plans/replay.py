@@ -22,6 +22,7 @@ from riskweave.sources.sinks import as_json_records, read_current, read_log
 from riskweave.sources.change_stream import TOPICS
 from riskweave.sources.snapshots import union_all
 from riskweave.streaming.carried import start_ema_job, start_lateness_job
+from riskweave.streaming.history import account_state
 from riskweave.streaming.jobs import OFFSET, PROCESSED, JobConfig, start_anomaly_job, start_score_job, start_spend_job
 from riskweave.streaming.profiles import current_profiles, profile_table, start_profile_job
 
@@ -146,6 +147,15 @@ def replay_spend(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
     return read_current(fx.spark, cfg.table, SPEND_KEYS)
 
 
+def replay_account_state(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Scored transactions to the state that the anomaly job ends with."""
+    base = working_dir(fx.spark, "replay-state")
+    cfg = _config(base, "anomalies", "scored")
+    _feed_scored(fx, cfg.source["path"], file_rows)
+    start_anomaly_job(fx.spark, cfg).awaitTermination()
+    return account_state(fx.spark, cfg.checkpoint)
+
+
 def replay_anomalies(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
     """Scored transactions to anomalies, with the account history as keyed state."""
     base = working_dir(fx.spark, "replay-anomalies")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,6 +27,9 @@ STATE_SCHEMA = (
 )
 
 
+SUMMARY = "summary"
+
+
 class AnomalyProcessor(StatefulProcessor):
     """Emits each row of an account with the account's facts just before it.
 
@@ -38,16 +41,22 @@ class AnomalyProcessor(StatefulProcessor):
 
     The rows of one account in one micro-batch are held in memory: bound them with the source's
     ``maxOffsetsPerTrigger`` or ``maxBytesPerTrigger``.
+
+    With ``idle_ms`` the state of an account that has had no row for so long is removed, and the account starts
+    anew. The time is that of the machine, so this goes with arrival order only.
     """
 
-    def __init__(self, params: RuleParams = RuleParams(), strict_order: bool = False):
+    def __init__(self, params: RuleParams = RuleParams(), strict_order: bool = False, idle_ms: int | None = None):
+        if strict_order and idle_ms is not None:
+            raise ValueError("state expires by the machine's time, strict order goes by event time")
         self.params = params
         self.strict_order = strict_order
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         # One value: every state call is a round trip to the JVM.
-        self.summary = handle.getValueState("summary", STATE_SCHEMA)
+        self.summary = handle.getValueState(SUMMARY, STATE_SCHEMA, self.idle_ms)
         self.waiting = handle.getListState("waiting", ROW_SCHEMA) if self.strict_order else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -133,7 +142,9 @@ def account_facts(
     return facts, (int(count[-1]), float(means[-1]), float(around[-1]), *place, np.sort(left).tolist())
 
 
-def stream_facts(scored: DataFrame, params: RuleParams = RuleParams(), strict_order: bool = False) -> DataFrame:
+def stream_facts(
+    scored: DataFrame, params: RuleParams = RuleParams(), strict_order: bool = False, idle_ms: int | None = None
+) -> DataFrame:
     """Stream of rows with account facts.
 
     With ``strict_order`` the rows carry a watermark on ``event_time``; without it they carry none, as rows
@@ -141,10 +152,10 @@ def stream_facts(scored: DataFrame, params: RuleParams = RuleParams(), strict_or
     """
     narrow = history_rows(scored, ["transaction_id"], ("event_time",) if strict_order else ())
     facts = narrow.groupBy("account_id").transformWithStateInPandas(
-        statefulProcessor=AnomalyProcessor(params, strict_order),
+        statefulProcessor=AnomalyProcessor(params, strict_order, idle_ms),
         outputStructType=FACT_SCHEMA,
         outputMode="Append",
-        timeMode="EventTime" if strict_order else "None",
+        timeMode="EventTime" if strict_order else "None" if idle_ms is None else "ProcessingTime",
     )
     previous = F.struct(
         F.col("prev_latitude").alias("latitude"),
@@ -161,6 +172,28 @@ def stream_anomalies(
     params: RuleParams = RuleParams(),
     rules: tuple[Rule, ...] = DEFAULT_RULES,
     strict_order: bool = False,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """Stream of anomalies, by the same rules as in batch."""
-    return apply_rules(stream_facts(scored, params, strict_order), params, rules)
+    return apply_rules(stream_facts(scored, params, strict_order, idle_ms), params, rules)
+
+
+def account_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the anomaly job holds of each account after its last micro-batch, read from the job's checkpoint.
+
+    ``recent_count`` counts the event times of the window that ends with the account's last row.
+    """
+    held = spark.read.format("statestore").option("stateVarName", SUMMARY).load(checkpoint)
+    # State that expires is stored with its end.
+    value = F.col("value.value" if "value" in held.schema["value"].dataType.fieldNames() else "value")
+    n, squares = F.col("v.n"), F.col("v.squares")
+    return held.select("key.account_id", value.alias("v")).select(
+        "account_id",
+        n.alias("amount_count"),
+        F.col("v.mean").alias("amount_mean"),
+        F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(F.lit(0.0)).alias("amount_stddev"),
+        "v.latitude",
+        "v.longitude",
+        "v.located_ms",
+        F.size("v.times").cast("bigint").alias("recent_count"),
+    )

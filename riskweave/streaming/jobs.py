@@ -36,7 +36,9 @@ class JobConfig:
 
     ``source`` and ``sink`` are Kafka options or hold a ``path``; ``table`` is the folder of the result
     table. ``interval`` is the least time between micro-batches, by default none: the next one starts when the
-    last one has ended. None works off what is there and stops.
+    last one has ended. None works off what is there and stops. ``idle_ms`` is how long the anomaly job keeps what it
+    knows of an account without rows, by default for ever; it is removed in a later micro-batch with rows. A checkpoint is
+    continued with or without a limit, as it began.
     """
 
     source: Mapping[str, str]
@@ -48,6 +50,7 @@ class JobConfig:
     anomaly_topic: str = "transactions.anomalies"
     tolerance: str = "5 seconds"
     interval: str | None = "0 seconds"
+    idle_ms: int | None = None
     params: RuleParams = field(default_factory=RuleParams)
     weights: Weights = field(default_factory=Weights)
 
@@ -117,13 +120,21 @@ def start_anomaly_job(
     """Scored transactions to anomalies."""
     scored = read_scored_stream(_stream_session(spark), cfg.source, cfg.scored_topic)
     timed = with_event_time(scored, tolerance=cfg.tolerance) if strict_order else scored
-    hits = stream_anomalies(timed, cfg.params, rules, strict_order)
-    return start_batches(
-        hits,
-        cfg,
-        "anomalies",
-        lambda batch, batch_id: write_results(batch, batch_id, "account_id", cfg.anomaly_topic, cfg),
-    )
+    hits = stream_anomalies(timed, cfg.params, rules, strict_order, cfg.idle_ms)
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    if cfg.idle_ms is not None:
+        # Else a job by the machine's time runs empty micro-batches without end. A query keeps what held at its start.
+        spark.conf.set(name, "false")
+    try:
+        return start_batches(
+            hits,
+            cfg,
+            "anomalies",
+            lambda batch, batch_id: write_results(batch, batch_id, "account_id", cfg.anomaly_topic, cfg),
+        )
+    finally:
+        spark.conf.set(name, before)
 
 
 def late_rows_dropped(query: StreamingQuery) -> int:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import replace
 
 import pandas as pd
@@ -17,7 +18,7 @@ from riskweave.plans import replay
 from riskweave.schemas import ACCOUNT, MERCHANT, SCORED
 from riskweave.sources.change_stream import parse_scored
 from riskweave.sources.sinks import as_json_records, read_current, read_log, write_json_stream
-from riskweave.streaming.history import ROW, account_facts
+from riskweave.streaming.history import ROW, AnomalyProcessor, account_facts, account_state
 from riskweave.streaming.jobs import (
     OFFSET,
     PROCESSED,
@@ -271,3 +272,48 @@ def test_update_beside_its_create_is_stored_in_log_order(spark, tmp_path, order)
 
 def test_schema_of_scored_rows(spark):
     assert scored(spark, [txn(1)]).columns == SCORED.fieldNames()
+
+
+def test_state_survives_a_restart_with_other_partitions(spark, tmp_path):
+    rows = random_rows(300, seed=8)
+    cfg = config(tmp_path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for piece, partitions in zip(pieces(rows, 3), ("4", "7", "2"), strict=True):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            publish(spark, piece, cfg.source["path"])
+            start_anomaly_job(spark, cfg).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {}
+    for row in rows:
+        want.setdefault(row["account_id"], []).append(row["amount"])
+    held = {r.account_id: r for r in account_state(spark, cfg.checkpoint).collect()}
+    assert {a: r.amount_count for a, r in held.items()} == {a: len(x) for a, x in want.items()}
+    for account, amounts in want.items():
+        assert held[account].amount_mean == pytest.approx(sum(amounts) / len(amounts))
+        assert held[account].amount_stddev == pytest.approx(pd.Series(amounts).std())
+
+
+def test_state_of_an_idle_account_is_removed(spark, tmp_path):
+    cfg = config(tmp_path, idle_ms=1500)
+    burst = [txn(n, "a", at=n * 1000) for n in range(5)] + [txn(10 + n, "b", at=n * 1000) for n in range(3)]
+    publish(spark, burst, cfg.source["path"])
+    start_anomaly_job(spark, cfg).awaitTermination()
+    assert {r.account_id for r in account_state(spark, cfg.checkpoint).collect()} == {"a", "b"}
+    time.sleep(2)
+    publish(spark, [txn(20, "b", at=9000)], cfg.source["path"])
+    start_anomaly_job(spark, cfg).awaitTermination()
+    # b had a row, but later than its state lasted, so it starts anew.
+    assert [(r.account_id, r.amount_count) for r in account_state(spark, cfg.checkpoint).collect()] == [("b", 1)]
+
+
+def test_state_kept_long_enough_changes_nothing(spark, tmp_path):
+    rows = random_rows(200, seed=4)
+    cfg = config(tmp_path, idle_ms=3_600_000)
+    for piece in pieces(rows, 2):
+        publish(spark, piece, cfg.source["path"])
+        start_anomaly_job(spark, cfg).awaitTermination()
+    assert keys(read_log(spark, cfg.table)) == keys(detect_anomalies(scored(spark, rows), PARAMS))
+    with pytest.raises(ValueError):
+        AnomalyProcessor(PARAMS, strict_order=True, idle_ms=1)
