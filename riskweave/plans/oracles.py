@@ -452,6 +452,7 @@ SELECTS["stream_score"] = SELECTS["score_transactions"]
 SELECTS["stream_anomalies"] = SELECTS["anomalies_all"]
 SELECTS["stream_spend"] = SELECTS["spend_union"]
 SELECTS["stream_score_profiles"] = SELECTS["score_transactions"]
+SELECTS["stream_asof_merchants"] = SELECTS["enrich_asof_merchants"]
 SELECTS["stream_lateness"] = SELECTS["lateness_buckets"]
 SELECTS["stream_ema"] = SELECTS["account_ema_feature"]
 SELECTS["keyed_scored"] = SELECTS["upsert_scored"]

@@ -24,7 +24,7 @@ from riskweave.operators.upsert import append_idempotent, insert_if_absent, upse
 from riskweave.operators.verdicts import validate_verdicts
 from riskweave.params import SPEND_SPECS, SpendSpec
 from riskweave.plans.fixtures import DAY_MS, PARAMS, Fixture, number
-from riskweave.plans.replay import replay_account_state, replay_anomalies, replay_ema, replay_lateness, replay_scores, replay_scores_with_profiles, replay_spend
+from riskweave.plans.replay import replay_account_state, replay_anomalies, replay_asof, replay_ema, replay_lateness, replay_scores, replay_scores_with_profiles, replay_spend
 from riskweave.schemas import ACCOUNT_FIELDS, MERCHANT_FIELDS
 from riskweave.sources.cdc import DELETE, keep_first_version, parse_cdc, to_accounts, to_merchants, to_transactions, unwrap_cdc
 from riskweave.sources.change_stream import with_topic
@@ -693,6 +693,15 @@ def stream_score_profiles(fx: Fixture) -> DataFrame:
     return rounded(replay_scores_with_profiles(fx).drop("score_breakdown"), "risk_score")
 
 
+@query
+def stream_asof_merchants(fx: Fixture) -> DataFrame:
+    """The merchant version in force at each transaction, where both are streams."""
+    rows = replay_asof(fx, fx.profile_versions(fx.merchants, "merchant_id", "risk_category"))
+    return rows.select(
+        "transaction_id", "merchant_id", "event_time_ms", "version.risk_category", F.col("version.ts_ms").alias("valid_from_ms")
+    )
+
+
 @query
 def stream_lateness(fx: Fixture) -> DataFrame:
     """On-time, late and dropped rows of a running job."""

@@ -21,6 +21,7 @@ from riskweave.operators.lateness import DROPPED, LATE, ON_TIME
 from riskweave.sources.sinks import as_json_records, read_current, read_log
 from riskweave.sources.change_stream import TOPICS
 from riskweave.sources.snapshots import union_all
+from riskweave.streaming.asof import start_asof_job
 from riskweave.streaming.carried import start_ema_job, start_lateness_job
 from riskweave.streaming.history import account_state
 from riskweave.streaming.jobs import OFFSET, PROCESSED, JobConfig, start_anomaly_job, start_score_job, start_spend_job
@@ -163,3 +164,26 @@ def replay_anomalies(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
     _feed_scored(fx, cfg.source["path"], file_rows)
     start_anomaly_job(fx.spark, cfg).awaitTermination()
     return read_log(fx.spark, cfg.table).drop("batch_id")
+
+
+def replay_asof(fx: Fixture, versions: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Transactions and the versions of merchants, two streams side by side, to the version in force at each transaction.
+
+    Both streams end with a record later than all others, so that the watermark passes what is waiting.
+    """
+    base = working_dir(fx.spark, "replay-asof")
+    cfg = _config(base, "asof", "changes")
+    last = F.greatest(fx.all_transactions.agg(F.max("event_time_ms")).scalar(), versions.agg(F.max("valid_from_ms")).scalar()) + HEARTBEAT_MS
+    ends = fx.all_transactions.limit(1).withColumns({"transaction_id": F.lit("-1"), "op": F.lit("c"), "event_time_ms": last})
+    at = F.get_json_object("value", "$.ts_ms").cast("bigint")
+    records = change_records(fx.all_transactions.unionByName(ends)).withColumn("_at", at)
+    write_log(records, "_at", cfg.source["path"], file_rows)
+    profiles = {**cfg.source, "path": f"{base}/versions"}
+    end = versions.limit(1).withColumns({"merchant_id": F.lit(HEARTBEAT), "valid_from_ms": last})
+    body = F.struct(F.struct("merchant_id", "risk_category").alias("after"), F.lit("u").alias("op"), F.col("valid_from_ms").alias("ts_ms"))
+    changes = versions.unionByName(end).select(
+        F.to_json(body).alias("value"), F.lit(TOPICS["merchants"]).alias("topic"), F.col("revision").cast("bigint").alias("offset")
+    )
+    write_log(changes.withColumn("_at", at), "_at", profiles["path"], file_rows)
+    start_asof_job(fx.spark, cfg, profiles).awaitTermination()
+    return read_log(fx.spark, cfg.table).drop("batch_id")
