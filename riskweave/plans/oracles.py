@@ -233,6 +233,11 @@ SELECTS = {
     + _change_count("fx_merchants", "merchant_id", "enrichment.merchants"),
     "latest_merchants": _without("k", _profiles("fx_merchants", "merchant_id", "category")),
     "latest_accounts": _without("k", _profiles("fx_accounts", "account_id", "tier")),
+    "profiles_of_topics": "select 'merchant' as kind, merchant_id as id, category as label, country from ("
+    + _profiles("fx_merchants", "merchant_id", "category")
+    + ") union all select 'account', account_id, tier, country from ("
+    + _profiles("fx_accounts", "account_id", "tier")
+    + ")",
     "enrich_transactions": "select * exclude (n) from enriched",
     "enrich_merchants_only": """
         select transaction_id, merchant_name, merchant_category, merchant_risk, merchant_miss from enriched""",
@@ -260,6 +265,12 @@ SELECTS = {
                round(score_time_of_day, 6) as score_time_of_day, round(score_cross_border, 6) as score_cross_border
         from terms""",
     "score_transactions": f"select {SCORE_COLUMNS}, round(risk_score, 6) as risk_score from scored",
+    "score_breakdowns": """
+        select transaction_id, term, round(points, 6) as points
+        from (select transaction_id, unnest(['amount', 'merchant_risk', 'account_baseline', 'time_of_day', 'cross_border']) as term,
+                     unnest([score_amount, score_merchant_risk, score_account_baseline, score_time_of_day, score_cross_border])
+                         as points
+              from terms)""",
     "scored_summary": "select count(*) as scored_count, round(avg(risk_score), 6) as avg_risk_score from scored",
     "transaction_count": "select count(*) as transaction_count from txn",
     "score_bands": """
@@ -296,6 +307,22 @@ SELECTS = {
         select id, transaction_id, account_id, reason_code, detected_at_ms,
                case reason_code when 'VELOCITY' then 3 when 'AMOUNT_SPIKE' then 5 else 8 end as evidence_keys
         from anomalies""",
+    "anomaly_evidence": f"""
+        select id, entry, number, case when entry = 'mean' then true end as close
+        from (select transaction_id || ':VELOCITY' as id, unnest(['txn_count', 'window_ms', 'threshold']) as entry,
+                     unnest([cast(txn_count as double), {WINDOW_MS}, {MAX_TXN}]) as number
+              from velocity where txn_count > {MAX_TXN}
+              union all
+              select transaction_id || ':AMOUNT_SPIKE', unnest(['amount', 'mean', 'stddev', 'z_score', 'threshold']),
+                     unnest([amount, null, round(prior_stddev, 2), round(z, 2), cast(3 as double)])
+              from spikes
+              union all
+              select transaction_id || ':GEO_TRAVEL',
+                     unnest(['distance_km', 'elapsed_hours', 'implied_speed_kmh', 'max_speed_kmh', 'prev_lat', 'prev_lon',
+                             'curr_lat', 'curr_lon']),
+                     unnest([round(distance_km, 1), ((event_time_ms - prev_ms) * 1000 + 1800000) // 3600000 / 1000.0,
+                             round(distance_km / hours, 1), cast(900 as double), prev_lat, prev_lon, latitude, longitude])
+              from trips where distance_km / hours > 900)""",
     "anomalies_by_reason": "select reason_code, count(*) as anomaly_count from anomalies group by all",
     "spend_by_category_1m": _spend("CATEGORY"),
     "spend_by_merchant_1m": _spend("MERCHANT"),
@@ -448,6 +475,12 @@ SELECTS = {
         from txn where n % 3 = 0 or n % 2 = 0""",
 }
 
+SELECTS["top_categories_stored"] = SELECTS["top_categories"]
+SELECTS["case_page_lookup"] = SELECTS["case_page"]
+SELECTS["stream_published_anomalies"] = """
+    select account_id as key, 'transactions.anomalies' as topic, id, transaction_id, reason_code, detected_at_ms,
+           case reason_code when 'VELOCITY' then 3 when 'AMOUNT_SPIKE' then 5 else 8 end as evidence_keys
+    from anomalies"""
 SELECTS["stream_score"] = SELECTS["score_transactions"]
 SELECTS["stream_anomalies"] = SELECTS["anomalies_all"]
 SELECTS["stream_spend"] = SELECTS["spend_union"]

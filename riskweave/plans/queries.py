@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +24,15 @@ from riskweave.operators.upsert import append_idempotent, insert_if_absent, upse
 from riskweave.operators.verdicts import validate_verdicts
 from riskweave.params import SPEND_SPECS, SpendSpec
 from riskweave.plans.fixtures import DAY_MS, PARAMS, Fixture, number
-from riskweave.plans.replay import replay_account_state, replay_anomalies, replay_asof, replay_ema, replay_lateness, replay_scores, replay_scores_with_profiles, replay_spend
+from riskweave.plans.replay import replay_account_state, replay_anomalies, replay_asof, replay_ema, replay_lateness, replay_published, replay_scores, replay_scores_with_profiles, replay_spend, read_profiles
 from riskweave.schemas import ACCOUNT_FIELDS, MERCHANT_FIELDS
 from riskweave.sources.cdc import DELETE, keep_first_version, parse_cdc, to_accounts, to_merchants, to_transactions, unwrap_cdc
 from riskweave.sources.change_stream import with_topic
 from riskweave.sources.keyed_table import KeyedTable
+from riskweave.sources.sinks import write_by_day
+from riskweave.sources.tables import read_table, to_stored
 from riskweave.sources.snapshots import latest_per_key, snapshot_plus_changes, versions
-from riskweave.session import working_dir
+from riskweave.session import store, working_dir
 
 Query = Callable[[Fixture], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -173,6 +175,15 @@ def latest_accounts(fx: Fixture) -> DataFrame:
     return latest_per_key(accounts_log(fx), "account_id", ["ts_ms", "offset"]).select(*ACCOUNT_FIELDS, "op", "ts_ms")
 
 
+@query
+def profiles_of_topics(fx: Fixture) -> DataFrame:
+    """Merchants and accounts of the moment, read from their topics."""
+    found = read_profiles(fx)
+    merchants = found["merchants"].select(F.lit("merchant").alias("kind"), F.col("merchant_id").alias("id"), F.col("category").alias("label"), "country")
+    accounts = found["accounts"].select(F.lit("account").alias("kind"), F.col("account_id").alias("id"), F.col("tier").alias("label"), "country")
+    return merchants.unionByName(accounts)
+
+
 # ---- enrichment and scoring ------------------------------------------------------------------
 
 
@@ -227,6 +238,13 @@ def score_transactions(fx: Fixture) -> DataFrame:
     return rounded(fx.scored.drop("score_breakdown"), "risk_score")
 
 
+@query
+def score_breakdowns(fx: Fixture) -> DataFrame:
+    """The entries of the breakdown that goes with each score."""
+    entries = fx.scored.select("transaction_id", F.explode("score_breakdown").alias("term", "points"))
+    return rounded(entries, "points")
+
+
 @query
 def scored_summary(fx: Fixture) -> DataFrame:
     return rounded(reports.scored_summary(fx.scored), "avg_risk_score")
@@ -297,6 +315,18 @@ def anomalies_all(fx: Fixture) -> DataFrame:
     return fx.anomalies.withColumn("evidence_keys", F.size("evidence")).drop("evidence")
 
 
+@query
+def anomaly_evidence(fx: Fixture) -> DataFrame:
+    """The entries of the evidence as numbers; means of cents end in rounding ties, so those are held against the mean."""
+    facts = rules.account_history(fx.transactions, PARAMS)
+    hits = rules.apply_rules(facts, PARAMS, keep=("prior_mean",))
+    entries = hits.select("id", "prior_mean", F.explode("evidence").alias("entry", "shown"))
+    value, mean = F.col("shown").cast("double"), F.col("entry") == "mean"
+    return entries.select(
+        "id", "entry", F.when(~mean, value).alias("number"), F.when(mean, F.abs(value - F.col("prior_mean")) < 0.0051).alias("close")
+    )
+
+
 @query
 def anomalies_hot_account(fx: Fixture) -> DataFrame:
     """The rules where one account holds a third of the rows and is cut into slots."""
@@ -376,6 +406,17 @@ def spend_timeseries(fx: Fixture) -> DataFrame:
     return rounded(reports.spend_timeseries(sums, "CATEGORY", fx.as_of_ms, 24 * HOUR_MS), "value")
 
 
+@query
+def top_categories_stored(fx: Fixture) -> DataFrame:
+    """The panel over a stored table of sums, of which only the days in question are read."""
+    folder = working_dir(fx.spark, "panels")
+    write_by_day(to_stored(fx.spend), f"{folder}/spend_by_window", "window_start_ms", ("dimension",))
+    sums = read_table(fx.spark, "spend_by_window", folder)
+    now = int((fx.last_event - datetime(1970, 1, 1)) / timedelta(milliseconds=1))
+    top = reports.top_spend(sums, "CATEGORY", now, DAY_MS, 20)
+    return top.select(F.col("dimension_value").alias("category"), r6(F.col("total_spend").cast("double")).alias("total_spend"))
+
+
 # ---- cases -----------------------------------------------------------------------------------
 
 
@@ -397,6 +438,18 @@ def case_page(fx: Fixture) -> DataFrame:
     return plain_cases(case_rows(fx, cases.newest_page(fx.anomaly_table, limit=100, offset=20)))
 
 
+@query
+def case_page_lookup(fx: Fixture) -> DataFrame:
+    """A page of cases from keyed tables, of which only the buckets with wanted ids are read."""
+    page = store(cases.newest_page(fx.anomaly_table, limit=100, offset=20), "page")
+    tables = []
+    for name, rows in (("scored", fx.scored), ("transactions", fx.transactions)):
+        table = keyed_table(fx, f"lookup-{name}", rows, ("transaction_id",), ("event_time_ms",))
+        table.write(rows, 0)
+        tables.append(table.look_up(page))
+    return plain_cases(cases.case_view_of(page, *tables, fx.accounts, fx.merchants, fx.verdicts, fx.actions))
+
+
 def busiest_case(fx: Fixture) -> Column:
     """Id of the newest case with three actions."""
     newest = F.max_by("id", F.struct("detected_at_ms", "id")).alias("id")
@@ -687,6 +740,12 @@ def stream_anomalies(fx: Fixture) -> DataFrame:
     return replay_anomalies(fx).withColumn("evidence_keys", F.size("evidence")).drop("evidence")
 
 
+@query
+def stream_published_anomalies(fx: Fixture) -> DataFrame:
+    """Anomalies as the publishing sink has them."""
+    return replay_published(fx).select("key", "topic", "id", "transaction_id", "reason_code", "detected_at_ms", F.size("evidence").alias("evidence_keys"))
+
+
 @query
 def stream_score_profiles(fx: Fixture) -> DataFrame:
     """Scores against profiles that other streams keep current."""

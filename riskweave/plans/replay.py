@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from riskweave.plans.batch import score
 from riskweave.plans.fixtures import PARAMS, Fixture
-from riskweave.schemas import SCORED
+from riskweave.schemas import ANOMALY, SCORED
 from riskweave.session import working_dir
 from riskweave.operators.lateness import DROPPED, LATE, ON_TIME
 from riskweave.sources.sinks import as_json_records, read_current, read_log
 from riskweave.sources.change_stream import TOPICS
+from riskweave.sources.profiles import read_accounts, read_merchants
 from riskweave.sources.snapshots import union_all
 from riskweave.streaming.asof import start_asof_job
 from riskweave.streaming.carried import start_ema_job, start_lateness_job
@@ -166,6 +167,27 @@ def replay_anomalies(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
     return read_log(fx.spark, cfg.table).drop("batch_id")
 
 
+def replay_published(fx: Fixture, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Scored transactions to anomalies as a reader of the publishing sink finds them; no table is written."""
+    base = working_dir(fx.spark, "replay-published")
+    cfg = replace(_config(base, "anomalies", "scored"), table=None, sink={"path": f"{base}/published"})
+    _feed_scored(fx, cfg.source["path"], file_rows)
+    start_anomaly_job(fx.spark, cfg).awaitTermination()
+    records = fx.spark.read.schema("key string, value string, topic string").json(cfg.sink["path"])
+    return records.select("key", "topic", F.from_json("value", ANOMALY).alias("r")).select("key", "topic", "r.*")
+
+
+def read_profiles(fx: Fixture) -> dict[str, DataFrame]:
+    """The merchants and accounts of the moment, from the beginning of their topics on."""
+    found = {}
+    kinds = (("merchants", fx.merchants, "merchant_id", "category", read_merchants), ("accounts", fx.accounts, "account_id", "tier", read_accounts))
+    for kind, table, key, changed, read in kinds:
+        path = f"{working_dir(fx.spark, 'topics')}/{kind}"
+        fx.profile_changes(table, key, changed).withColumn("topic", F.lit(TOPICS[kind])).write.json(path)
+        found[kind] = read(fx.spark, {"path": path})
+    return found
+
+
 def replay_asof(fx: Fixture, versions: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
     """Transactions and the versions of merchants, two streams side by side, to the version in force at each transaction.
 

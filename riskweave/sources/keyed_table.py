@@ -70,6 +70,14 @@ class KeyedTable:
         touched = {r[0] for r in wanted.select(self._bucket().alias(BUCKET)).distinct().collect()}
         return self._rows({b: w for b, w in held.items() if b in touched})
 
+    def look_up(self, wanted: DataFrame) -> DataFrame:
+        """The current rows whose keys are in ``wanted``; only the files of buckets that hold such a key are read."""
+        held = self.heads()
+        touched = {r[0] for r in wanted.select(self._bucket().alias(BUCKET)).distinct().collect()}  # a number per bucket
+        few = wanted.select(*[F.col(k).alias(f"_w{i}") for i, k in enumerate(self.keys)]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(self.keys)]
+        return self._rows({b: w for b, w in held.items() if b in touched}).join(few, same, "left_semi")
+
     def write(self, updates: DataFrame, write_id: int) -> set[int]:
         """Merge rows by key; returns the buckets that were read and replaced. Writes come in the order of ``write_id``.
 
