@@ -12,20 +12,25 @@ import hashlib
 import json
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import LATIN, small_batches, store
+from riskweave.llm.prefix_table import Recent
 from riskweave.llm.token_counts import byte_signs
 
-#: Bytes of the words that are broadcast, with what Python needs for one, and words that a task counts before it hands them on.
-HELD_BYTES, ENTRY_BYTES, COUNTED = 64 << 20, 200, 200_000
+#: Bytes of the words that are broadcast, with what Python needs for one.
+HELD_BYTES, ENTRY_BYTES = 64 << 20, 200
+#: Cuts that a task counts before it hands their words on, and characters of the texts that they come from.
+COUNTED, COUNTED_CHARACTERS = 200_000, 32 << 20
 #: Steps per doubling in which the frequency of the words to broadcast is chosen.
 STEPS = 8
 
@@ -63,29 +68,40 @@ class WordTokenizer:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.pieces = [self.library.id_to_token(i) for i in range(size)]
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text in order; a special string is a word of its own."""
+    def cuts(self, text: str) -> list[str]:
+        """Strings whose words, one string after the other, are those of the text; a special string is a word of its own.
+
+        No word reaches across white space, so cuts lie there. One that starts with a space is a word as it stands.
+        """
         if self.marks is None or not self.marks.search(text):
             return self._split(text)
         found: list[str] = []
         at = 0
         for mark in self.marks.finditer(text):
             found += self._split(text[at : mark.start()])
-            found.append(mark[0])
+            found.append(f" {mark[0]}")
             at = mark.end()
         return found + self._split(text[at:])
 
     def _split(self, text: str) -> list[str]:
         if not _OTHER.search(text):
-            return self.plain.findall(text.lower())
+            return text.lower().split()
         found: list[str] = []
         for part in text.split(" "):  # nothing composes with a space
             if _OTHER.search(part):
-                found.extend(w for w, _ in self.exact.pre_tokenize_str(self.library.normalizer.normalize_str(part)))
+                found.extend(f" {w}" for w, _ in self.exact.pre_tokenize_str(self.library.normalizer.normalize_str(part)))
             else:
-                found.extend(self.plain.findall(part.lower()))
+                found.extend(part.lower().split())
         return found
 
+    def words_of(self, cut: str) -> list[str]:
+        """The words of one cut."""
+        return [cut[1:]] if cut[0] == " " else self.plain.findall(cut)
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text in order."""
+        return [word for cut in self.cuts(text) for word in self.words_of(cut)]
+
     def ids(self, word: str) -> list[int]:
         """Ids of one word."""
         if word in self.special:
@@ -112,14 +128,23 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     """(word, n, ids): every distinct word of the texts, how often it occurs, and its ids, encoded once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = word_tokenizer(path), Counter()
-        rows = lambda: pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+        model, seen, size = word_tokenizer(path), Counter(), 0
+
+        def rows() -> pa.RecordBatch:
+            total: dict[str, int] = {}
+            for cut, n in seen.items():
+                for word in model.words_of(cut):
+                    total[word] = total.get(word, 0) + n
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(model.words(text))
-                if len(seen) >= COUNTED:
+                seen.update(model.cuts(text))
+                size += len(text)
+                if len(seen) >= COUNTED or size >= COUNTED_CHARACTERS:
                     yield rows()
                     seen.clear()
+                    size = 0
         yield rows()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +174,7 @@ def _frequent(table: DataFrame, held_bytes: int) -> list[tuple[str, list[int]]]:
     return [(r[1], list(r[2])) for r in sorted(rows, key=lambda r: (-r[0], r[1]))]
 
 
-class _Numbers(dict):
-    """Number of each broadcast word, -1 for all others."""
-
-    def __missing__(self, word: str) -> int:
-        return -1
+Own = list[tuple[int, str, str, int]]
 
 
 class _Held:
@@ -161,16 +182,35 @@ class _Held:
 
     def __init__(self, model: WordTokenizer, words: list[tuple[str, list[int]]]):
         self.model = model
-        self.number = _Numbers({w: i for i, (w, _) in enumerate(words)})
+        self.number = {w: i for i, (w, _) in enumerate(words)}
+        self.coded = Recent(self._code)
         self.ids = [" ".join(map(str, ids)) for _, ids in words]
         self.pieces = [model.shown(ids) for _, ids in words]
+        self.shown = pa.array(model.pieces, pa.string())
         self.many = np.array([len(ids) for _, ids in words], dtype=np.int64)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
-
-    def finish(self, numbers: np.ndarray, own: dict[int, list[int]]) -> tuple[int, str, str]:
-        """Number of ids and digests of a row; ``own`` has the ids of the words that aren't held, by position."""
+    def _code(self, cut: str) -> bytes:
+        """The numbers of a cut's words in four bytes each, -1 for words that aren't held."""
+        return array("i", [self.number.get(w, -1) for w in self.model.words_of(cut)]).tobytes()
+
+    def numbers(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.coded.__getitem__, self.model.cuts(text))), np.int32)
+
+    def others(self, text: str) -> tuple[list[int], list[str]]:
+        """Positions and words of a text that aren't held."""
+        cuts = self.model.cuts(text)
+        coded = list(map(self.coded.__getitem__, cuts))
+        gaps = np.flatnonzero(np.frombuffer(b"".join(coded), np.int32) < 0)
+        if not len(gaps):
+            return [], []
+        many = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ends = np.cumsum(many)
+        which = np.searchsorted(ends, gaps, side="right")
+        within = gaps - (ends - many)[which]
+        return gaps.tolist(), [self.model.words_of(cuts[c])[k] for c, k in zip(which.tolist(), within.tolist(), strict=True)]
+
+    def finish(self, numbers: np.ndarray, own: Own | None = None) -> tuple[int, str, str]:
+        """Number of ids and digests of a row; ``own`` has the words that aren't held: position, ids and pieces as texts, number of ids."""
         if not own:
             at = numbers.tolist()
             return int(self.many[numbers].sum()), _digest(map(self.ids.__getitem__, at)), _digest(map(self.pieces.__getitem__, at))
@@ -178,11 +218,22 @@ class _Held:
         ids = list(map(self.ids.__getitem__, at)) or [""] * len(numbers)
         pieces = list(map(self.pieces.__getitem__, at)) or [""] * len(numbers)
         total = int(self.many[numbers[numbers >= 0]].sum())
-        for place, some in own.items():
-            ids[place], pieces[place] = " ".join(map(str, some)), self.model.shown(some)
-            total += len(some)
+        for place, some, shown, size in own:
+            ids[place], pieces[place] = some, shown
+            total += size
         return total, _digest(ids), _digest(pieces)
 
+    def found(self, found: pa.ListArray) -> tuple[list, list[int]]:
+        """The words that came back, as ``finish`` takes them, and where those of each row start."""
+        words = found.flatten()
+        ids, at = words.field("ids"), words.field("at")
+        flat, offsets = ids.flatten(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        borders = pa.array(offsets.astype(np.int32))
+        texts = pc.binary_join(pa.ListArray.from_arrays(borders, flat.cast(pa.string())), " ")
+        shown = pc.binary_join(pa.ListArray.from_arrays(borders, self.shown.take(flat)), " ")
+        own = list(zip(at.to_pylist(), texts.to_pylist(), shown.to_pylist(), np.diff(offsets).tolist(), strict=True))
+        return own, np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy()))).tolist()
+
 
 _HELD: dict[str, _Held] = {}
 
@@ -229,18 +280,18 @@ def encode_words(docs: DataFrame, path: str, held_bytes: int = HELD_BYTES) -> Da
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finished rows, and for the others the packed numbers of their words, -1 where a word isn't held."""
-        model, held = word_tokenizer(path), _held(path, shared)
+        held = _held(path, shared)
         for batch in batches:
             out = {"row": batch.column("row"), "doc_id": batch.column("doc_id")}
             done, packed, sizes = [], [], []
             for text in batch.column("text").to_pylist():
-                at = held.numbers(model.words(text))
+                at = held.numbers(text)
                 if len(at) and at.min() < 0:
                     done.append((None, None, None))
                     sizes.append(len(at))
                     packed.append(pa.compress(at.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True))
                 else:
-                    done.append(held.finish(at, {}))
+                    done.append(held.finish(at))
                     sizes.append(None)
                     packed.append(None)
             yield pa.RecordBatch.from_pydict(
@@ -256,29 +307,29 @@ def encode_words(docs: DataFrame, path: str, held_bytes: int = HELD_BYTES) -> Da
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words that aren't held, with row and position."""
-        model, held = word_tokenizer(path), _held(path, shared)
+        held = _held(path, shared)
         for batch in batches:
             row, at, word = [], [], []
             for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = model.words(text)
-                own = np.flatnonzero(held.numbers(words) < 0).tolist()
-                row += [r] * len(own)
-                at += own
-                word += map(words.__getitem__, own)
+                places, words = held.others(text)
+                row += [r] * len(places)
+                at += places
+                word += words
             yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "at": pa.array(at, pa.int32()), "word": pa.array(word, pa.string())})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _held(path, shared)
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("n_tokens", "ids_sha256", "decoded_sha256", "packed", "words", "found")}
+            columns = {c: batch.column(c).to_pylist() for c in ("n_tokens", "ids_sha256", "decoded_sha256", "packed", "words")}
+            every, starts = held.found(batch.column("found"))
             for i, packed in enumerate(columns["packed"]):
                 if packed is None:
                     continue
                 raw = pa.decompress(packed, 4 * columns["words"][i], codec="zstd", asbytes=True)
                 numbers = np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
                 gaps = np.flatnonzero(numbers == -1)
-                found = {f["at"]: f["ids"] for f in columns["found"][i] or ()}
-                if len(found) != len(gaps) or any(int(g) not in found for g in gaps):
+                found = every[starts[i] : starts[i + 1]]
+                if sorted(f[0] for f in found) != gaps.tolist():
                     raise ValueError("the rows came in another order when they were read again; store the table first")
                 columns["n_tokens"][i], columns["ids_sha256"][i], columns["decoded_sha256"][i] = held.finish(numbers, found)
             yield pa.RecordBatch.from_pydict(
