@@ -201,9 +201,12 @@ def score(model: LineModel, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> LineModel:
-    """Learn from a bounded sample of the labelled documents that aren't held out, chosen by a hash of their id."""
+    """Learn from a bounded sample of the labelled documents that aren't held out, chosen by a hash of their id.
+
+    An id with several labels has the lowest of them.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE)
     text = docs.where(F.octet_length("text").between(1, LONGEST)).select("doc_id", "text")
     # An id that repeats stands for one row: that of the smallest hash of its text.

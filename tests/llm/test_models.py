@@ -122,3 +122,14 @@ def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
     for some in (docs, docs.repartition(3)):
         line_quality.train(some, labels)
     assert reached == [(2, [1, 0])] * 2
+
+
+def test_labels_that_clash_give_one_result_in_any_order(spark, monkeypatch):
+    ids = (0, 1, 10, 11, 12)  # none of them is held out
+    docs = documents(spark, [(k, f"text number {k}", "en", "a", 1) for k in ids])
+    rows = [(k, label) for k in ids for label in (k % 2, 1, k % 2)]
+    learned: list = []
+    monkeypatch.setattr(line_quality, "fit", lambda features, size, per, label: learned.append(label.tolist()))
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1])):
+        line_quality.train(docs, spark.createDataFrame(order, "doc_id long, quality int").repartition(3))
+    assert learned == [[k % 2 for k in ids]] * 3
