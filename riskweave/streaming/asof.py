@@ -2,7 +2,8 @@
 
 State per key: its versions by the time they hold from, and the transactions that the watermark hasn't passed, because a
 version in force at their time may still come. When it passes them they are emitted with their version, and the versions
-that no later transaction can need are dropped.
+that no later transaction can need are dropped. Keys share places by a hash, so that a micro-batch calls the state store a
+few times per place and not per key.
 """
 
 from __future__ import annotations
@@ -18,17 +19,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from riskweave.sources.cdc import DELETE, parse_cdc, to_transactions, unwrap_cdc
 from riskweave.sources.change_stream import TOPICS, read_change_stream
 from riskweave.sources.sinks import append_batch
-from riskweave.streaming.jobs import JobConfig, start_batches
+from riskweave.streaming.jobs import JobConfig, start_batches, stream_session
 from riskweave.streaming.profiles import KINDS
 
 #: Transactions that are emitted at once.
 CHUNK = 10_000
-AT, ORDER, BODY, VERSION = "at_ms", "version_order", "body", "version"
+#: Keys are dealt to so many places by a hash; a checkpoint's number of places never changes.
+PLACES = 256
+KEY, AT, ORDER, BODY, VERSION = "of_key", "at_ms", "version_order", "body", "version"
+VERSIONS = f"versions array<struct<{KEY} string, valid_from long, {ORDER} long, {VERSION} string>>"
 OUTPUT = f"{BODY} string, {VERSION} string"
 
 
 class VersionProcessor(StatefulProcessor):
-    """Emits each transaction of a key once, with the version in force at its time or null before the first one.
+    """Emits each transaction once, with the version of its key in force at its time or null before the first one.
 
     Rows with a ``version_order`` are versions; of several that hold from one time the highest order counts. A row that
     comes behind the watermark is dropped, as its place has been passed.
@@ -36,38 +40,53 @@ class VersionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.versions = handle.getMapState("versions", "valid_from long", f"{ORDER} long, {VERSION} string")
-        self.waiting = handle.getListState("waiting", f"{AT} long, {BODY} string")
+        self.versions = handle.getValueState("versions", VERSIONS)
+        self.waiting = handle.getListState("waiting", f"{KEY} string, {AT} long, {BODY} string")
+
+    def _held(self) -> dict[str, dict[int, tuple[int, str]]]:
+        """Order and version by key and the time from which it holds."""
+        held: dict[str, dict[int, tuple[int, str]]] = {}
+        for key, at, order, version in (self.versions.get() or ([],))[0]:
+            held.setdefault(key, {})[at] = (order, version)
+        return held
+
+    def _hold(self, held: dict[str, dict[int, tuple[int, str]]]) -> None:
+        self.versions.update(([(key, at, *known[at]) for key, known in held.items() for at in known],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, new = None, []
         for batch in rows:
             is_version = batch[ORDER].notna()
-            for at, order, body in batch.loc[is_version, [AT, ORDER, BODY]].itertuples(index=False, name=None):
-                at, order = int(at), int(order)
-                if not self.versions.containsKey((at,)) or self.versions.getValue((at,))[0] < order:
-                    self.versions.updateValue((at,), (order, body))
-            due = batch.loc[~is_version, [AT, BODY]]
+            new += batch.loc[is_version, [KEY, AT, ORDER, BODY]].itertuples(index=False, name=None)
+            due = batch.loc[~is_version, [KEY, AT, BODY]]
             if len(due):
-                self.waiting.appendList([(int(at), body) for at, body in due.itertuples(index=False, name=None)])
+                asked = due.itertuples(index=False, name=None)
+                self.waiting.appendList([(k if isinstance(k, str) else None, int(at), body) for k, at, body in asked])
             earliest = int(batch[AT].min())
             first = earliest if first is None else min(first, earliest)
-        # The earliest timer looks after all that comes later.
-        if first is not None and not any(timer <= first for timer in self.handle.listTimers()):
+        if new:
+            held = self._held()
+            for of, at, order, body in new:
+                known, at, order = held.setdefault(of, {}), int(at), int(order)
+                if at not in known or known[at][0] < order:
+                    known[at] = (order, body)
+            self._hold(held)
+        # The earliest timer looks after all that comes later. Read to the end: the JVM keeps an iterator that isn't.
+        if first is not None and all(timer > first for timer in list(self.handle.listTimers())):
             self.handle.registerTimer(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = sorted((k[0], v[1]) for k, v in self.versions.iterator())
-        times = [at for at, _ in held]
+        held = self._held()
+        times = {of: sorted(known) for of, known in held.items()}
         later, found = [], []
-        for at, body in self.waiting.get():
+        for of, at, body in self.waiting.get():
             if at > watermark:
-                later.append((at, body))
+                later.append((of, at, body))
                 continue
-            place = bisect_right(times, at)
-            found.append((body, held[place - 1][1] if place else None))
+            place = bisect_right(times.get(of, []), at)
+            found.append((body, held[of][times[of][place - 1]][1] if place else None))
             if len(found) == CHUNK:
                 yield pd.DataFrame(found, columns=[BODY, VERSION])
                 found = []
@@ -77,10 +96,15 @@ class VersionProcessor(StatefulProcessor):
             self.waiting.put(later)
         else:
             self.waiting.clear()
-        passed = bisect_right(times, watermark)
-        for at in times[: max(0, passed - 1)]:  # the last one passed still holds
-            self.versions.removeKey((at,))
-        ahead = [at for at, _ in later] + times[passed:]
+        ahead, dropped = [at for _, at, _ in later], False
+        for of, known in times.items():
+            passed = bisect_right(known, watermark)
+            for at in known[: max(0, passed - 1)]:  # the last one passed still holds
+                del held[of][at]
+                dropped = True
+            ahead += known[passed : passed + 1]
+        if dropped:
+            self._hold(held)
         if ahead:  # the timer that has just expired is still listed
             self.handle.registerTimer(min(ahead))
 
@@ -101,12 +125,13 @@ def stream_asof(
     time_col: str = "event_time_ms",
     tolerance: str = "5 seconds",
     salts: int = 4,
+    places: int = PLACES,
 ) -> DataFrame:
     """``enrich_asof`` of two streams: all columns of ``txns`` and struct ``version`` (null before the first one).
 
     The watermark is that of the stream that is behind, so a stream that rests holds the other one back. The
     transactions of a key are dealt to ``salts`` places with a copy of its versions each, so that a hot key is split. A task
-    holds a key's versions and the transactions ahead of the watermark of one place. Rows without a key have no version
+    holds the versions and the transactions ahead of the watermark of one of ``places`` and salt. Rows without a key have no version
     and pass through state like others; rows without a time can't be placed and are left out, as are versions
     without an order.
     """
@@ -116,7 +141,7 @@ def stream_asof(
     payload = F.struct(*[c for c in versions.columns if c != key])
     # A key that is null must not find the versions of a null key.
     asked = rows.select(
-        F.col(key).cast("string").alias("_key"),
+        F.col(key).cast("string").alias(KEY),
         F.pmod(F.xxhash64(body), F.lit(salts)).cast("int").alias("_salt"),
         F.col(time_col).cast("bigint").alias(AT),
         F.lit(None).cast("bigint").alias(ORDER),
@@ -124,7 +149,7 @@ def stream_asof(
         _timed(time_col),
     ).withWatermark("event_time", tolerance)
     given = known.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("string").alias("_key"),
+        F.col(key).cast("string").alias(KEY),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
         F.col(valid_from).cast("bigint").alias(AT),
         F.col(order_col).cast("bigint").alias(ORDER),
@@ -133,7 +158,8 @@ def stream_asof(
     ).withWatermark("event_time", tolerance)
     found = (
         asked.unionByName(given)
-        .groupBy("_key", "_salt")
+        .withColumn("_place", F.pmod(F.xxhash64(KEY), F.lit(places)).cast("int"))
+        .groupBy("_place", "_salt")
         .transformWithStateInPandas(
             statefulProcessor=VersionProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
         )
@@ -150,10 +176,10 @@ def start_asof_job(spark: SparkSession, cfg: JobConfig, profiles: Mapping[str, s
     """Change records to transactions with struct ``version``: their profile as the topic of ``kind`` had it at their time.
 
     A change holds from its time on, of changes at one time the one of the highest offset; from a delete on there is no
-    profile. Needs the state store of ``STREAM_SETTINGS``.
+    profile.
     """
     key, fields, _, typed = KINDS[kind]
-    txns = to_transactions(unwrap_cdc(read_change_stream(spark, cfg.source, cfg.raw_topic))).drop("topic", "offset")
+    txns = to_transactions(unwrap_cdc(read_change_stream(stream_session(spark), cfg.source, cfg.raw_topic))).drop("topic", "offset")
     changes = typed(parse_cdc(read_change_stream(spark, profiles, TOPICS[kind], starting="earliest"), fields=fields))
     log = changes.select(*fields, "op", "ts_ms", F.coalesce("offset", F.lit(-1)).alias("offset"))
     rows = stream_asof(txns, log, key, "ts_ms", "offset", tolerance=cfg.tolerance, salts=salts)

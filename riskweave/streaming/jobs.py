@@ -64,7 +64,8 @@ def start_batches(df: DataFrame, cfg: JobConfig, name: str, write: Callable[[Dat
     return writer.foreachBatch(write).start()
 
 
-def _stream_session(spark: SparkSession) -> SparkSession:
+def stream_session(spark: SparkSession) -> SparkSession:
+    """The session with the settings that stateful jobs need."""
     for key, value in STREAM_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -96,7 +97,7 @@ def start_score_job(
     spark: SparkSession, cfg: JobConfig, read_merchants: ReadTable, read_accounts: ReadTable
 ) -> StreamingQuery:
     """Change records to scored transactions."""
-    changes = read_change_stream(_stream_session(spark), cfg.source, cfg.raw_topic)
+    changes = read_change_stream(stream_session(spark), cfg.source, cfg.raw_topic)
     txns = to_transactions(unwrap_cdc(changes)).drop("topic").withColumnRenamed("offset", OFFSET)
     return start_batches(
         txns, cfg, "score", lambda batch, batch_id: enrich_batch(batch, batch_id, read_merchants, read_accounts, cfg)
@@ -107,7 +108,7 @@ def start_spend_job(
     spark: SparkSession, cfg: JobConfig, specs: tuple[SpendSpec, ...] = SPEND_SPECS
 ) -> StreamingQuery:
     """Scored transactions to spend windows; a window is written once, when the watermark has passed its end."""
-    scored = read_scored_stream(_stream_session(spark), cfg.source, cfg.scored_topic)
+    scored = read_scored_stream(stream_session(spark), cfg.source, cfg.scored_topic)
     sums = spend_union(with_event_time(scored, tolerance=cfg.tolerance), specs)
     return start_batches(
         sums, cfg, "spend", lambda batch, batch_id: write_results(batch, batch_id, "dimension_value", "spend", cfg)
@@ -118,7 +119,7 @@ def start_anomaly_job(
     spark: SparkSession, cfg: JobConfig, rules: tuple[Rule, ...] = DEFAULT_RULES, strict_order: bool = False
 ) -> StreamingQuery:
     """Scored transactions to anomalies."""
-    scored = read_scored_stream(_stream_session(spark), cfg.source, cfg.scored_topic)
+    scored = read_scored_stream(stream_session(spark), cfg.source, cfg.scored_topic)
     timed = with_event_time(scored, tolerance=cfg.tolerance) if strict_order else scored
     hits = stream_anomalies(timed, cfg.params, rules, strict_order, cfg.idle_ms)
     name = "spark.sql.streaming.noDataMicroBatches.enabled"

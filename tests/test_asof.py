@@ -11,6 +11,7 @@ from riskweave.plans.fixtures import Fixture
 from riskweave.plans.queries import keyed_table
 from riskweave.session import store
 from riskweave.sources.keyed_table import KeyedTable
+from riskweave.streaming import asof
 from riskweave.streaming.asof import start_asof_job
 from riskweave.streaming.jobs import JobConfig
 from tests.builders import START
@@ -92,6 +93,35 @@ def test_random_batches_equal_a_plain_version_and_old_versions_go(spark, tmp_pat
     assert all(r["count"] == 1 for r in state.groupBy("key").count().collect())
 
 
+def test_job_brings_its_state_store(spark, tmp_path):
+    """A session that no other stateful job has prepared."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        _, found = run(spark, tmp_path, [([payment(1, "m", START)], [change(1, "m", START, "LOW")]), last(START + HOUR)])
+    finally:
+        spark.conf.set(name, before)
+    assert found == [("t1", "LOW", START)]
+
+
+def test_keys_of_a_place_keep_apart(spark, tmp_path, monkeypatch):
+    """All keys in one place: calls to the state store go by place, versions and rows by key."""
+    monkeypatch.setattr(asof.stream_asof, "__defaults__", (*asof.stream_asof.__defaults__[:-1], 1))
+    t = START
+    changes = [change(k, f"m{k % 3}", t + k * 1000, f"v{k}") for k in range(9)]
+    payments = [payment(k, f"m{k % 3}" if k % 5 else None, t + k * 1000 + 500) for k in range(12)]
+    cfg, found = run(spark, tmp_path, [(payments, changes), last(t + HOUR)], salts=1)
+    wanted = []
+    for k in range(12):
+        of = k if k < 9 else 6 + k % 3
+        wanted.append((f"t{k}", f"v{of}", t + of * 1000) if k % 5 else (f"t{k}", None, None))
+    assert found == sorted(wanted)
+    state = spark.read.format("statestore").option("stateVarName", "versions").load(cfg.checkpoint)
+    held = [r.v.of_key for r in state.selectExpr("explode(value.versions) AS v").collect()]
+    assert sorted(held) == ["end", "m0", "m1", "m2"]
+
+
 def test_look_up_reads_touched_buckets_only(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path), "k string, v bigint", ("k",), ("v",), buckets=32)
     table.write(spark.range(5000).selectExpr("cast(id as string) k", "id v"), 0)
