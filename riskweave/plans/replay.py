@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from riskweave.plans.batch import score
 from riskweave.plans.fixtures import PARAMS, Fixture
 from riskweave.schemas import ANOMALY, SCORED
-from riskweave.session import working_dir
+from riskweave.session import store, working_dir
 from riskweave.operators.lateness import DROPPED, LATE, ON_TIME
 from riskweave.sources.sinks import as_json_records, read_current, read_log
 from riskweave.sources.change_stream import TOPICS
@@ -42,6 +42,7 @@ def write_log(records: DataFrame, order: str, path: str, file_rows: int = FILE_R
     log had been written in that order.
     """
     spark = records.sparkSession
+    records = store(records, "log-records")  # counted, sampled for the ranges and written
     files = max(LEAST_FILES, math.ceil(records.count() / file_rows))
     ranged = records.repartitionByRange(files, order).sortWithinPartitions(order)
     ranged.drop(order).write.json(path)

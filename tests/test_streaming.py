@@ -18,7 +18,7 @@ from riskweave.plans import replay
 from riskweave.schemas import ACCOUNT, MERCHANT, SCORED
 from riskweave.sources.change_stream import parse_scored
 from riskweave.sources.sinks import as_json_records, read_current, read_log, write_json_stream
-from riskweave.streaming.history import ROW, AnomalyProcessor, account_facts, account_state
+from riskweave.streaming.history import ROW, SUMMARY, AnomalyProcessor, account_facts, account_state, stream_facts
 from riskweave.streaming.jobs import (
     OFFSET,
     PROCESSED,
@@ -317,3 +317,17 @@ def test_state_kept_long_enough_changes_nothing(spark, tmp_path):
     assert keys(read_log(spark, cfg.table)) == keys(detect_anomalies(scored(spark, rows), PARAMS))
     with pytest.raises(ValueError):
         AnomalyProcessor(PARAMS, strict_order=True, idle_ms=1)
+
+
+def test_state_lies_by_place(spark, tmp_path, monkeypatch):
+    """State is read and written once per place, however many accounts it has; accounts keep apart."""
+    monkeypatch.setattr(stream_facts, "__defaults__", (*stream_facts.__defaults__[:-1], 2))
+    rows = random_rows(300, seed=5)
+    cfg = config(tmp_path)
+    for piece in pieces(rows, 2):
+        publish(spark, piece, cfg.source["path"])
+        start_anomaly_job(spark, cfg).awaitTermination()
+    assert keys(read_log(spark, cfg.table)) == keys(detect_anomalies(scored(spark, rows), PARAMS))
+    accounts = {row["account_id"] for row in rows}
+    assert {r.account_id for r in account_state(spark, cfg.checkpoint).collect()} == accounts and len(accounts) > 2
+    assert spark.read.format("statestore").option("stateVarName", SUMMARY).load(cfg.checkpoint).count() <= 2
