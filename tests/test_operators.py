@@ -14,7 +14,7 @@ from riskweave.operators import cases, reports
 from riskweave.operators.ema import account_ema
 from riskweave.operators.enrich import enrich, enrich_asof
 from riskweave.operators.lateness import classify_lateness
-from riskweave.operators.ordered import SplitPolicy
+from riskweave.operators.ordered import SplitPolicy, large_keys
 from riskweave.operators.score import COMPONENTS, score_components, score_transactions
 from riskweave.operators.spend import spend_by, spend_union
 from riskweave.operators.upsert import append_idempotent, insert_if_absent, upsert
@@ -368,3 +368,10 @@ def test_panels_read_recent_rows_only(spark, name):
     assert any("GreaterThanOrEqual(ts," in line for line in scans)
     assert plan.count("supplier.parquet") <= (3 if name in ("top_categories", "spend_timeseries") else 2)
     assert "customer.parquet" not in plan
+
+
+def test_slots_are_bounded(spark):
+    """A slot is a task and a range whose bounds the driver finds, so more rows make larger slots, not ever more of them."""
+    rows = spark.range(5000).selectExpr("0 AS _all", "id")
+    assert large_keys(rows, ["_all"], SplitPolicy(min_rows=0, slot=1)).slots == SplitPolicy().most_slots
+    assert large_keys(rows, ["_all"], SplitPolicy(min_rows=0, slot=1000)).slots == 5
