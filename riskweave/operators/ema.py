@@ -25,16 +25,21 @@ DECADES = 640  # between the largest and the least number of double precision
 
 
 def account_ema(
-    txns: DataFrame, alpha: float = 0.1, policy: SplitPolicy = SplitPolicy(), before: DataFrame | None = None
+    txns: DataFrame,
+    alpha: float = 0.1,
+    policy: SplitPolicy = SplitPolicy(),
+    before: DataFrame | None = None,
+    many: int | None = None,
 ) -> DataFrame:
     """``ema`` after each transaction: account_id, transaction_id, event_time_ms, ema.
 
-    ``before`` (account_id, start) has the averages that accounts had before all of ``txns``.
+    ``before`` (account_id, start) has the averages that accounts had before all of ``txns``. ``many`` is the number of
+    ``txns`` where it is known: so few that no account can have enough rows to be cut aren't counted by account.
     """
     if not 0.0 < alpha < 1.0:
         raise ValueError("alpha must lie between 0 and 1")
     base = txns.select(*KEYS, *ORDER, F.coalesce("amount", F.lit(0.0)).alias("amount"))
-    large = large_keys(base, KEYS, policy)
+    large = None if many is not None and many <= policy.min_rows else large_keys(base, KEYS, policy)
     whole = _started(_within(large.others(base) if large else base, KEYS, alpha), before)
     averages = _finish(whole, alpha)
     if large:
@@ -47,8 +52,10 @@ def _started(rows: DataFrame, before: DataFrame | None) -> DataFrame:
     """Adds _start: the average before the rows, or the first amount of an account that has none."""
     if before is None:
         return rows.withColumn("_start", F.col("_first"))
-    known = before.select(*KEYS, F.col("start").alias("_before"))
-    return rows.join(known, KEYS, "left").withColumn("_start", F.coalesce("_before", "_first")).drop("_before")
+    known = before.select(*[F.col(key).alias(f"_of_{key}") for key in KEYS], F.col("start").alias("_before"))
+    same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in KEYS]
+    joined = rows.join(known, same, "left").withColumn("_start", F.coalesce("_before", "_first"))
+    return joined.drop("_before", *known.columns)
 
 
 def _finish(rows: DataFrame, alpha: float) -> DataFrame:

@@ -2,7 +2,8 @@
 
 An account's moving average after some rows is ``own + start * (1 - alpha) ** rows``, an affine map of the average
 before them. Maps of rows that follow each other compose, so a micro-batch needs one scan, and the rows of a hot account
-are cut into slots like in batch. Lateness needs one number, the largest event time so far.
+are cut into slots like in batch. The averages after a micro-batch are a run of rows, one per account; runs are merged
+by fours, so a later micro-batch reads few of them. Lateness needs one number, the largest event time so far.
 """
 
 from __future__ import annotations
@@ -17,41 +18,85 @@ from riskweave.operators.ordered import SplitPolicy
 from riskweave.params import LATE_DROP_MS, LATE_TOLERANCE_MS
 from riskweave.sources.cdc import to_transactions, unwrap_cdc
 from riskweave.sources.change_stream import read_change_stream, read_scored_stream
-from riskweave.sources.keyed_table import KeyedTable
 from riskweave.sources.sinks import append_batch
 from riskweave.streaming.jobs import JobConfig, start_batches
 
 STATE = "state"
-#: Buckets of the table of averages, so many that a micro-batch touches a part of them.
-AVERAGES = 256
+#: So many runs of averages are merged into one.
+FAN_IN = 4
+#: Files of a run at most.
+FILES = 256
+AVERAGES = "account_id string, ema double, batch bigint"
 
 
-def ema_state(spark: SparkSession, path: str, buckets: int = AVERAGES) -> KeyedTable:
-    """The last average of each account. ``batch`` orders the values of an account."""
-    return KeyedTable(spark, path, "account_id string, ema double, batch bigint", ("account_id",), ("batch",), buckets=buckets)
+def runs_before(batch_id: int) -> list[tuple[int, int]]:
+    """Level and number of the runs that hold all micro-batches before ``batch_id``: the digits of that number.
+
+    A run of level l holds the last averages of ``FAN_IN ** l`` micro-batches that follow each other.
+    """
+    found, level, left = [], 0, batch_id
+    while left:
+        left, digit = divmod(left, FAN_IN)
+        found += [(level, left * FAN_IN + n) for n in range(digit)]
+        level += 1
+    return found
+
+
+def _run(path: str, level: int, number: int) -> str:
+    return f"{path}/level={level}/run={number}"
+
+
+def _newest_of(spark: SparkSession, path: str, runs: list[tuple[int, int]]) -> DataFrame:
+    """The last average of each account in ``runs``."""
+    rows = spark.read.schema(AVERAGES).parquet(*[_run(path, *run) for run in runs])
+    if len(runs) == 1:  # an account has one row in a run
+        return rows
+    return rows.groupBy("account_id").agg(F.max_by("ema", "batch").alias("ema"), F.max("batch").alias("batch"))
 
 
-def ema_batch(batch: DataFrame, batch_id: int, cfg: JobConfig, state: KeyedTable, alpha: float, policy: SplitPolicy) -> None:
+def write_averages(last: DataFrame, batch_id: int, path: str, files: int = FILES) -> None:
+    """Write the averages after a micro-batch as a run, and merge runs when there are enough of a level.
+
+    An average is rewritten once per level. The names of runs follow from the number of the micro-batch, so a
+    repeated micro-batch replaces its own, and the runs that it reads were whole before it began.
+    """
+    last.coalesce(files).write.mode("overwrite").parquet(_run(path, 0, batch_id))
+    level, number = 0, batch_id + 1
+    while number % FAN_IN == 0:
+        parts = [(level, n) for n in range(number - FAN_IN, number)]
+        level, number = level + 1, number // FAN_IN
+        merged = _newest_of(last.sparkSession, path, parts)
+        merged.coalesce(files).write.mode("overwrite").parquet(_run(path, level, number - 1))
+
+
+def ema_batch(
+    batch: DataFrame, batch_id: int, cfg: JobConfig, state: str, alpha: float, policy: SplitPolicy, files: int = FILES
+) -> None:
     """Averages of one micro-batch, continued from the state before it."""
+    spark = batch.sparkSession
     batch = batch.persist()
     try:
-        before = state.read_before(batch_id, batch.select("account_id")).select("account_id", F.col("ema").alias("start"))
-        rows = account_ema(batch, alpha, policy, before).select("account_id", "transaction_id", "event_time_ms", "ema")
+        many = batch.count()
+        before = _newest_of(spark, state, runs_before(batch_id)).withColumnRenamed("ema", "start") if batch_id else None
+        rows = account_ema(batch, alpha, policy, before, many).select("account_id", "transaction_id", "event_time_ms", "ema")
         append_batch(rows, cfg.table, batch_id)
     finally:
         batch.unpersist()
-    stored = batch.sparkSession.read.parquet(f"{cfg.table}/batch_id={batch_id}")
+    stored = spark.read.schema(rows.schema).parquet(f"{cfg.table}/batch_id={batch_id}")
     last = stored.groupBy("account_id").agg(F.max_by("ema", F.struct("event_time_ms", "transaction_id")).alias("ema"))
-    state.write(last.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
+    write_averages(last.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id, state, files)
 
 
 def start_ema_job(
-    spark: SparkSession, cfg: JobConfig, alpha: float = 0.1, policy: SplitPolicy = SplitPolicy(), buckets: int = AVERAGES
+    spark: SparkSession, cfg: JobConfig, alpha: float = 0.1, policy: SplitPolicy = SplitPolicy(), buckets: int = FILES
 ) -> StreamingQuery:
-    """Scored transactions to the moving average after each; arrival order counts between micro-batches, event time within."""
-    state = ema_state(spark, f"{cfg.checkpoint}-{STATE}", buckets)
+    """Scored transactions to the moving average after each; arrival order counts between micro-batches, event time within.
+
+    ``buckets`` bounds the files of a run of averages.
+    """
+    state = f"{cfg.checkpoint}-{STATE}"
     rows = read_scored_stream(spark, cfg.source, cfg.scored_topic).select("account_id", "transaction_id", "event_time_ms", "amount")
-    return start_batches(rows, cfg, "ema", lambda batch, batch_id: ema_batch(batch, batch_id, cfg, state, alpha, policy))
+    return start_batches(rows, cfg, "ema", lambda batch, batch_id: ema_batch(batch, batch_id, cfg, state, alpha, policy, buckets))
 
 
 def _newest_before(spark: SparkSession, path: str, batch_id: int) -> int | None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from riskweave.operators.score import score_transactions
 from riskweave.sources.change_stream import TOPICS
 from riskweave.sources.keyed_table import KeyedTable
 from riskweave.sources.sinks import as_json_records, read_log
-from riskweave.streaming.carried import start_ema_job, start_lateness_job
+from riskweave.streaming.carried import ema_batch, runs_before, start_ema_job, start_lateness_job
 from riskweave.streaming.jobs import JobConfig, start_score_job
 from riskweave.streaming.profiles import current_profiles, profile_table, start_profile_job
 from tests.builders import START, frame, random_rows
@@ -135,6 +136,40 @@ def test_averages_over_micro_batches_equal_batch(spark, tmp_path, policy):
     assert all(abs(got[k] - expected[k]) <= 1e-9 * max(1, abs(expected[k])) for k in got)
 
 
+def test_averages_over_many_micro_batches_take_few_jobs(spark, tmp_path):
+    rows = [{**r, "account_id": None} if r["account_id"] == "acc0" else r for r in random_rows(180, seed=6)]
+    assert any(r["account_id"] is None for r in rows)
+    cfg = config(tmp_path, "many")
+    cfg = replace(cfg, source={**cfg.source, "maxFilesPerTrigger": "1"})
+    for at in range(0, 180, 20):
+        publish(spark, rows[at : at + 20], cfg.source["path"])
+    query = start_ema_job(spark, cfg, 0.2, buckets=8)
+    query.awaitTermination()
+    batches = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(batches) == 9
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(query.runId)) <= 15 * len(batches)
+    got = {r.transaction_id: r.ema for r in read_log(spark, cfg.table).collect()}
+    expected = {r.transaction_id: r.ema for r in account_ema(frame(spark, rows), 0.2).collect()}
+    assert got.keys() == expected.keys() and len(got) == 180
+    assert all(abs(got[k] - expected[k]) <= 1e-9 * max(1, abs(expected[k])) for k in got)
+
+
+def test_a_repeated_micro_batch_starts_from_the_same_averages(spark, tmp_path):
+    rows, cfg, state = random_rows(100, seed=7), config(tmp_path, "again"), str(tmp_path / "state")
+    for batch_id in (0, 1, 2, 3, 3, 4):
+        ema_batch(frame(spark, rows[20 * batch_id : 20 * batch_id + 20]), batch_id, cfg, state, 0.2, SplitPolicy())
+    got = {r.transaction_id: r.ema for r in read_log(spark, cfg.table).collect()}
+    expected = {r.transaction_id: r.ema for r in account_ema(frame(spark, rows), 0.2).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) <= 1e-9 * max(1, abs(expected[k])) for k in got)
+
+
+def test_few_runs_of_averages_cover_all_micro_batches_before():
+    for batch_id in range(300):
+        runs = runs_before(batch_id)
+        covered = [n for level, number in runs for n in range(number * 4**level, (number + 1) * 4**level)]
+        assert sorted(covered) == list(range(batch_id)) and len(runs) <= 15
+
+
 def test_late_rows_come_to_tables_of_their_own(spark, tmp_path):
     cfg = config(tmp_path, "late")
     rng, newest, expected = random.Random(1), None, {}
