@@ -3,7 +3,8 @@
 The tokenizer's merges stay within a word, so each distinct word is encoded once. Words are counted over all texts, the
 table of distinct words gets its ids, and the ids go back to where the words stand: a share of the table of
 bounded size, the most frequent words, is broadcast; all other words are joined to the table by word, each with
-its row and position, and return to their rows. Decoding looks ids up in the table of pieces.
+its row and position, and return to their rows. Rows are dealt once with the words that aren't held, and both sides of that
+join read the same shuffle. Decoding looks ids up in the table of pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import json
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,11 @@ HELD_BYTES, ENTRY_BYTES, COUNTED = 64 << 20, 200, 200_000
 #: Steps per doubling in which the frequency of the words to broadcast is chosen.
 STEPS = 8
 
+#: How hard rows are packed before they move.
+PACKING = 9
+#: Words whose ids are spelled out at a time.
+AT_ONCE = 1 << 20
+
 #: Characters on which this module and the library agree: no marks that combine, no letters whose lower case lies
 #: elsewhere, and not the four separators of ASCII.
 PLAIN = "\x00-\x1b -ſ–—‘’“”…"
@@ -61,7 +67,8 @@ class WordTokenizer:
         self.marks = re.compile("|".join(map(re.escape, marks))) if marks else None
         self.signs = {b: s for s, b in byte_signs().items()}
         size = self.library.get_vocab_size(with_added_tokens=True)
-        self.pieces = [self.library.id_to_token(i) for i in range(size)]
+        self.digits = pa.array([f"{i} ".encode() for i in range(size)], pa.large_binary())
+        self.pieces = pa.array([f"{self.library.id_to_token(i)} ".encode() for i in range(size)], pa.large_binary())
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; a special string is a word of its own."""
@@ -92,9 +99,21 @@ class WordTokenizer:
             return [self.special[word]]
         return [t.id for t in self.library.model.tokenize("".join(self.signs[b] for b in word.encode()))]
 
-    def shown(self, ids: list[int]) -> str:
-        """Pieces of ids, joined by spaces."""
-        return " ".join(map(self.pieces.__getitem__, ids))
+
+def _offsets(texts: pa.LargeBinaryArray) -> np.ndarray:
+    """Where each of ``texts`` starts in their bytes, and where the last one ends."""
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+
+
+def _spelled(signs: pa.LargeBinaryArray, ids: np.ndarray, starts: np.ndarray) -> pa.LargeBinaryArray:
+    """The ids of each word, which lie between two ``starts``, as one text of their ``signs``."""
+    taken = signs.take(pa.array(ids))
+    offsets = np.ascontiguousarray(_offsets(taken)[starts])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(offsets), taken.buffers()[2] or pa.py_buffer(b"")])
+
+
+def _starts(sizes) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.fromiter(sizes, np.int64))))
 
 
 @lru_cache(maxsize=4)
@@ -156,32 +175,53 @@ class _Numbers(dict):
         return -1
 
 
+def _lots(sizes: list[int]) -> Iterator[slice]:
+    """Rows that follow each other, ``AT_ONCE`` words together unless a single row has more."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > AT_ONCE:
+            yield slice(first, i)
+            first, total = i, 0
+        total += size
+    if sizes:
+        yield slice(first, len(sizes))
+
+
 class _Held:
-    """The broadcast words by number, with their ids and pieces as texts."""
+    """The broadcast words by number, with their ids and pieces as texts, a space after each."""
 
     def __init__(self, model: WordTokenizer, words: list[tuple[str, list[int]]]):
         self.model = model
         self.number = _Numbers({w: i for i, (w, _) in enumerate(words)})
-        self.ids = [" ".join(map(str, ids)) for _, ids in words]
-        self.pieces = [model.shown(ids) for _, ids in words]
-        self.many = np.array([len(ids) for _, ids in words], dtype=np.int64)
+        starts, ids = _starts(len(ids) for _, ids in words), np.array([i for _, ids in words for i in ids], np.int32)
+        self.ids, self.pieces = _spelled(model.digits, ids, starts), _spelled(model.pieces, ids, starts)
+        self.many = np.diff(starts)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
 
-    def finish(self, numbers: np.ndarray, own: dict[int, list[int]]) -> tuple[int, str, str]:
-        """Number of ids and digests of a row; ``own`` has the ids of the words that aren't held, by position."""
-        if not own:
-            at = numbers.tolist()
-            return int(self.many[numbers].sum()), _digest(map(self.ids.__getitem__, at)), _digest(map(self.pieces.__getitem__, at))
-        at = np.maximum(numbers, 0).tolist() if len(self.ids) else []
-        ids = list(map(self.ids.__getitem__, at)) or [""] * len(numbers)
-        pieces = list(map(self.pieces.__getitem__, at)) or [""] * len(numbers)
-        total = int(self.many[numbers[numbers >= 0]].sum())
-        for place, some in own.items():
-            ids[place], pieces[place] = " ".join(map(str, some)), self.model.shown(some)
-            total += len(some)
-        return total, _digest(ids), _digest(pieces)
+    def finish(self, rows: list[np.ndarray], own: np.ndarray, own_starts: np.ndarray) -> list[tuple[int, str, str]]:
+        """Number of ids and digests of rows of numbers; ``own`` has the ids of the words that aren't held, in order."""
+        gaps = [int(np.count_nonzero(row < 0)) for row in rows]
+        if sum(gaps) != len(own_starts) - 1:
+            raise ValueError("the words that aren't held don't fit the rows")
+        results, at = [], 0
+        for some in _lots(list(map(len, rows))):
+            mine = own_starts[at : at + sum(gaps[some]) + 1]
+            at += len(mine) - 1
+            results += self._finish(rows[some], own[mine[0] : mine[-1]], mine - mine[0])
+        return results
+
+    def _finish(self, rows: list[np.ndarray], own: np.ndarray, own_starts: np.ndarray) -> list[tuple[int, str, str]]:
+        numbers = np.concatenate(rows)
+        borders = _starts(map(len, rows))
+        numbers[numbers < 0] = np.arange(len(self.many), len(self.many) + len(own_starts) - 1)
+        many = _starts(np.concatenate((self.many, np.diff(own_starts)))[numbers])[borders]
+        digests = []
+        for held, signs in ((self.ids, self.model.digits), (self.pieces, self.model.pieces)):
+            texts = pa.concat_arrays([held, _spelled(signs, own, own_starts)]) if len(own) else held
+            digests.append(_digests(texts.take(pa.array(numbers)), borders))
+        return list(zip(np.diff(many).tolist(), *digests, strict=True))
 
 
 _HELD: dict[str, _Held] = {}
@@ -210,17 +250,31 @@ class _Shared:
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digest(parts: Iterable[str]) -> str:
-    """Digest of texts joined by spaces."""
-    return hashlib.sha256(" ".join(parts).encode()).hexdigest()
+def _digests(texts: pa.LargeBinaryArray, borders: np.ndarray) -> list[str]:
+    """Digest of the texts between two ``borders``, without the space after the last one."""
+    raw, at = memoryview(texts.buffers()[2] or b""), _offsets(texts)[borders].tolist()
+    return [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]
+
+
+def _pack(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=PACKING).compress(raw, asbytes=True)
+
+
+def _packed_numbers(numbers: np.ndarray) -> bytes:
+    return _pack(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _numbers(packed: bytes, many: int) -> np.ndarray:
+    raw = pa.decompress(packed, 4 * many, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
 def encode_words(docs: DataFrame, path: str, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``; a null text counts as empty.
 
     Digests are those of the decimal ids joined by spaces, and of the decoded text. Rows are named by their place in
-    ``docs``, which is read three times and must come in one order, as a stored table does; if it doesn't, the query
-    fails. Texts aren't shuffled: a row with words that aren't broadcast moves as numbers of words.
+    ``docs``, which is read twice. Texts aren't shuffled: a row with words that aren't broadcast moves as numbers of
+    words, with the words that have none.
     """
     spark = docs.sparkSession
     table = store(distinct_words(docs, path), "words")
@@ -228,59 +282,71 @@ def encode_words(docs: DataFrame, path: str, held_bytes: int = HELD_BYTES) -> Da
     rows = _texts(docs).withColumn("row", F.monotonically_increasing_id())
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finished rows, and for the others the packed numbers of their words, -1 where a word isn't held."""
+        """Finished rows; of the others the packed numbers of their words, and the words that have none."""
         model, held = word_tokenizer(path), _held(path, shared)
         for batch in batches:
-            out = {"row": batch.column("row"), "doc_id": batch.column("doc_id")}
-            done, packed, sizes = [], [], []
+            whole, done, packed, sizes, own, own_sizes = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                at = held.numbers(model.words(text))
-                if len(at) and at.min() < 0:
-                    done.append((None, None, None))
-                    sizes.append(len(at))
-                    packed.append(pa.compress(at.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True))
-                else:
-                    done.append(held.finish(at, {}))
-                    sizes.append(None)
-                    packed.append(None)
+                words = model.words(text)
+                at = held.numbers(words)
+                done.append(not len(at) or int(at.min()) >= 0)
+                if done[-1]:
+                    whole.append(at)
+                    for column in (packed, sizes, own, own_sizes):
+                        column.append(None)
+                    continue
+                packed.append(_packed_numbers(at))
+                sizes.append(len(at))
+                mine = json.dumps([words[g] for g in np.flatnonzero(at < 0).tolist()], ensure_ascii=False).encode()
+                own.append(_pack(mine))
+                own_sizes.append(len(mine))
+            found = iter(held.finish(whole, np.zeros(0, np.int32), np.zeros(1, np.int64)))
+            results = [next(found) if d else (None, None, None) for d in done]
             yield pa.RecordBatch.from_pydict(
-                out
-                | {
-                    "n_tokens": pa.array([d[0] for d in done], pa.int64()),
-                    "ids_sha256": pa.array([d[1] for d in done], pa.string()),
-                    "decoded_sha256": pa.array([d[2] for d in done], pa.string()),
+                {
+                    "row": batch.column("row"),
+                    "doc_id": batch.column("doc_id"),
+                    "n_tokens": pa.array([r[0] for r in results], pa.int64()),
+                    "ids_sha256": pa.array([r[1] for r in results], pa.string()),
+                    "decoded_sha256": pa.array([r[2] for r in results], pa.string()),
                     "packed": pa.array(packed, pa.binary()),
                     "words": pa.array(sizes, pa.int32()),
+                    "own": pa.array(own, pa.binary()),
+                    "own_size": pa.array(own_sizes, pa.int64()),
                 }
             )
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words that aren't held, with row and position."""
-        model, held = word_tokenizer(path), _held(path, shared)
         for batch in batches:
-            row, at, word = [], [], []
-            for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = model.words(text)
-                own = np.flatnonzero(held.numbers(words) < 0).tolist()
-                row += [r] * len(own)
-                at += own
-                word += map(words.__getitem__, own)
-            yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "at": pa.array(at, pa.int32()), "word": pa.array(word, pa.string())})
+            rows, at, word = [], [], []
+            for row, packed, many, own, size in zip(*(batch.column(c).to_pylist() for c in ("row", "packed", "words", "own", "own_size")), strict=True):
+                if packed is None:
+                    continue
+                at.append(np.flatnonzero(_numbers(packed, many) < 0))
+                word += json.loads(pa.decompress(own, size, codec="zstd", asbytes=True))
+                rows.append(np.full(len(at[-1]), row))
+            row, at = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (rows, at))
+            yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "at": pa.array(at.astype(np.int32)), "word": pa.array(word, pa.string())})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _held(path, shared)
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("n_tokens", "ids_sha256", "decoded_sha256", "packed", "words", "found")}
-            for i, packed in enumerate(columns["packed"]):
-                if packed is None:
-                    continue
-                raw = pa.decompress(packed, 4 * columns["words"][i], codec="zstd", asbytes=True)
-                numbers = np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
-                gaps = np.flatnonzero(numbers == -1)
-                found = {f["at"]: f["ids"] for f in columns["found"][i] or ()}
-                if len(found) != len(gaps) or any(int(g) not in found for g in gaps):
-                    raise ValueError("the rows came in another order when they were read again; store the table first")
-                columns["n_tokens"][i], columns["ids_sha256"][i], columns["decoded_sha256"][i] = held.finish(numbers, found)
+            columns = {c: batch.column(c).to_pylist() for c in ("n_tokens", "ids_sha256", "decoded_sha256", "packed", "words")}
+            waiting = [i for i, packed in enumerate(columns["packed"]) if packed is not None]
+            rows = [_numbers(columns["packed"][i], columns["words"][i]) for i in waiting]
+            found = batch.column("found").flatten()
+            row, at = batch.column("found").value_parent_indices().to_numpy(), found.field("at").to_numpy()
+            order = np.lexsort((at, row))
+            gaps = [np.flatnonzero(numbers < 0) for numbers in rows]
+            wanted = np.repeat(np.array(waiting, np.int64), [len(g) for g in gaps])
+            if not np.array_equal(row[order], wanted) or not np.array_equal(at[order], np.concatenate([*gaps, np.zeros(0, np.int64)])):
+                raise ValueError("the rows came in another order when they were read again; store the table first")
+            ids = found.field("ids").take(pa.array(order))
+            own_starts = _starts(ids.value_lengths().to_numpy())
+            results = held.finish(rows, ids.flatten().to_numpy(), own_starts)
+            for i, result in zip(waiting, results, strict=True):
+                columns["n_tokens"][i], columns["ids_sha256"][i], columns["decoded_sha256"][i] = result
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -291,8 +357,8 @@ def encode_words(docs: DataFrame, path: str, held_bytes: int = HELD_BYTES) -> Da
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    placed = rows.mapInArrow(places, f"row long, doc_id {kind}, {RESULT}, packed binary, words int")
-    back = rows.select("row", "text").mapInArrow(others, "row long, at int, word string").join(table.select("word", "ids"), "word")
+    placed = rows.mapInArrow(places, f"row long, doc_id {kind}, {RESULT}, packed binary, words int, own binary, own_size long")
+    dealt = placed.repartition("row")  # both branches take all of its columns, so that Spark runs it once
+    back = dealt.mapInArrow(others, "row long, at int, word string").join(table.select("word", "ids"), "word")
     found = back.groupBy("row").agg(F.collect_list(F.struct("at", "ids")).alias("found"))  # words of one text
-    joined = placed.join(found, "row", "left").drop("row")
-    return joined.mapInArrow(finish, f"doc_id {kind}, {RESULT}")
+    return dealt.join(found, "row", "left").mapInArrow(finish, f"doc_id {kind}, {RESULT}")

@@ -76,6 +76,29 @@ def test_every_distinct_word_is_encoded_once(spark):
     assert {r["word"]: r["n"] for r in got}["quick"] == 3
 
 
+def test_words_are_found_in_two_passes_over_the_texts(spark):
+    """Counted once, and looked up once: both sides of the join read one shuffle of the rows."""
+    rows = [(i, f"w{i} the quick w{i % 7} " * 5, "en", "a", 1) for i in range(300)]
+    got = word_table.encode_words(documents(spark, rows), tokenizer("word_bpe_49k.json"), 1_000)
+    assert len(got.collect()) == 300
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow places") == 1 and "ReusedExchange" in plan and plan.count("MapInArrow others") == 1
+
+
+@pytest.mark.parametrize("at_once", [word_table.AT_ONCE, 4])
+def test_rows_finish_with_the_ids_of_their_own_words(library, monkeypatch, at_once):
+    monkeypatch.setattr(word_table, "AT_ONCE", at_once)
+    model = word_table.word_tokenizer(tokenizer("word_bpe_49k.json"))
+    held = word_table._Held(model, [(w, model.ids(w)) for w in ("the", "quick", "unquestionably")])
+    texts = ["the quick the", "", "quick brown unquestionably strange the", "odd"]
+    numbers = [held.numbers(model.words(t)) for t in texts]
+    own = [model.ids(w) for w in ("brown", "strange", "odd")]
+    got = held.finish(numbers, np.array(sum(own, []), np.int32), word_table._starts(map(len, own)))
+    assert got == [expected_words(library, t) for t in texts]
+    with pytest.raises(ValueError):
+        held.finish(numbers, np.array(own[0] + own[1], np.int32), word_table._starts(map(len, own[:2])))
+
+
 def test_word_ids_of_an_empty_table(spark):
     assert word_table.encode_words(documents(spark, []), tokenizer("word_bpe_49k.json")).count() == 0
 
