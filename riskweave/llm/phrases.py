@@ -3,13 +3,14 @@
 The first passes find what may be frequent: phrases are hashed, each hash partition has a Misra-Gries summary whose
 counters exceed its mass divided by the threshold, and the summaries of all tasks are merged, so every frequent
 phrase survives. Words and pairs come first; longer phrases are summarised where all their pairs survived, because a
-phrase is never more frequent than its parts. The last pass counts the survivors exactly, by their words.
+phrase is never more frequent than its parts. The last pass counts the survivors exactly, by their words; a task
+adds up what it counts, so it hands on a row for each phrase it meets and not for each batch with that phrase.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import small_batches, store
-from riskweave.llm.frequent import SCHEMA, Filter, filter_of, frequent, local_rows, part_of
+from riskweave.llm.frequent import ROWS, SCHEMA, Filter, filter_of, frequent, local_rows, part_of
 from riskweave.llm.word_bytes import byte_kinds, words_of
 
 LONGEST, THRESHOLD, FIRST = 5, 100, 2000
@@ -27,6 +28,8 @@ LONGEST, THRESHOLD, FIRST = 5, 100, 2000
 SPARE = 16
 #: Bytes of text for each hash partition, and bounds of their number.
 PART_BYTES, FEWEST_PARTS, MOST_PARTS = 64 << 20, 16, 1 << 16
+#: Bytes of counts that a task of the last pass holds, and of text that it reads: each hands on every phrase it meets.
+HELD_BYTES, TASK_BYTES = 64 << 20, 128 << 20
 #: Lots that the phrases of a language are ranked in first.
 LOTS = 64
 UNDECIDED = "und"
@@ -107,6 +110,28 @@ class Grams:
         )
 
 
+def added_up(counts: Iterable[pa.RecordBatch], most: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, words, n) with the rows of one phrase added up; handed on when more than half of ``most`` bytes differ."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def total() -> list[pa.RecordBatch]:
+        sums = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")])
+        return sums.rename_columns({"n_sum": "n"}).to_batches(max_chunksize=ROWS)
+
+    for some in counts:
+        held.append(some)
+        size += some.nbytes
+        if size >= most:
+            held = total()
+            size = sum(x.nbytes for x in held)
+            if size > most // 2:
+                yield from held
+                held, size = [], 0
+    if held:
+        yield from total()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     return docs.select(F.coalesce("lang", F.lit(UNDECIDED)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
@@ -156,6 +181,25 @@ def _survivors(texts: DataFrame, mass: np.ndarray, threshold: int, longest: int,
     return filter_of(store(frequent(texts.mapInArrow(run, SCHEMA), capacities, threshold), "survivors"))
 
 
+def _occurrences(texts: DataFrame, pairs: Filter, longer: Filter, longest: int, tasks: int) -> DataFrame:
+    """(lang, phrase, words, n) of the phrases that pass the filters: what each of ``tasks`` tasks, at most, has counted."""
+    filters = texts.sparkSession.sparkContext.broadcast((pairs, longer))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grams in _each(batches):
+            short, long = filters.value
+            found = [(k, s[p], h[p]) for k, s, h in grams.of_lengths(min(2, longest)) for p in [short(h)]]
+            found += [(k, s[p], h[p]) for k, s, h in grams.linked(longest, short) for p in [long(h)]]
+            for length, starts, hashes in found:
+                if len(starts):
+                    yield grams.counted(length, starts, hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from added_up(counts(batches))
+
+    return texts.coalesce(tasks).mapInArrow(run, "lang string, phrase string, words int, n long")
+
+
 def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of every phrase of up to ``longest`` words that occurs ``threshold`` times in its language; (lang, n).
 
@@ -167,19 +211,9 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LO
     words, (few, many) = _weigh(texts, parts, longest)
     pairs = _survivors(texts, few, threshold, longest, None)
     longer = _survivors(texts, many, threshold, longest, pairs)
-    filters = texts.sparkSession.sparkContext.broadcast((pairs, longer))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Handed on batch by batch, so that rows grow with the texts and not with tasks times phrases.
-        for grams in _each(batches):
-            short, long = filters.value
-            found = [(k, s[p], h[p]) for k, s, h in grams.of_lengths(min(2, longest)) for p in [short(h)]]
-            found += [(k, s[p], h[p]) for k, s, h in grams.linked(longest, short) for p in [long(h)]]
-            for length, starts, hashes in found:
-                if len(starts):
-                    yield grams.counted(length, starts, hashes)
-
-    counts = texts.mapInArrow(run, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+    # Two tasks a core at least, so that cores are done at about one time.
+    tasks = max(2 * texts.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    counts = _occurrences(texts, pairs, longer, longest, tasks).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
     return store(counts.where(F.col("f") >= threshold), "phrases"), words
 
 

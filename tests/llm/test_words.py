@@ -234,6 +234,42 @@ def test_phrases_of_one_hash_are_told_apart(monkeypatch):
     )
 
 
+def test_a_task_hands_on_a_phrase_once(spark):
+    rows = [(i, "new york city hall. a b", "en" if i % 2 else None, "s", 1) for i in range(6000)]
+    texts = phrases._texts(documents(spark, rows).repartition(12))
+    every = frequent.Filter(8, [(1, b"\xff")])
+    made = phrases._occurrences(texts, every, every, 5, 2).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in made}) == 2  # three batches each
+    assert max(Counter((r["task"], r["lang"], r["phrase"]) for r in made).values()) == 1
+    found = Counter()
+    for r in made:
+        found[r["lang"], r["phrase"], r["words"]] += r["n"]
+    words = ["new", "york", "city", "hall"]
+    expected = {(" ".join(words[i : i + k]), k) for k in range(1, 5) for i in range(5 - k)} | {("a", 1), ("b", 1), ("a b", 2)}
+    assert found == {(lang, p, k): 3000 for lang in ("en", "und") for p, k in expected}
+
+
+def test_counts_held_are_bounded():
+    rng = np.random.default_rng(8)
+    batches = [
+        pa.RecordBatch.from_pydict(
+            {
+                "lang": pa.array(["en"] * 500),
+                "phrase": pa.array([f"w{x}" for x in rng.integers(0, 900, 500)]),
+                "words": pa.array(np.ones(500, np.int32)),
+                "n": pa.array(rng.integers(1, 9, 500)),
+            }
+        )
+        for _ in range(30)
+    ]
+    sums = lambda some: Counter() + sum((Counter({r["phrase"]: r["n"]}) for b in some for r in b.to_pylist()), Counter())
+    once, parts = list(phrases.added_up(iter(batches))), list(phrases.added_up(iter(batches), 2 * batches[0].nbytes))
+    assert sum(b.num_rows for b in once) == len(sums(batches)) < sum(b.num_rows for b in parts)
+    assert sums(once) == sums(parts) == sums(batches)
+    assert max(b.num_rows for b in parts) <= 1500
+    assert list(phrases.added_up(iter([]))) == []
+
+
 def test_summaries_keep_all_that_is_frequent(spark):
     rng = np.random.default_rng(4)
     numbers = rng.zipf(1.3, 200_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
